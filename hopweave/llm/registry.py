@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, tokens, warc
+from . import decontamination, language, licenses, mixing, ppm, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
+    "op2_lm_scoring": ppm.op2_lm_scoring,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op4_licenses": licenses.op4_licenses,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_language": language.op6_language,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
 }
