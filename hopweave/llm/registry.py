@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, ppm, quality, tokens, toxicity, warc
+from . import decontamination, jaccard, language, licenses, mixing, ppm, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -14,10 +14,12 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op5_decontamination": decontamination.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
 }
