@@ -17,6 +17,8 @@ an empty table yields no shard; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -93,18 +95,27 @@ class EliasFano:
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
-    The byte-level pre-tokenizer never joins what stands on the two sides of a single space between two characters that are no
-    white space, so texts are cut there and the ids of recurring pieces are kept: the ids are those of the uncut text.
+    The byte-level pre-tokenizer joins nothing across these places, so texts are cut there, the ids of recurring pieces are kept,
+    and the ids are those of the uncut text: before a single space and around a single line feed that stand between characters
+    that are no white space, and between letters and the full stops or commas that end such a piece.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    TIGHT = re.compile(r"\s\s|\x00")
+    STOPS = ".,!?;:|"
+
+    def __init__(self, path: str, keep: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    @classmethod
+    def cut(cls, text: str) -> list[str]:
+        if not cls.TIGHT.search(text):
+            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         parts = text.split(" ")
         out = [parts[0]]
         for before, part in zip(parts, parts[1:]):
@@ -114,17 +125,41 @@ class Encoder:
                 out[-1] += " " + part
         return out
 
+    def learn(self, pieces: set[str]) -> None:
+        """Adds what is not known of pieces."""
+        known, ended = self.known, []
+        new = set()
+        for p in pieces:
+            base = p.rstrip(self.STOPS)
+            if len(base) < len(p) and base.removeprefix(" ").isalpha():
+                ended.append((p, base, p[len(base) :]))
+                new.update(x for x in ended[-1][1:] if x not in known)
+            else:
+                new.add(p)
+        # pieces without white space but a leading space are encoded many at once, as lines: a single line feed is a token
+        lines = [p for p in new if p and p != " " and len(p.split()) == 1 and p[0] != "\n" and p.lstrip(" ") == p.strip() and not any(x in p for x in self.special)]
+        for a in range(0, len(lines), 500):
+            some = lines[a : a + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
+            raw, begin, width = ids.tobytes(), 0, self.dtype.itemsize
+            for p, end in zip(some, ends):
+                known[p] = raw[begin * width : end * width]
+                begin = end + 1
+        fresh = [p for p in new if p not in known]
+        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[p] = np.array(e.ids, self.dtype).tobytes()
+        for p, base, stop in ended:
+            known[p] = known[base] + known[stop]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
         known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+        self.learn(set().union(*cut).difference(known))
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) for parts in cut]
 
 
 _encoders: dict[str, Encoder] = {}
