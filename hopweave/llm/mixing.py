@@ -46,7 +46,7 @@ def targets(sources: DataFrame, share: float, most: float, weights: tuple[float,
     )
 
 
-def mix_sources(docs: DataFrame, weight: Column, size: Column, share: float = 1.5, most: float = 2.0, seed: int = SEED, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weight: Column, size: Column, share: float = 1.5, most: float = 2.0, seed: int = SEED, bucket_rows: int = 4_000) -> DataFrame:
     """One row a document: doc_id, source, size, weight, source_size, target, epochs, selected, taken.
 
     The prefix sums are taken in two steps, over buckets of the key and within each bucket, so a source of any size is dealt
