@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, fold_of, load
+from .common import fold, fold_of, load, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -64,39 +64,46 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """Log frequencies by language of words and n-grams; tables has (grams, frequencies) of words and then of each length."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: list[tuple[pa.Array, np.ndarray]]):
         self.langs, self.tables = langs, tables
+        self.places: list[dict[str, int]] = []  # filled where predictions are made
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, len(langs)), np.float32)
 
     @classmethod
     def fit(cls, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-        counts = gram_counts(training_rows(docs, sample_docs))
-        rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
-        total = F.sum("count").over(Window.partitionBy("lang", "n"))
-        limit = F.when(F.col("n") == 0, max_words).otherwise(max_grams)
-        kept = counts.withColumns({"r": rank, "total": total}).where(F.col("r") <= limit).toPandas()  # languages * (max_words + 5 * max_grams) rows at most
-        langs = sorted(kept["lang"].unique())
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        counts = written(gram_counts(training_rows(docs, sample_docs)), "language-counts")
+        sums = counts.groupBy("lang", "n").agg(F.sum("count")).collect()  # LONGEST + 1 rows a language
+        langs = sorted({r[0] for r in sums})
         totals = np.ones((LONGEST + 1, len(langs)))
-        for (lang, n), own in kept.groupby(["lang", "n"]):
-            totals[n, langs.index(lang)] = own["total"].iloc[0]
+        for lang, n, total in sums:
+            totals[n, langs.index(lang)] = total
+        rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
+        kept = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
+        wide = kept.groupBy("n", "gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"_{i}") for i, x in enumerate(langs)])
+        found = wide.orderBy("n", "gram").toArrow()  # languages * (max_words + LONGEST * max_grams) rows at most
+        own_n, grams_ = found.column("n").to_numpy(), found.column("gram").combine_chunks()
+        values = np.stack([found.column(f"_{i}").to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
+        tables = []
         for n in range(LONGEST + 1):
-            own = kept[kept["n"] == n].pivot_table(index="gram", columns="lang", values="count", aggfunc="sum", fill_value=0).reindex(columns=langs, fill_value=0) if len(langs) else None
-            if own is None or not len(own):
-                continue
-            logs = np.log((own.to_numpy(np.float64) + 0.1) / (totals[n] + 0.1 * len(own))).astype(np.float32)
-            tables[n] = dict(zip(own.index.tolist(), logs))
+            a, b = np.searchsorted(own_n, [n, n + 1]).tolist()
+            tables.append((grams_.slice(a, b - a), np.log((values[a:b] + 0.1) / (totals[n] + 0.1 * max(1, b - a))).astype(np.float32)))
         return cls(langs, tables)
 
+    def known(self, n: int, gram: str) -> np.ndarray | None:
+        """Frequencies of a word (n = 0) or an n-gram, None for an unknown one."""
+        if not self.places:
+            self.places = [dict(zip(g.to_pylist(), range(len(g)))) for g, _ in self.tables]
+        i = self.places[n].get(gram)
+        return None if i is None else self.tables[n][1][i]
+
     def score(self, word: str) -> np.ndarray:
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+        if (seen := self.known(0, word)) is not None:
+            return seen
         for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            found = [x for g in grams(word, n) if (x := table.get(g)) is not None]
+            found = [x for g in grams(word, n) if (x := self.known(n, g)) is not None]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs), np.float32)

@@ -1,0 +1,88 @@
+"""Token files: every id against the plain tokenizer, and the Elias-Fano structure against a plain array."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+from cases import edge_docs, edge_rows, no_docs
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from hopweave.llm import tokens
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+PLAIN = Tokenizer.from_file(PATH)
+CODER = tokens.Encoder(PATH)
+
+
+def ids_of(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
+def expected(rows):
+    """doc_id, start, n_tokens, crc of (doc_id, text) rows with distinct ids."""
+    out, start = [], 0
+    for doc_id, text in sorted(rows):
+        ids = [*ids_of(text), 2]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(alphabet=st.sampled_from("abcZé你'sdt.,!?;:|#<>019 \n\t\r\x00\x1c\x85  　́\U0001f600"), max_size=60))
+def test_cutting_changes_no_ids(text):
+    (raw,) = CODER.encode([text])
+    assert np.frombuffer(raw, CODER.dtype).tolist() == ids_of(text)
+
+
+def test_special_token_strings_and_repeated_pieces():
+    texts = ["<|endoftext|> a", "a <|endoftext|>b", "x" * 5000, "don't can't. it's... we're!", None, "", " lead", "trail ", "a  b\n\nc"] * 3
+    for text, raw in zip(texts, CODER.encode(texts), strict=True):
+        assert np.frombuffer(raw, CODER.dtype).tolist() == ids_of(text)
+
+
+def test_query_holds_every_id(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = tokens.op1_token_output(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == expected([tuple(r) for r in docs])
+
+
+def test_edge_rows(spark):
+    got = tokens.token_output(edge_docs(spark, wide=True), shards=3).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(ids_of(r[1])) + 1 for r in edge_rows())
+    assert sum(r["doc_id"] is None for r in got) == 2
+    ordered = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in ordered])[:-1]]).tolist()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
+    assert ids == sorted(ids)
+
+
+def test_empty_table(spark):
+    assert tokens.token_output(no_docs(spark)).count() == 0
+
+
+def test_documents_by_select(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    manifest = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, 2, 3).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = 0
+    for shard in manifest:
+        doc_ids = tokens.open_shard(shard["path"])[0]
+        for i, doc_id in enumerate(doc_ids):
+            assert tokens.read_document(shard["path"], i).tolist() == [*ids_of(texts[int(doc_id)]), 2]
+            seen += 1
+    assert seen == len(texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 10_000), max_size=900))
+def test_elias_fano(steps):
+    values = np.cumsum(np.array(steps, np.int64))
+    ef = tokens.EliasFano.encode(values)
+    assert ef.decode().tolist() == values.tolist()
+    for i in range(0, len(values), 37):
+        assert ef.get(i) == values[i]
+    if len(values) > 100:
+        assert ef.upper.nbytes + ef.low.nbytes <= len(values) * (3 + np.log2(max(2, values[-1] / len(values)))) / 8 + 16
