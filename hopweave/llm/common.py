@@ -121,7 +121,7 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
 # --- texts as bytes: numpy over a bounded piece of an Arrow column
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `most` bytes of text; a longer text is a run of its own. Null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_large_string(col.type):

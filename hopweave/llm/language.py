@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, fold_of, load, written
+from .common import fold_of, load, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -108,7 +108,7 @@ class Model:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def predict(self, text: str | None, keep: int = 300_000) -> tuple[str, float]:
+    def predict(self, text: str | None, keep: int = 100_000) -> tuple[str, float]:
         found = WORD.findall(text.lower()) if text else []
         if not found or not self.langs:
             return "und", 0.0
@@ -132,17 +132,16 @@ def identify(docs: DataFrame, model: Model | None = None, **bounds: int) -> Data
     model = model or Model.fit(docs, **bounds)
     shared = spark.sparkContext.broadcast((model.langs, model.tables))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for batch in batches:
-            kept = [i for i, c in enumerate(batch.schema.names) if c not in ("held_out", "lang_pred", "score")]
-            guesses = [own.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
-            held = [fold(i.as_py(), FOLDS) == HELD_OUT for i in batch.column(batch.schema.get_field_index("doc_id"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(held, pa.bool_()), pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())], names=[*(batch.schema.names[i] for i in kept), "held_out", "lang_pred", "score"])
+        for some in texts:
+            guesses = [own.predict(t.as_py()) for t in some]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())], names=["lang_pred", "score"])
 
     rows = docs.drop("held_out", "lang_pred", "score")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(predict, f"{ddl}, held_out boolean, lang_pred string, score double")
+    guessed = rows.withColumn("_guess", predict.asNondeterministic()("text"))  # so that it runs once a row, whatever follows
+    return guessed.select(*rows.columns, (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "_guess.lang_pred", "_guess.score")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
