@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, load, written
+from .common import fold_of, load, small_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -74,7 +74,7 @@ class Model:
 
     @classmethod
     def fit(cls, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-        counts = written(gram_counts(training_rows(docs, sample_docs)), "language-counts")
+        counts = written(gram_counts(training_rows(small_batches(docs), sample_docs)), "language-counts")
         sums = counts.groupBy("lang", "n").agg(F.sum("count")).collect()  # LONGEST + 1 rows a language
         langs = sorted({r[0] for r in sums})
         totals = np.ones((LONGEST + 1, len(langs)))
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model | None = None, **bounds: int) -> Data
             guesses = [own.predict(t.as_py()) for t in some]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())], names=["lang_pred", "score"])
 
-    rows = docs.drop("held_out", "lang_pred", "score")
+    rows = small_batches(docs).drop("held_out", "lang_pred", "score")
     guessed = rows.withColumn("_guess", predict.asNondeterministic()("text"))  # so that it runs once a row, whatever follows
     return guessed.select(*rows.columns, (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "_guess.lang_pred", "_guess.score")
 

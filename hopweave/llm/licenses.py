@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import IN_ALNUM, hash_word, load, lowered, mix, pieces, spans, word_hashes
+from .common import IN_ALNUM, hash_word, load, lowered, mix, pieces, small_batches, spans, word_hashes
 
 #: Base phrases and their labels.
 PHRASES = (
@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
                 yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, start: long, end: long>>"
-    return docs.select("doc_id", "text").mapInArrow(scan, kinds)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scan, kinds)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, load, lowered, pieces, signed, spans, word_hashes, written
+from .common import fold_of, load, lowered, pieces, signed, small_batches, spans, word_hashes, written
 
 ORDER = 4
 FOLDS, HELD_OUT = 5, 1
@@ -209,7 +209,7 @@ def ppm_scores(docs: DataFrame, train: Column | None = None, order: int = ORDER,
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes (without the end) of docs (doc_id, text)."""
     spark = docs.sparkSession
     train = (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) if train is None else train
-    rows = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs).select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Committed, load, new_path, read_range, store, written
+from .common import Committed, load, new_path, read_range, small_batches, store, written
 
 MAGIC = 0x31464554574F5048
 HEADER = 64
@@ -103,7 +103,7 @@ class Encoder:
     TIGHT = re.compile(r"\s\s|\x00")
     STOPS = ".,!?;:|"
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -215,7 +215,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, sh
                 f.write(b"".join(parts[a : a + 4096]))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "path": [path], "n_docs": pa.array([ef.n], pa.int64()), "n_ids": pa.array([int(ends[-1])], pa.int64())})
 
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     dealt = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
     return written(dealt.mapInArrow(shard, "shard int, path string, n_docs long, n_ids long"), "tokens-manifest")

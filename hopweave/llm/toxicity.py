@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IN_ALNUM, fold, fold_of, load, lowered, pieces, signed, spans, word_hashes
+from .common import IN_ALNUM, fold, fold_of, load, lowered, pieces, signed, small_batches, spans, word_hashes
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, PRIOR, LEAST_Z, DRIFT = 20_000, 10_000.0, 3.0, 0.25
@@ -146,7 +146,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, prior: float = PRIOR, least_z: float = LEAST_Z, drift: float = DRIFT) -> Model:
-    sample = labelled_sample(docs, labels, sample_docs).persist()
+    sample = labelled_sample(small_batches(docs), labels, sample_docs).persist()
     part = F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) % 4
     counts = word_counts(sample.where(part != 0)).where("y1 > 1").toPandas()  # words of the sample's toxic documents
     totals = word_counts(sample.where(part != 0)).agg(F.sum("y1"), F.sum("y0")).first()
@@ -213,7 +213,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([fold(i, FOLDS) == HELD_OUT for i in ids.to_pylist()], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= CUT).astype(np.int32)), pa.array(n), pa.array(found, kind)], names=["doc_id", "held_out", "score", "predicted", "n_words", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, held_out boolean, score double, predicted int, n_words long, passages array<struct<start: long, end: long, score: double>>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scan, "doc_id long, held_out boolean, score double, predicted int, n_words long, passages array<struct<start: long, end: long, score: double>>")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

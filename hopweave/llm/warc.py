@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Committed, load, new_path, sized_broadcast, store, written
+from .common import Committed, load, new_path, sized_broadcast, small_batches, store, written
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string"
 DATE = "2020-01-01T00:00:00Z"
@@ -82,7 +82,7 @@ def revisit_of(pages: DataFrame, digest: Column, size: Column, least: int, broad
 def write_warc(pages: DataFrame, out: str, least: int = 1000, level: int = 3) -> DataFrame:
     """Writes pages (page_id, url, html) under out and returns the index, itself a Parquet table beside the archives."""
     html = F.coalesce("html", F.lit(""))
-    dealt = revisit_of(pages.select("page_id", "url", html.alias("html")), F.sha1(F.encode(html, "UTF-8")), F.octet_length(html), least)
+    dealt = revisit_of(small_batches(pages).select("page_id", "url", html.alias("html")), F.sha1(F.encode(html, "UTF-8")), F.octet_length(html), least)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{out}/archive-{TaskContext.get().partitionId():06d}.warc.gz"
