@@ -680,7 +680,7 @@ def work_skew(spark, sf_dir):
     return M.work_skew(split(load(spark, sf_dir)))
 
 
-@query(sql("s", "WITH ow AS (SELECT layer, count(*) AS owned FROM (SELECT DISTINCT batch, layer, dst_part, dst FROM s) GROUP BY 1), sh AS (SELECT layer, count(*) AS shuffled FROM (SELECT DISTINCT batch, layer, part, dst_part, dst FROM s WHERE part <> dst_part) GROUP BY 1) SELECT a.layer, owned, coalesce(shuffled, 0) AS shuffled, round(coalesce(shuffled, 0) / owned, 6) AS ratio FROM ow LEFT JOIN sh USING (layer)"))
+@query(sql("s", "WITH ow AS (SELECT layer, count(*) AS owned FROM (SELECT DISTINCT batch, layer, dst_part, dst FROM s) GROUP BY 1), sh AS (SELECT layer, count(*) AS shuffled FROM (SELECT DISTINCT batch, layer, part, dst_part, dst FROM s WHERE part <> dst_part) GROUP BY 1) SELECT layer, owned, coalesce(shuffled, 0) AS shuffled, round(coalesce(shuffled, 0) / owned, 6) AS ratio FROM ow LEFT JOIN sh USING (layer)"))
 def shuffle_ratio(spark, sf_dir):
     rows = split(load(spark, sf_dir))
     return M.shuffle_ratio(B.owned_nodes(rows), B.shuffle_nodes(rows))
