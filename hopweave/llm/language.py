@@ -77,6 +77,8 @@ class Model:
         counts = written(gram_counts(training_rows(small_batches(docs), sample_docs)), "language-counts")
         sums = counts.groupBy("lang", "n").agg(F.sum("count")).collect()  # LONGEST + 1 rows a language
         langs = sorted({r[0] for r in sums})
+        if not langs:
+            return cls([], [])
         totals = np.ones((LONGEST + 1, len(langs)))
         for lang, n, total in sums:
             totals[n, langs.index(lang)] = total
@@ -85,7 +87,7 @@ class Model:
         wide = kept.groupBy("n", "gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"_{i}") for i, x in enumerate(langs)])
         found = wide.orderBy("n", "gram").toArrow()  # languages * (max_words + LONGEST * max_grams) rows at most
         own_n, grams_ = found.column("n").to_numpy(), found.column("gram").combine_chunks()
-        values = np.stack([found.column(f"_{i}").to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
+        values = np.stack([found.column(f"_{i}").to_numpy() for i in range(len(langs))], axis=1)
         tables = []
         for n in range(LONGEST + 1):
             a, b = np.searchsorted(own_n, [n, n + 1]).tolist()

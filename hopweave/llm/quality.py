@@ -94,10 +94,10 @@ def cutoffs(labelled: DataFrame, grids: dict[str, tuple[float, ...]] = GRIDS, ri
     levels = F.array(*[F.struct(F.lit(k).alias("ratio"), sum((F.when(F.col(k) > c, 1).otherwise(0) for c in grid), F.lit(0)).alias("level")) for k, grid in grids.items()])
     counts = labelled.select("stratum", "quality", F.explode(levels).alias("r")).groupBy("stratum", "r.ratio", "r.level").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
     totals = counts.groupBy("stratum", "ratio").agg(F.sum("good").alias("n_good"))
-    grid = F.array(*[F.struct(F.lit(k).alias("ratio"), F.lit(i + 1).alias("step"), F.lit(float(c)).alias("cutoff")) for k, g in grids.items() for i, c in enumerate(g)])
-    steps = totals.withColumn("g", F.explode(grid)).where("g.ratio = ratio").select("stratum", "ratio", "n_good", "g.step", "g.cutoff")
-    tested = steps.join(counts, ["stratum", "ratio"]).groupBy("stratum", "ratio", "n_good", "step", "cutoff")
-    tested = tested.agg(F.sum(F.when(F.col("level") >= F.col("step"), F.col("good")).otherwise(0)).alias("good_rejected"), F.sum(F.when(F.col("level") >= F.col("step"), F.col("bad")).otherwise(0)).alias("bad_rejected"))
+    grid = F.array(*[F.struct(F.lit(k).alias("ratio"), F.lit(i + 1).alias("step"), F.lit(len(g) - i).alias("over"), F.lit(float(c)).alias("cutoff")) for k, g in grids.items() for i, c in enumerate(g)])
+    steps = totals.withColumn("g", F.explode(grid)).where("g.ratio = ratio").select("stratum", "ratio", "n_good", "g.step", "g.over", "g.cutoff")
+    tested = steps.join(counts, ["stratum", "ratio"]).groupBy("stratum", "ratio", "n_good", "step", "cutoff")  # a ratio over a cutoff is over all stricter ones too: over `over` of its grid
+    tested = tested.agg(F.sum(F.when(F.col("level") >= F.col("over"), F.col("good")).otherwise(0)).alias("good_rejected"), F.sum(F.when(F.col("level") >= F.col("over"), F.col("bad")).otherwise(0)).alias("bad_rejected"))
     strata = counts.groupBy().agg(F.countDistinct("stratum").alias("_strata"))
     level = F.lit(delta) / (F.col("_strata") * len(grids))
     tested = tested.crossJoin(F.broadcast(strata)).withColumn("_fails", F.when(binomial_cdf(F.col("n_good"), F.col("good_rejected"), risk) <= level, 0).otherwise(1))

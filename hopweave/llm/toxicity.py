@@ -2,7 +2,8 @@
 
 Fit, on a bounded sample of labelled rows (`sample_docs` documents at most in expectation, texts that repeat counted once):
 1. log-odds of each word between toxic and other documents with an informative Dirichlet prior (the corpus' own frequencies,
-   worth `prior` words), and their z-scores. Words with z over `least_z` score their log-odds times z^2 / (z^2 + 9), all others
+   worth `prior` words), and their z-scores. A word counts once a document, so that one text's repetitions are no evidence.
+   Words with z over `least_z` score their log-odds times z^2 / (z^2 + 9), all others
    -`drift`.
 2. lambda and K of the extreme-value law of the best segment of a random text: lambda solves E[exp(lambda * score)] = 1 over
    the words of the other documents; K is fitted to their best segments.
@@ -105,7 +106,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> Dat
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
-    """key, toxic, count over documents of the sample's learning part, by the words' hashes."""
+    """key, y1, y0: in how many toxic and other documents of the sample's learning part each word (by its hash) stands."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +114,11 @@ def word_counts(sample: DataFrame) -> DataFrame:
             for a, b, data, offs in pieces(batch, "text"):
                 data = lowered(data)
                 starts, ends, row = spans(data, offs, IN_ALNUM)
-                h, label = word_hashes(data, starts, ends), toxic[a:b][row] == 1
+                h = word_hashes(data, starts, ends)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)]
+                h, label = h[fresh], toxic[a:b][row[fresh]] == 1
                 for value in (0, 1):
                     keys, n = np.unique(h[label == bool(value)], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"key": signed(keys), "toxic": pa.array(np.full(len(keys), value), pa.int32()), "count": pa.array(n, pa.int64())})

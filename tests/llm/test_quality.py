@@ -48,7 +48,7 @@ def brute_cutoffs(labelled):
             best = None
             for c in grid:
                 k, n = sum(x > c for x in good), len(good)
-                p = math.fsum(math.comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(k + 1))
+                p = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(quality.RISK) + (n - i) * math.log1p(-quality.RISK)) for i in range(k + 1))
                 if p > level:
                     break
                 hits = sum(x > c for x in bad)
