@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,15 +102,15 @@ class Encoder:
     """
 
     TIGHT = re.compile(r"\s\s|\x00")
-    STOPS = ".,!?;:|"
+    PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)?")
 
     def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that the byte-level alphabet leaves as they are; the others follow from 256
+        self.alphabet = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     @classmethod
@@ -126,31 +127,27 @@ class Encoder:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Adds what is not known of pieces."""
-        known, ended = self.known, []
-        new = set()
+        """Adds what is not known of pieces.
+
+        A word, a run of marks, and a word with a run of marks after it are one or two of the pre-tokenizer's own pieces: their ids come
+        straight from the library's model, in the byte-level alphabet. Everything else goes through the whole tokenizer.
+        """
+        known, model, code, rest = self.known, self.tokenizer.model.tokenize, self.dtype.char, []
         for p in pieces:
-            base = p.rstrip(self.STOPS)
-            if len(base) < len(p) and base.removeprefix(" ").isalpha():
-                ended.append((p, base, p[len(base) :]))
-                new.update(x for x in ended[-1][1:] if x not in known)
-            else:
-                new.add(p)
-        # pieces without white space but a leading space are encoded many at once, as lines: a single line feed is a token
-        lines = [p for p in new if p and p != " " and len(p.split()) == 1 and p[0] != "\n" and p.lstrip(" ") == p.strip() and not any(x in p for x in self.special)]
-        for a in range(0, len(lines), 500):
-            some = lines[a : a + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
-            raw, begin, width = ids.tobytes(), 0, self.dtype.itemsize
-            for p, end in zip(some, ends):
-                known[p] = raw[begin * width : end * width]
-                begin = end + 1
-        fresh = [p for p in new if p not in known]
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            found = self.PLAIN.fullmatch(p)
+            if not found:
+                rest.append(p)
+                continue
+            ids = b""
+            for part in found.groups():
+                if part:
+                    if part not in known:
+                        letters = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+                        known[part] = array(code, [t.id for t in model(letters)]).tobytes()
+                    ids += known[part]
+            known[p] = ids
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[p] = np.array(e.ids, self.dtype).tobytes()
-        for p, base, stop in ended:
-            known[p] = known[base] + known[stop]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
@@ -172,7 +169,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _groups(columns: list[pa.Array], most: int) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of a few MB each."""
+    """(ids, texts) of about `most` characters each."""
     ids, texts, size = [], [], 0
     for i, t in zip(*columns):
         i, t = i.as_py(), t.as_py()
@@ -194,7 +191,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, sh
         end = np.array([end_id], coder.dtype).tobytes()
         doc_ids, lengths, parts = [], [], []
         for batch in batches:
-            for ids, texts in _groups(batch.columns[:2], 4_000_000):
+            for ids, texts in _groups(batch.columns[:2], 1_000_000):
                 doc_ids += ids
                 for b in coder.encode(texts):
                     parts.append(b)
