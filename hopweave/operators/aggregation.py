@@ -99,8 +99,8 @@ def pairwise_mean(split: DataFrame, h: DataFrame, owners: DataFrame, dims: int)
     return per.where("own is not null").select(F.col("dst").alias("node"), merged.alias("vec"))
 
 
-def lstm_reduce(block: DataFrame, h: DataFrame, dims: int, seed: int = 1) -> DataFrame:
-    """Order-dependent fold of an LSTM cell over each destination's sources in id order; sampled blocks bound a destination's rows."""
+def lstm_reduce(block: DataFrame, h: DataFrame, dims: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., node, vec: order-dependent fold of an LSTM cell over each destination's sources in id order; sampled blocks bound a destination's rows."""
     import numpy as np
     import pandas as pd
 
@@ -114,9 +114,10 @@ def lstm_reduce(block: DataFrame, h: DataFrame, dims: int, seed: int = 1) -> Dat
             s = lambda z: 1 / (1 + np.exp(-z))
             cell = s(f) * cell + s(i) * np.tanh(g)
             state = s(o) * np.tanh(cell)
-        return pd.DataFrame({"node": [int(frame["dst"].iloc[0])], "vec": [state.tolist()]})
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in by}, "node": [int(frame["dst"].iloc[0])], "vec": [state.tolist()]})
 
-    return messages(block, h).select("src", "dst", "msg").groupBy("dst").applyInPandas(fold, "node bigint, vec array<double>")
+    kinds = "".join(f"{k} {block.schema[k].dataType.simpleString()}, " for k in by)
+    return messages(block, h).select(*by, "src", "dst", "msg").groupBy(*by, "dst").applyInPandas(fold, f"{kinds}node bigint, vec array<double>")
 
 
 # --- moving rows

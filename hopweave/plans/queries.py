@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +81,27 @@ def query(oracle: str | None = None):
     return add
 
 
+#: Set while the plan of a query named whole_... is built.
+WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def whole(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """run with every node as a seed."""
+
+    @wraps(run)
+    def over_all(spark, sf_dir):
+        token = WHOLE.set(True)
+        try:
+            return run(spark, sf_dir)
+        finally:
+            WHOLE.reset(token)
+
+    return over_all
+
+
 def seeds(g: G.Graph) -> DataFrame:
-    return S.make_batches(g.nodes.where("node < 64"), 16)
+    """All nodes in batches of 16 for the whole_ queries; the others have the 64 seeds that their SQL names."""
+    return S.make_batches(g.nodes if WHOLE.get() else g.nodes.where("node < 64"), 16)
 
 
 def sampled(g: G.Graph) -> DataFrame:
@@ -516,9 +537,11 @@ def pairwise_mean(spark, sf_dir):
 
 
 @query()
+@whole
 def lstm_reduce(spark, sf_dir):
+    """Of every node, in each batch and layer that samples it."""
     g = load(spark, sf_dir)
-    return V.long_form(A.lstm_reduce(sampled(g).where("layer = 0"), g.features, DIMS), ["node"])
+    return V.long_form(A.lstm_reduce(sampled(g), g.features, DIMS, by=("batch", "layer")), ["batch", "layer", "node"])
 
 
 @query(sql("inp x", "SELECT inp.batch, inp.node, x.dim::BIGINT AS dim, round(x.value, 6) AS value FROM inp JOIN x ON x.node = inp.node"))
@@ -708,6 +731,17 @@ def value_changes(spark, sf_dir):
     return M.changes(G.table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("event_type").alias("value")))
 
 
+# --- the same queries over the whole graph; their SQL is that of the others without the cut
+
+CUT = {CTE["b"]: CTE["b"].replace(" WHERE node < 64", "")}
+
+for _name in [k for k, v in SQL.items() if any(c in v for c in CUT)]:
+    QUERIES[f"whole_{_name}"] = whole(QUERIES[_name])
+    SQL[f"whole_{_name}"] = SQL[_name]
+    for _old, _new in CUT.items():
+        SQL[f"whole_{_name}"] = SQL[f"whole_{_name}"].replace(_old, _new)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: two hops sampled from 64 seeds, split over 4 owners, edges by (layer, source owner, destination owner)."""
     return QUERIES["split_counts"](spark, sf_dir)
