@@ -86,7 +86,7 @@ WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def whole(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """run with every node as a seed."""
+    """run with every node as a seed and whole vectors."""
 
     @wraps(run)
     def over_all(spark, sf_dir):
@@ -123,7 +123,7 @@ def whole_split(g: G.Graph) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> G.Graph:
-    return G.purchase_graph(spark, sf_dir)
+    return G.purchase_graph(spark, sf_dir, dims=None if WHOLE.get() else DIMS)
 
 
 # --- ingest
@@ -445,44 +445,44 @@ OUT = "round({v}, 6) AS value"
 @query(sql("e x", "SELECT e.dst AS node, x.dim::BIGINT AS dim, round(sum(x.value), 6) AS value FROM e JOIN x ON x.node = e.src GROUP BY 1, 2"))
 def neighbour_sum(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.aggregate_neighbors(g.edges, g.features, DIMS), ["node"])
+    return V.long_form(A.aggregate_neighbors(g.edges, g.features, g.dims), ["node"])
 
 
 @query(sql("a x", "SELECT a.dst AS node, x.dim::BIGINT AS dim, round(avg(x.value), 6) AS value FROM a JOIN x ON x.node = a.src GROUP BY 1, 2"))
 def neighbour_mean(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.aggregate_neighbors(whole_block(g), g.features, DIMS, reduce="mean"), ["node"])
+    return V.long_form(A.aggregate_neighbors(whole_block(g), g.features, g.dims, reduce="mean"), ["node"])
 
 
 @query(sql("e x", "SELECT e.dst AS node, x.dim::BIGINT AS dim, round(max(greatest(x.value, 0)), 6) AS value FROM e JOIN x ON x.node = e.src GROUP BY 1, 2"))
 def neighbour_max(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.aggregate_neighbors(g.edges, L.activate(g.features), DIMS, reduce="max"), ["node"])
+    return V.long_form(A.aggregate_neighbors(g.edges, L.activate(g.features), g.dims, reduce="max"), ["node"])
 
 
 @query(sql("e x", "SELECT e.dst AS node, x.dim::BIGINT AS dim, round((sum(x.value) + any_value(o.value)) / (count(*) + 1), 6) AS value FROM e JOIN x ON x.node = e.src JOIN x o ON o.node = e.dst AND o.dim = x.dim GROUP BY 1, 2"))
 def neighbour_gcn(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.gcn(g.edges, g.features, DIMS), ["node"])
+    return V.long_form(A.gcn(g.edges, g.features, g.dims), ["node"])
 
 
 @query(sql("e x", "SELECT e.dst AS node, x.dim::BIGINT AS dim, round(sum(x.value * ((e.src + e.dst) % 7 + 1) / 7.0), 6) AS value FROM e JOIN x ON x.node = e.src GROUP BY 1, 2"))
 def weighted_sum(spark, sf_dir):
     g = load(spark, sf_dir)
     weighted = g.edges.withColumn("w", ((F.col("src") + F.col("dst")) % 7 + 1) / F.lit(7.0))
-    return V.long_form(A.aggregate_neighbors(weighted, g.features, DIMS, "u_mul_e", weight="w"), ["node"])
+    return V.long_form(A.aggregate_neighbors(weighted, g.features, g.dims, "u_mul_e", weight="w"), ["node"])
 
 
 @query(sql("e x", "SELECT e.dst AS node, x.dim::BIGINT AS dim, round(sum(x.value * o.value), 6) AS value FROM e JOIN x ON x.node = e.src JOIN x o ON o.node = e.dst AND o.dim = x.dim GROUP BY 1, 2"))
 def attention_gather(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.aggregate_neighbors(g.edges, g.features, DIMS, "u_mul_v"), ["node"])
+    return V.long_form(A.aggregate_neighbors(g.edges, g.features, g.dims, "u_mul_v"), ["node"])
 
 
 @query(sql("e x", "SELECT e.dst AS node, x.dim::BIGINT AS dim, round(sum(x.value + o.value), 6) AS value FROM e JOIN x ON x.node = e.src JOIN x o ON o.node = e.dst AND o.dim = x.dim GROUP BY 1, 2"))
 def added_gather(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.aggregate_neighbors(g.edges, g.features, DIMS, "u_add_v"), ["node"])
+    return V.long_form(A.aggregate_neighbors(g.edges, g.features, g.dims, "u_add_v"), ["node"])
 
 
 SOFT = w_table("wt", DIMS, 2) + """, lr AS (SELECT node, sum(CASE WHEN k = 0 THEN value * w END) AS l, sum(CASE WHEN k = 1 THEN value * w END) AS r FROM x JOIN wt ON wt.i = x.dim GROUP BY node),
@@ -490,39 +490,39 @@ q AS (SELECT e.src, e.dst, CASE WHEN p.l + q.r > 0 THEN p.l + q.r ELSE 0.2 * (p.
 al AS (SELECT src, dst, exp(s - max(s) OVER (PARTITION BY dst)) AS v FROM q), alpha AS (SELECT src, dst, v / sum(v) OVER (PARTITION BY dst) AS alpha FROM al)"""
 
 
-def heads() -> tuple[list[float], list[float]]:
-    w = weights(DIMS, 2)
+def heads(dims: int) -> tuple[list[float], list[float]]:
+    w = weights(dims, 2)
     return [r[0] for r in w], [r[1] for r in w]
 
 
 @query(sql("e x", f"WITH {SOFT} SELECT src, dst, round(alpha, 6) AS alpha FROM alpha"))
 def edge_softmax(spark, sf_dir):
     g = load(spark, sf_dir)
-    return A.edge_softmax(g.edges, g.features, *heads()).select("src", "dst", F.round("alpha", 6).alias("alpha"))
+    return A.edge_softmax(g.edges, g.features, *heads(g.dims)).select("src", "dst", F.round("alpha", 6).alias("alpha"))
 
 
 @query(sql("e x", f"WITH {SOFT} SELECT a.dst AS node, x.dim::BIGINT AS dim, round(sum(a.alpha * x.value), 6) AS value FROM alpha a JOIN x ON x.node = a.src GROUP BY 1, 2"))
 def attention_sum(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.attention(g.edges, g.features, DIMS, *heads()), ["node"])
+    return V.long_form(A.attention(g.edges, g.features, g.dims, *heads(g.dims)), ["node"])
 
 
 @query(sql("e x", "SELECT e.src AS node, x.dim::BIGINT AS dim, round(sum(x.value), 6) AS value FROM e JOIN x ON x.node = e.dst GROUP BY 1, 2"))
 def sum_gradient(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.sum_gradient(g.edges, g.features, DIMS), ["node"])
+    return V.long_form(A.sum_gradient(g.edges, g.features, g.dims), ["node"])
 
 
 @query(sql("a x", "SELECT a.dst AS node, x.dim::BIGINT AS dim, round(sum(x.value), 6) AS value FROM a JOIN x ON x.node = a.src GROUP BY 1, 2"))
 def split_sum(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.split_sum(whole_split(g), g.features, DIMS), ["node"])
+    return V.long_form(A.split_sum(whole_split(g), g.features, g.dims), ["node"])
 
 
 @query(sql("a x", "SELECT a.dst AS node, x.dim::BIGINT AS dim, round(avg(x.value), 6) AS value FROM a JOIN x ON x.node = a.src GROUP BY 1, 2"))
 def split_mean(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.split_mean(whole_split(g), g.features, DIMS), ["node"])
+    return V.long_form(A.split_mean(whole_split(g), g.features, g.dims), ["node"])
 
 
 PAIRWISE = """p AS (SELECT sa.dst, sa.part, x.dim, avg(x.value) AS m FROM sa JOIN x ON x.node = sa.src GROUP BY 1, 2, 3),
@@ -533,7 +533,7 @@ pw AS (SELECT dst AS node, dim, sum(CASE WHEN own THEN m / 2.0 ** k ELSE m / 2.0
 @query(sql("sa o x", f"WITH {PAIRWISE} SELECT node, dim::BIGINT AS dim, round(value, 6) AS value FROM pw"))
 def pairwise_mean(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.pairwise_mean(whole_split(g), g.features, g.owners, DIMS), ["node"])
+    return V.long_form(A.pairwise_mean(whole_split(g), g.features, g.owners, g.dims), ["node"])
 
 
 @query()
@@ -541,7 +541,7 @@ def pairwise_mean(spark, sf_dir):
 def lstm_reduce(spark, sf_dir):
     """Of every node, in each batch and layer that samples it."""
     g = load(spark, sf_dir)
-    return V.long_form(A.lstm_reduce(sampled(g), g.features, DIMS, by=("batch", "layer")), ["batch", "layer", "node"])
+    return V.long_form(A.lstm_reduce(sampled(g), g.features, g.dims, by=("batch", "layer")), ["batch", "layer", "node"])
 
 
 @query(sql("inp x", "SELECT inp.batch, inp.node, x.dim::BIGINT AS dim, round(x.value, 6) AS value FROM inp JOIN x ON x.node = inp.node"))
@@ -554,7 +554,7 @@ def feature_gather(spark, sf_dir):
 def self_gather(spark, sf_dir):
     g = load(spark, sf_dir)
     even = g.nodes.where("node % 2 = 0").select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    return V.long_form(A.self_gather(g.edges.unionByName(even), g.features, DIMS), ["node"])
+    return V.long_form(A.self_gather(g.edges.unionByName(even), g.features, g.dims), ["node"])
 
 
 @query(sql("s x", "SELECT q.to_part, q.node, x.dim::BIGINT AS dim, round(x.value, 6) AS value FROM (SELECT DISTINCT dst_part AS to_part, dst AS node FROM s WHERE part <> dst_part) q JOIN x ON x.node = q.node"))
@@ -569,13 +569,15 @@ def remote_pull(spark, sf_dir):
 
 @query(sql("x", f"WITH {w_table('wt', DIMS, CLASSES)} SELECT x.node, wt.k::BIGINT AS dim, round(greatest(sum(x.value * wt.w), 0), 6) AS value FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2"))
 def linear_relu(spark, sf_dir):
-    return V.long_form(L.activate(L.linear(load(spark, sf_dir).features, weights(DIMS, CLASSES))), ["node"])
+    g = load(spark, sf_dir)
+    return V.long_form(L.activate(L.linear(g.features, weights(g.dims, CLASSES))), ["node"])
 
 
 @query(sql("x", f"WITH {w_table('wt', DIMS, CLASSES)} SELECT x.node AS i, wt.k::BIGINT AS j, round(sum(x.value * wt.w), 6) AS v FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2"))
 def sparse_matmul(spark, sf_dir):
-    x = load(spark, sf_dir).features.select(F.col("node").alias("i"), F.posexplode("vec").alias("k", "v"))
-    cells = [(i, k, w) for i, row in enumerate(weights(DIMS, CLASSES)) for k, w in enumerate(row)]
+    g = load(spark, sf_dir)
+    x = g.features.select(F.col("node").alias("i"), F.posexplode("vec").alias("k", "v"))
+    cells = [(i, k, w) for i, row in enumerate(weights(g.dims, CLASSES)) for k, w in enumerate(row)]
     return L.matmul(x, spark.createDataFrame(cells, "k int, j bigint, v double")).select("i", "j", F.round("v", 6).alias("v"))
 
 
@@ -584,7 +586,7 @@ GRAD = ", gr AS (SELECT node, k, (p - (k = label)::INT) / (SELECT count(*) FROM
 
 
 def logits(g: G.Graph) -> DataFrame:
-    return L.linear(g.features, weights(DIMS, CLASSES))
+    return L.linear(g.features, weights(g.dims, CLASSES))
 
 
 @query(sql("x y", f"WITH {LOGITS} SELECT node, label, round(loss, 6) AS loss FROM ce"))
@@ -608,15 +610,15 @@ def cross_entropy_gradient(spark, sf_dir):
 @query(sql("x y", f"WITH {LOGITS}{GRAD} SELECT i, wt.k, round(wt.w - 0.1 * v, 6) AS value FROM (SELECT x.dim AS i, gr.k, sum(x.value * gr.g) AS v FROM x JOIN gr ON gr.node = x.node GROUP BY 1, 2) q JOIN wt USING (i, k)"))
 def sgd_step(spark, sf_dir):
     g = load(spark, sf_dir)
-    w = weights(DIMS, CLASSES)
-    grad = L.weight_gradient(g.features, L.cross_entropy_gradient(logits(g), g.labels, CLASSES), DIMS, CLASSES)
+    w = weights(g.dims, CLASSES)
+    grad = L.weight_gradient(g.features, L.cross_entropy_gradient(logits(g), g.labels, CLASSES), g.dims, CLASSES)
     return L.sgd_step(grad, w, 0.1).select("i", "k", F.round("value", 6).alias("value"))
 
 
 @query(sql("x y", f"WITH {LOGITS}{GRAD} SELECT gr.node, wt.i::BIGINT AS dim, round(sum(gr.g * wt.w), 9) AS value FROM gr JOIN wt ON wt.k = gr.k GROUP BY 1, 2"))
 def linear_backward(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.linear_backward(L.cross_entropy_gradient(logits(g), g.labels, CLASSES), weights(DIMS, CLASSES)), ["node"], digits=9)
+    return V.long_form(L.linear_backward(L.cross_entropy_gradient(logits(g), g.labels, CLASSES), weights(g.dims, CLASSES)), ["node"], digits=9)
 
 
 @query(sql("x y", f"WITH {LOGITS} SELECT count(*) AS n, sum((z >= top)::INT)::BIGINT AS n_correct, round(avg((z >= top)::INT), 6) AS accuracy FROM zs WHERE k = label"))
@@ -633,7 +635,8 @@ def split_accuracy(spark, sf_dir):
 
 @query(sql("x", f"WITH {w_table('wa', DIMS, 6)}, {w_table('wb', 6, 4)}, h AS (SELECT x.node, wa.k, greatest(sum(x.value * wa.w), 0) AS v FROM x JOIN wa ON wa.i = x.dim GROUP BY 1, 2) SELECT h.node, wb.k::BIGINT AS dim, round(sum(h.v * wb.w), 6) AS value FROM h JOIN wb ON wb.i = h.k GROUP BY 1, 2"))
 def mlp_forward(spark, sf_dir):
-    return V.long_form(L.mlp(load(spark, sf_dir).features, [DIMS, 6, 4]), ["node"])
+    g = load(spark, sf_dir)
+    return V.long_form(L.mlp(g.features, [g.dims, 6, 4]), ["node"])
 
 
 @query(sql("a x", f"""WITH {w_table('wa', DIMS, 6)}, {w_table('wb', 6, 4)}, s1 AS (SELECT a.dst AS node, x.dim, sum(x.value) AS v FROM a JOIN x ON x.node = a.src GROUP BY 1, 2),
@@ -641,7 +644,7 @@ h AS (SELECT s1.node, wa.k, greatest(sum(s1.v * wa.w), 0) AS v FROM s1 JOIN wa O
 SELECT s2.node, wb.k::BIGINT AS dim, round(sum(s2.v * wb.w), 5) AS value FROM s2 JOIN wb ON wb.i = s2.dim GROUP BY 1, 2"""))
 def gcn_forward(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.gcn_sum(whole_block(g), g.features, [DIMS, 6, 4]), ["node"], digits=5)
+    return V.long_form(L.gcn_sum(whole_block(g), g.features, [g.dims, 6, 4]), ["node"], digits=5)
 
 
 SAGE = """{w1}, {w2}, m1 AS (SELECT a.dst AS node, x.dim, avg(x.value) AS v FROM a JOIN x ON x.node = a.src GROUP BY 1, 2),
@@ -653,20 +656,21 @@ SELECT c2.node, wb.k::BIGINT AS dim, round(sum(c2.v * wb.w), 6) AS value FROM c2
 @query(sql("a x", "WITH " + SAGE))
 def full_inference(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.full_inference(g.edges, g.nodes, g.features, [DIMS, 6, 4]), ["node"])
+    return V.long_form(L.full_inference(g.edges, g.nodes, g.features, [g.dims, 6, 4]), ["node"])
 
 
 @query(sql("sa o x", f"WITH {w_table('wa', 16, 4)}, {PAIRWISE}, c AS (SELECT node, dim, value AS v FROM x UNION ALL SELECT node, dim + 8, value FROM pw) SELECT c.node, wa.k::BIGINT AS dim, round(sum(c.v * wa.w), 6) AS value FROM c JOIN wa ON wa.i = c.dim GROUP BY 1, 2"))
 def split_sage_layer(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.sage([whole_split(g)], g.features, [DIMS, 4], "pairwise", g.owners), ["node"])
+    return V.long_form(L.sage([whole_split(g)], g.features, [g.dims, 4], "pairwise", g.owners), ["node"])
 
 
 @query()
+@whole
 def split_sage_three_layers(spark, sf_dir):
     g = load(spark, sf_dir)
     block = whole_split(g)
-    return V.long_form(L.sage([block] * 3, g.features, [DIMS, 6, 6, 4], "pairwise", g.owners), ["node"])
+    return V.long_form(L.sage([block] * 3, g.features, [g.dims, 6, 6, 4], "pairwise", g.owners), ["node"])
 
 
 # --- metrics
@@ -733,12 +737,15 @@ def value_changes(spark, sf_dir):
 
 # --- the same queries over the whole graph; their SQL is that of the others without the cut
 
-CUT = {CTE["b"]: CTE["b"].replace(" WHERE node < 64", "")}
+WIDTH = 64  # numbers of a vector
+CUT = {CTE["b"]: CTE["b"].replace(" WHERE node < 64", ""), CTE["x"]: CTE["x"].replace(f"range(1, {DIMS + 1})", f"range(1, {WIDTH + 1})")}
+#: Sizes of weights and offsets that follow the vectors' length.
+SIZED = {f"range({DIMS}) t(i)": f"range({WIDTH}) t(i)", f"range({2 * DIMS}) t(i)": f"range({2 * WIDTH}) t(i)", f"dim + {DIMS},": f"dim + {WIDTH},"}
 
 for _name in [k for k, v in SQL.items() if any(c in v for c in CUT)]:
     QUERIES[f"whole_{_name}"] = whole(QUERIES[_name])
     SQL[f"whole_{_name}"] = SQL[_name]
-    for _old, _new in CUT.items():
+    for _old, _new in (CUT | SIZED).items():
         SQL[f"whole_{_name}"] = SQL[f"whole_{_name}"].replace(_old, _new)
 
 

@@ -22,6 +22,7 @@ class Graph:
     features: DataFrame
     labels: DataFrame
     owners: DataFrame
+    dims: int = DIMS
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Graph:
@@ -51,13 +52,17 @@ def bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
-def purchase_graph(spark: SparkSession, sf_dir: str, owners: int = 4, dims: int = DIMS) -> Graph:
+def purchase_graph(spark: SparkSession, sf_dir: str, owners: int = 4, dims: int | None = DIMS) -> Graph:
+    """Features are the first dims numbers of the vectors; None takes them whole, as long as the table's first one."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("node"))
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()  # read from the file footers
+    if dims is None:
+        first = vectors.select(F.size("embedding")).first()
+        dims = first[0] if first else DIMS
     keyed = vectors.select(F.col("vec_id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("vec"), "label")
     data = nodes.join(keyed, F.pmod(F.col("node"), F.lit(n)) == F.col("vec_id"))
-    return Graph(purchase_edges(spark, sf_dir), nodes, data.select("node", "vec"), data.select("node", F.col("label").cast("int").alias("label")), nodes.select("node", F.pmod("node", F.lit(owners)).cast("int").alias("part")))
+    return Graph(purchase_edges(spark, sf_dir), nodes, data.select("node", "vec"), data.select("node", F.col("label").cast("int").alias("label")), nodes.select("node", F.pmod("node", F.lit(owners)).cast("int").alias("part")), dims)
 
 
 def synthetic_edges(spark: SparkSession, nodes: int = 200, edges: int = 1000, cross: int = 400, communities: int = 4, seed: int = 1) -> DataFrame:

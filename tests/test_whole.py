@@ -23,3 +23,35 @@ def test_lstm_reduces_every_node_of_both_layers(spark, sf):
     assert sorted(r["node"] for r in rows if r["layer"] == 0) == sorted(nodes(spark, sf))
     sampled = queries.QUERIES["whole_sample_two_hops"](spark, sf).select("batch", "layer", "dst").distinct().collect()
     assert {tuple(r) for r in rows} == {tuple(r) for r in sampled}
+
+
+def test_every_query_of_vectors_has_a_whole_one(spark, sf):
+    width = {len(r[0]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()}
+    assert width == {queries.WIDTH}
+    of_vectors = {k for k, v in queries.SQL.items() if queries.CTE["x"] in v}
+    assert len(of_vectors) > 25 and {f"whole_{k}" for k in of_vectors} <= set(queries.QUERIES) & set(queries.SQL)
+
+
+def test_vectors_are_whole(spark, sf):
+    for name in ("whole_neighbour_sum", "whole_feature_gather", "lstm_reduce"):
+        dims = {r[0] for r in queries.QUERIES[name](spark, sf).select("dim").distinct().collect()}
+        assert dims == set(range(64)), name
+
+
+def test_three_layers_read_whole_vectors(spark, sf, monkeypatch):
+    """A change of the last number of each vector changes the result."""
+    from pyspark.sql import functions as F
+
+    graph = queries.G.purchase_graph
+
+    def changed(*args, **kwargs):
+        g = graph(*args, **kwargs)
+        last = F.col("vec")[F.size("vec") - 1]
+        g.features = g.features.select("node", F.concat(F.slice("vec", 1, F.size("vec") - 1), F.array(last + 100)).alias("vec"))
+        assert g.dims == 64
+        return g
+
+    run = queries.QUERIES["split_sage_three_layers"]
+    before = {tuple(r) for r in run(spark, sf).collect()}
+    monkeypatch.setattr(queries.G, "purchase_graph", changed)
+    assert {tuple(r) for r in run(spark, sf).collect()} != before
