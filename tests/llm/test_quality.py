@@ -119,3 +119,24 @@ def test_the_strata_are_the_callers_choice(spark):
     for r in quality.quality_rules(docs, labels, stratum="source").collect():
         got[r["stratum"]] += 1
     assert got == {"s0": 10, "s1": 10}
+
+
+def test_strata_with_fewer_labels_are_tested_at_a_wider_risk(spark):
+    """The number of good labels alone sets the risk; with too few there is no cutoff."""
+    sizes = {"en": 1200, "de": 500, "es": 200, "fr": 90}
+    rows = [(s, q, 0.9 if not q and i % 2 else 0.1) for s, n in sizes.items() for q, m in ((1, n), (0, 40)) for i in range(m)]
+    frame = spark.createDataFrame(rows, "stratum string, quality int, symbol_ratio double")
+    grids = {k: v for k, v in quality.GRIDS.items() if k == "symbol_ratio"}
+    level = quality.DELTA / 16
+    got = {r["stratum"]: r for r in quality.cutoffs(frame, grids, delta=quality.DELTA / 4).collect()}
+    assert {s: r["risk"] for s, r in got.items()} == {"en": 0.005, "de": 0.02, "es": 0.05}
+    for s, r in got.items():
+        assert (r["cutoff"], r["good_rejected"], r["bad_rejected"]) == (0.8, 0, 20)
+        assert (1 - r["risk"]) ** sizes[s] <= level
+    assert {r["stratum"] for r in quality.cutoffs(frame, grids, delta=quality.DELTA / 4, wider=()).collect()} == {"en"}
+
+
+def test_wider_risk_still_fails_a_cutoff_that_costs_too_much(spark):
+    rows = [("de", 1, 0.9 if i < 10 else 0.1) for i in range(500)] + [("de", 0, 0.9)] * 40
+    frame = spark.createDataFrame(rows, "stratum string, quality int, symbol_ratio double")
+    assert quality.cutoffs(frame, {"symbol_ratio": quality.GRIDS["symbol_ratio"]}, delta=quality.DELTA / 16).count() == 0
