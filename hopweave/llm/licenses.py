@@ -6,8 +6,9 @@ states that the next word satisfies and adds what optional regions let it skip.
 automaton reaches its end: mandatory wording must stand word for word. Templates begin with three mandatory words; only places
 where those stand are tried, so a text without license wording costs one vectorised pass.
 
-Base phrases are templates without regions and label a text by themselves. score: 1 for a whole license text, 0.9 for a notice,
-0.8 for a base phrase alone, 0 for none.
+Base phrases are templates without regions and label a text by themselves. score: 1 for a whole license text, conditions and
+disclaimer included, 0.9 for a notice, 0.8 for a base phrase alone, 0.5 for the opening of a license text alone, which altered
+terms may follow, 0 for none. In whole texts only names can be replaced.
 
 Cases: null and empty texts have no words, no labels and score 0; other columns are ignored; rows that repeat are scanned each.
 """
@@ -30,14 +31,24 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
+#: Parts of the BSD licenses: the first two conditions, the third, the disclaimer.
+BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "<<beginOptional>>3.<<endOptional>> Neither the name of <<var;max=8>> nor the names of <<beginOptional>>its<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY <<var;max=8>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 #: Public license wording, as (label, score, template).
 TEMPLATES = (
-    ("mit", 1.0, "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;max=8>> and associated documentation files <<beginOptional>>(the Software)<<endOptional>>, to deal in <<var;max=8>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<var;max=8>>, and to permit persons to whom <<var;max=8>> furnished to do so, subject to the following conditions"),
-    ("isc", 1.0, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", 1.0, "Redistribution and use <<beginOptional>>of this software<<endOptional>> in source and binary forms, with or without modification, are permitted <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met"),
+    ("mit", 1.0, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the Software)<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", 1.0, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;max=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("isc", 1.0, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;max=8>> DISCLAIM ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-2-clause", 1.0, f"{BSD_CONDITIONS} {BSD_DISCLAIMER}"),
+    ("bsd-3-clause", 1.0, f"{BSD_CONDITIONS} {BSD_NAMES} {BSD_DISCLAIMER}"),
+    ("mit", 0.5, "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;max=8>> and associated documentation files <<beginOptional>>(the Software)<<endOptional>>, to deal in <<var;max=8>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<var;max=8>>, and to permit persons to whom <<var;max=8>> furnished to do so, subject to the following conditions"),
+    ("isc", 0.5, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", 0.5, "Redistribution and use <<beginOptional>>of this software<<endOptional>> in source and binary forms, with or without modification, are permitted <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met"),
     ("apache-2", 0.9, "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the License)<<endOptional>>"),
     ("gpl-3", 0.9, "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU <<beginOptional>>Affero<<endOptional>> <<beginOptional>>Lesser<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
-    ("gpl-3", 1.0, "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("gpl-3", 0.9, "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("cc-by-nc", 0.9, "licensed under CC BY-NC <<var;max=2>> <<beginOptional>>International<<endOptional>>"),
     ("cc-by-nc", 0.9, "licensed under a Creative Commons Attribution NonCommercial <<beginOptional>>ShareAlike<<endOptional>> <<var;max=2>> <<beginOptional>>International<<endOptional>> License"),
     ("mit", 0.9, "released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),

@@ -96,3 +96,33 @@ def test_edge_rows(spark):
     got = licenses.scan_licenses(edge_docs(spark, wide=True)).collect()
     assert sorted((r["n_words"], r["n_base"], r["base_labels"]) for r in got) == sorted((x := brute(r[1]))[:2] + (x[4],) for r in edge_rows())
     assert licenses.scan_licenses(no_docs(spark)).count() == 0
+
+
+def whole(label):
+    """A whole text of a template: its names filled in, its optional regions kept."""
+    (text, *_) = [t for k, score, t in licenses.TEMPLATES if k == label and score == 1.0]
+    return re.sub(r"<<var.*?>>", "the authors", re.sub(r"<<(begin|end)Optional>>", "", text))
+
+
+@pytest.mark.parametrize("label", ["mit", "isc", "bsd-2-clause", "bsd-3-clause"])
+def test_only_whole_texts_score_one(spark, label):
+    text = whole(label)
+    w = text.split()
+    altered = [
+        text.replace("AS IS", "AS IT STANDS"),
+        " ".join(w[:-1]),
+        " ".join(w[: len(w) * 2 // 3] + ["for", "non-commercial", "use", "only"] + w[len(w) * 2 // 3 :]),
+        text.replace("THE SOFTWARE IS PROVIDED", "The Software shall not be used for gain. THE SOFTWARE IS PROVIDED").replace("THIS SOFTWARE IS PROVIDED", "It shall not be used for gain. THIS SOFTWARE IS PROVIDED"),
+    ]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate([text, "Copyright (c) Someone. " + text + " more", *altered])), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert got[0]["score"] == got[1]["score"] == 1.0 and label in got[0]["labels"].split(",")
+    assert all(0 < got[i]["score"] < 0.8 for i in range(2, len(rows)))
+    variants = {"bsd-2-clause", "bsd-3-clause"}
+    assert {m["label"] for m in got[0]["matches"]} & variants == {label} & variants
+    assert not any({m["label"] for m in got[i]["matches"]} & variants for i in range(2, len(rows)))
+
+
+def test_openings_score_low(spark):
+    (r,) = licenses.scan_licenses(spark.createDataFrame([(1, MIT + " The Software shall not be sold.")], "doc_id long, text string")).collect()
+    assert (r["labels"], r["score"]) == ("mit", 0.5)
