@@ -94,6 +94,14 @@ def owned_subgraph(edges: DataFrame, owners: DataFrame, parts: list[int]) -> Dat
     return edges.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+def cluster_batches(edges: DataFrame, owners: DataFrame, batches: list[list[int]]) -> DataFrame:
+    """batch, src, dst: the induced subgraph of each batch of parts; batches that hold all parts, each once, cover every node."""
+    batch = F.create_map(*[F.lit(x) for i, parts in enumerate(batches) for p in parts for x in (p, i)])[F.col("part")]
+    own = owners.select("node", batch.alias("batch")).where("batch is not null")
+    src, dst = own.select(F.col("node").alias("src"), "batch"), own.select(F.col("node").alias("dst"), "batch")
+    return edges.join(src, "src").join(dst, ["dst", "batch"]).select("batch", "src", "dst")
+
+
 def within_owner(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """part, src, dst of edges inside one owner."""
     from .owners import with_owners

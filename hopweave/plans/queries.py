@@ -318,6 +318,12 @@ def cluster_subgraph(spark, sf_dir):
     return S.owned_subgraph(g.edges, g.owners, [0, 2])
 
 
+@query(sql("e o", "SELECT p.part % 2 AS batch, e.src, e.dst FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part % 2 = q.part % 2"))
+def whole_cluster_subgraph(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return S.cluster_batches(g.edges, g.owners, [[0, 2], [1, 3]])
+
+
 # --- splits
 
 

@@ -55,3 +55,12 @@ def test_three_layers_read_whole_vectors(spark, sf, monkeypatch):
     before = {tuple(r) for r in run(spark, sf).collect()}
     monkeypatch.setattr(queries.G, "purchase_graph", changed)
     assert {tuple(r) for r in run(spark, sf).collect()} != before
+
+
+def test_all_batches_of_clusters_are_returned(spark, sf):
+    g = queries.load(spark, sf)
+    part = {r["node"]: r["part"] for r in g.owners.collect()}
+    want = {(part[r["src"]] % 2, r["src"], r["dst"]) for r in g.edges.collect() if part[r["src"]] % 2 == part[r["dst"]] % 2}
+    rows = [tuple(r) for r in queries.QUERIES["whole_cluster_subgraph"](spark, sf).select("batch", "src", "dst").collect()]
+    assert len(rows) == len(want) and set(rows) == want and {r[0] for r in rows} == {0, 1}
+    assert {r[1:] for r in rows if r[0] == 0} == {tuple(r) for r in queries.QUERIES["cluster_subgraph"](spark, sf).collect()}
