@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 import tempfile
 import uuid
@@ -40,13 +39,18 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that driver and executors share, with its scheme: the session's spark.checkpoint.dir or its checkpoint folder.
+
+    A local session without either gets one of its own (tests); a cluster without either is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hopweave-"))
-    return spark.sparkContext.getCheckpointDir()
+        where = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(where.rstrip("/"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -74,14 +78,18 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a Parquet table in the shared folder and reads it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     if _recorded is not None:
         _recorded.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -112,8 +120,18 @@ def fold(value, n: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % n
 
 
-def add_columns(df: DataFrame, **new: Column) -> DataFrame:
-    return df.withColumns(new)
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 # --- files on any store that pyarrow knows (file, hdfs, s3, gs), written by tasks
@@ -256,7 +274,3 @@ def hash_word(word: str) -> int:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
-
-
-def local_name(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))

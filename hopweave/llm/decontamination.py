@@ -1,12 +1,17 @@
 """Benchmark decontamination by exact matching of n-word windows, in DataFrame operations alone.
 
-Every window of `n` consecutive words of a benchmark item (an item of fewer words is one window) is kept once, with the items
-it stands in, under an anchor: its longest word, and the largest of those. The set of windows is broadcast while its counted
-rows are within `broadcast_rows` and joined by shuffle beyond. Training texts are cut into words once; a word that is an anchor
-is a possible hit, which counts only if the n words around it are the window's. Nothing but verified hits leaves the scan.
+Every window of `n` consecutive words of a benchmark item (an item of fewer words is one window) is kept once, with the items it
+stands in, under a hash of its words. Training texts are cut into words once, and every n words of them, and every m words for
+the sizes m of short items, are hashed and looked up in that set; a hash that is found counts only if the words are the
+window's. The set is broadcast while its counted rows are within `broadcast_rows`, and hits are verified where they are found.
+Beyond it hashes are joined by shuffle, each with its place alone, and what is found is verified with the texts joined back.
+Hits are written once; counts and items are taken from there.
 
 Cases: null and empty texts have no words and no hits; an item without words has no window; null item_ids count as hits but are
-not listed; rows that repeat are scanned and reported each; an empty benchmark leaves all documents clean.
+not listed; rows that repeat (same id and text) are reported each, with the same counts; rows of one id and different texts are
+told apart; items of equal windows are all listed; an empty benchmark leaves all documents clean; an empty table gives no rows;
+very long texts give as many hashes as words, a row each; `decontaminate` replaces columns of docs that have the names of its
+own, the others leave every column of docs as it is.
 """
 
 from __future__ import annotations
@@ -14,42 +19,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, load, sized_broadcast, words, written
+from .common import NOT_ALNUM, ascii_lower, columns, let, load, sized_broadcast, unused, words, written
 
 #: NOT_ALNUM for texts that are not lower-cased: it finds as many words.
 NOT_ALNUM_ANY = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
+BROADCAST_ROWS = 1_000_000
 
 
 def item_words(text: Column) -> Column:
     return words(ascii_lower(text), NOT_ALNUM)
 
 
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """anchor, shift (of the anchor in the window), window (its words), size, items: one row for each distinct window."""
+    """hash, window (its words), size, items: one row for each distinct window."""
     items = benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
     windows = items.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i") + 1, n).alias("window"))
     windows = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-    longest = F.array_max(F.transform("window", lambda w, i: F.struct(F.length(w).alias("size"), w.alias("word"), (-i).alias("at"))))
-    return windows.withColumn("_a", longest).select(F.col("_a.word").alias("anchor"), (-F.col("_a.at")).alias("shift"), "window", F.size("window").alias("size"), "items")
+    return windows.select(F.xxhash64(word_hashes(F.col("window"))).alias("hash"), "window", F.size("window").alias("size"), "items")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, digest (of the text), start, end (word positions), items: every occurrence of a window."""
-    windows = written(benchmark_windows(benchmark, n), "leak-windows")
-    windows = sized_broadcast(windows, windows.count(), broadcast_rows)
-    cut = docs.select("doc_id", text_key(F.col("text")).alias("digest"), item_words(F.col("text")).alias("w"))
-    rows = cut.select("doc_id", "digest", "w", F.posexplode("w").alias("p", "word"))
-    start = F.col("p") - F.col("shift")
-    found = rows.join(windows, F.col("word") == F.col("anchor")).where((start >= 0) & (start + F.col("size") <= F.size("w")) & (F.slice("w", start + 1, F.col("size")) == F.col("window")))
-    return found.select("doc_id", "digest", start.alias("start"), (start + F.col("size")).alias("end"), "items")
+def text_windows(w: Column, sizes: list[int]) -> Column:
+    """start, hash of all runs of so many words; nothing of texts that are shorter."""
+
+    def of(h: Column, size: int) -> Column:
+        starts = F.when(F.size(h) >= size, F.sequence(F.lit(0), F.size(h) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice(h, i + 1, size)).alias("hash")))
+
+    return let(word_hashes(w), lambda h: F.concat(*[of(h, size) for size in sizes]))
 
 
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, digest (of the text), start, end (word positions), items: every occurrence of a window."""
+    windows = written(benchmark_windows(benchmark, n), "leak-windows")
+    sizes = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}  # n rows at most
+    found = ["doc_id", "digest", "start", (F.col("start") + F.col("size")).alias("end"), "items"]
+    cut = docs.select("doc_id", text_key(F.col("text")).alias("digest"), item_words(F.col("text")).alias("w"))
+    if not sizes:
+        return cut.join(windows, F.lit(False)).withColumn("start", F.lit(0)).select(*found)
+    is_window = F.slice("w", F.col("start") + 1, F.col("size")) == F.col("window")
+    runs = F.inline(text_windows(F.col("w"), sorted(sizes)))
+    if sum(sizes.values()) <= broadcast_rows:
+        return cut.select("doc_id", "digest", "w", runs).join(F.broadcast(windows), "hash").where(is_window).select(*found)
+    places = cut.select("doc_id", "digest", runs).join(windows.select("hash").distinct(), "hash", "left_semi")
+    texts = cut.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "w")
+    possible = written(places.join(windows, "hash"), "leak-places")
+    return possible.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).where(is_window).select(*found)
+
+
 def hit_documents(hits: DataFrame) -> DataFrame:
     """doc_id, digest, n_hit (distinct words hit), n_items, items (sorted as strings, comma-joined): only documents with a hit."""
     key = ["doc_id", "digest"]
@@ -62,24 +88,44 @@ def hit_documents(hits: DataFrame) -> DataFrame:
     return n_hit.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).drop("_d", "_g")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items and contaminated; columns of docs with these names give way."""
-    new = ("n_words", "n_hit", "n_items", "items", "contaminated")
-    hit = written(hit_documents(find_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n)), "leak-documents")
-    hit = hit.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), F.col("n_hit").alias("_n"), F.col("n_items").alias("_k"), F.col("items").alias("_i"))
-    rows = docs.drop(*new).withColumn("n_words", F.size(words(F.col("text"), NOT_ALNUM_ANY)).cast("long")).withColumn("_key", text_key(F.col("text")))
-    joined = rows.join(sized_broadcast(hit, hit.count(), 500_000), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_g")), "left")
-    return joined.select(*[c for c in rows.columns if c != "_key"], F.coalesce("_n", F.lit(0)).alias("n_hit"), F.coalesce("_k", F.lit(0)).cast("long").alias("n_items"), F.coalesce("_i", F.lit("")).alias("items"), F.col("_d").isNotNull().alias("_x"), F.col("_n").isNotNull().alias("contaminated")).drop("_x")
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """hit_documents of docs, written."""
+    hits = written(find_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n, broadcast_rows), "leak-hits")
+    return written(hit_documents(hits), "leak-documents")
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs without a hit, with the columns of docs."""
-    return decontaminate(docs, benchmark, n).where("not contaminated").select(*docs.columns)
+def of_document(docs: DataFrame, found: DataFrame, most: int = 500_000) -> tuple[DataFrame, Column]:
+    """found (doc_id, digest, ...) under names that no column of docs has, as _name of each, and the condition that joins it."""
+    mark = unused(docs, "leak")
+    other = sized_broadcast(found.select(*[F.col(c).alias(f"{mark}_{c}") for c in found.columns]), found.count(), most)
+    same = docs["doc_id"].eqNullSafe(other[f"{mark}_doc_id"]) & (text_key(docs["text"]) == other[f"{mark}_digest"])
+    return other, same
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items and contaminated; columns of docs with these names give way."""
+    found, rest = leaks(docs, benchmark, n, broadcast_rows), docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
+    other, same = of_document(rest, found)
+    mark = other.columns[0].removesuffix("_doc_id")
+    return rest.join(other, same, "left").select(
+        *columns(rest.columns),
+        F.size(words(F.col("text"), NOT_ALNUM_ANY)).cast("long").alias("n_words"),
+        F.coalesce(f"{mark}_n_hit", F.lit(0)).alias("n_hit"),
+        F.coalesce(f"{mark}_n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(f"{mark}_items", F.lit("")).alias("items"),
+        F.col(f"{mark}_n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without those that have a hit; all columns as they are."""
+    other, same = of_document(docs, leaks(docs, benchmark, n, broadcast_rows).select("doc_id", "digest"))
+    return docs.join(other, same, "left_anti")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text: the words that no window hits, in order, joined by single spaces (lower-cased); a text without hits stays as it is."""
-    hits = find_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n).select("doc_id", "digest", F.struct("start", "end").alias("s")).distinct()
+    hits = find_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n, broadcast_rows).select("doc_id", "digest", F.struct("start", "end").alias("s")).distinct()
     spans = hits.groupBy("doc_id", "digest").agg(F.collect_list("s").alias("_s")).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "_s")
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_g")), "left")
     kept = F.filter(item_words(F.col("text")), lambda w, i: ~F.exists("_s", lambda s: (s["start"] <= i) & (i < s["end"])))

@@ -33,7 +33,11 @@ def test_edge_rows(spark):
     docs = edge_docs(spark, wide=True).where("doc_id is null or doc_id <> 6")
     got = D.decontaminate(docs, items).collect()
     assert sorted((r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got) == sorted(brute(r[1]) for r in rows)
+    assert {(r["score"], r["key"], r["size"], r["point"]) for r in got} == {(0.5, "k", "s", "p")}
     kept = D.remove_documents(docs, items)
+    clash = docs.selectExpr("*", "7 as n_hit", "'mine' as _leak_doc_id", "'d' as _key", "'x' as `dotted.name`")
+    again = D.remove_documents(clash, items)
+    assert again.columns == clash.columns and {(r["n_words"], r["items"], r["n_hit"], r["_leak_doc_id"], r["_key"], r["dotted.name"]) for r in again.collect()} == {(1, "i", 7, "mine", "d", "x")}
     assert kept.columns == docs.columns and kept.count() == sum(not brute(r[1])[3] for r in rows)
 
 
@@ -44,6 +48,16 @@ def test_by_shuffle_beyond_the_broadcast_bound(spark):
     assert near == far and near
 
 
+def test_whole_table_by_shuffle(spark, sf, duck):
+    """Every document of the table, beyond the bound, against the SQL of the query."""
+    from compare import assert_same
+    from pyspark.sql import functions as F
+
+    got = D.decontaminate(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_rows=0)
+    got = got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    assert_same(got.toPandas(), duck.execute(D.OP5_SQL).df())
+
+
 def test_spans_go_and_other_words_stay(spark):
     docs = spark.createDataFrame([(1, "Keep this, " + "word " * 12 + "and that."), (2, "Left AS it is.")], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

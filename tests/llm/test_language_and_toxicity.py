@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,81 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert longest and np.allclose(word, np.mean(longest, axis=0))
 
 
+def test_language_equals_plain_counting(spark, sf):
+    """Every prediction and score against dictionaries of strings, with a sample that takes all training rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(10_001, "Straße für Übung", "de"), (10_002, "xyzzy qwxk", None), (10_009, "हिन्दी भाषा", "hi"), (10_010, "हिन्दी भाषा", "hi"), (10_011, "हिन्दी भाषा", "hi"), (10_004, "हिन्दी", None), (10_005, "\u00b2 \u00bd \u2460 12", None), (10_006, "ΟΔΟΣ οδος", None), (10_007, "", "en")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    rows = docs.collect()
+    assert language.MOST_LANGS > 5 and len(rows) < 2500
+    got = {r["doc_id"]: r for r in language.identify(docs.select("doc_id", "text"), language.Model.fit(docs)).collect()}
+
+    def words(text):
+        out, now = [], ""
+        for c in (text or "").lower():
+            if unicodedata.category(c)[0] in "LM":
+                now += c
+            else:
+                out, now = out + [now] if now else out, ""
+        return out + [now] if now else out
+
+    counts = {}
+    for r in rows:
+        if r["lang"] and r["text"] is not None and fold(r["doc_id"], 3) != 1:
+            for w in words(r["text"]):
+                for n, g in [(0, w)] + [(n, g) for n in range(1, 6) for g in language.grams(w, n)]:
+                    counts.setdefault((n, r["lang"]), Counter())[g] += 1
+    langs = sorted({lang for _, lang in counts})
+    every = {n: len({g for lang in langs for g in counts.get((n, lang), ())}) for n in range(6)}
+
+    def score(n, g):
+        c = [counts.get((n, lang), Counter()) for lang in langs]
+        return np.log([(x[g] + 0.1) / (x.total() + 0.1 * every[n]) for x in c]) if any(g in x for x in c) else None
+
+    memory = {}
+
+    def word_score(w):
+        if w not in memory:
+            out = score(0, w)
+            for n in range(5, 0, -1):
+                if out is None and (found := [s for g in language.grams(w, n) if (s := score(n, g)) is not None]):
+                    out = np.mean(found, axis=0)
+            memory[w] = np.zeros(len(langs)) if out is None else out
+        return memory[w]
+
+    for r in rows:
+        own = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        sums = sum(word_score(w) for w in words(r["text"]))
+        assert own["lang_pred"] == langs[int(np.argmax(np.round(sums, 6)))], r["doc_id"]
+        assert own["score"] == pytest.approx(1 / np.exp(sums - sums.max()).sum(), abs=1e-3)
+    assert got[10_004]["lang_pred"] == "hi" and got[10_005]["lang_pred"] == "und"
+
+
+def test_language_long_texts_are_cut_between_words(spark):
+    texts = [(i, "strasse wasser haus garten" if i % 2 else "street water house garden", "de" if i % 2 else "en") for i in range(60)]
+    model = language.Model.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    text = "street wasser haus " * 500
+    whole = model.guess([text, None, "haus"])
+    cut = [(rows, parts) for rows, parts in language.runs([text, None, "haus"], 50)]
+    assert "".join(p for _, parts in cut for p in parts) == text + "haus" and len(cut) > 100
+    assert all(w in ("street", "wasser", "haus") for _, parts in cut for p in parts for w in p.split())
+    language.RUN, kept = 50, language.RUN
+    try:
+        again = model.guess([text, None, "haus"])
+    finally:
+        language.RUN = kept
+    assert whole[0] == again[0] == ["de", "und", "de"] and np.allclose(whole[1], again[1])
+
+
+def test_language_keeps_columns_with_its_names(spark):
+    docs = spark.createDataFrame([(1, "some words here", 7.0, "x", "en")], "doc_id long, text string, `a.b` double, _guess string, lang string")
+    guessed, name = language.guess(docs)
+    assert name not in docs.columns and [tuple(r)[:4] for r in guessed.collect()] == [(1, "some words here", 7.0, "x")]
+
+
 def test_language_edge_rows(spark):
     got = language.identify(edge_docs(spark, wide=True))
     assert got.columns.count("score") == 1
