@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, columns, let, load, sized_broadcast, unused, words, written
+from .common import NOT_ALNUM, ascii_lower, columns, load, sized_broadcast, unused, words, written
 
 #: NOT_ALNUM for texts that are not lower-cased: it finds as many words.
 NOT_ALNUM_ANY = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -44,14 +44,12 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return windows.select(F.xxhash64(word_hashes(F.col("window"))).alias("hash"), "window", F.size("window").alias("size"), "items")
 
 
-def text_windows(w: Column, sizes: list[int]) -> Column:
-    """start, hash of all runs of so many words; nothing of texts that are shorter."""
-
-    def of(h: Column, size: int) -> Column:
-        starts = F.when(F.size(h) >= size, F.sequence(F.lit(0), F.size(h) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice(h, i + 1, size)).alias("hash")))
-
-    return let(word_hashes(w), lambda h: F.concat(*[of(h, size) for size in sizes]))
+def text_windows(cut: DataFrame, sizes: list[int]) -> DataFrame:
+    """cut (with w) with start and hash of every run of so many words, a row each; nothing of texts that are shorter."""
+    rows = cut.withColumn("h", word_hashes(F.col("w")))
+    rows = rows.select("*", F.posexplode("h").alias("start", "_h")).drop("_h")
+    rows = rows.withColumn("m", F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes))))
+    return rows.where(F.col("start") + F.col("m") <= F.size("h")).withColumn("hash", F.xxhash64(F.slice("h", F.col("start") + 1, F.col("m")))).drop("h", "m")
 
 
 def text_key(text: Column) -> Column:
@@ -67,10 +65,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_
     if not sizes:
         return cut.join(windows, F.lit(False)).withColumn("start", F.lit(0)).select(*found)
     is_window = F.slice("w", F.col("start") + 1, F.col("size")) == F.col("window")
-    runs = F.inline(text_windows(F.col("w"), sorted(sizes)))
+    runs = text_windows(cut, sorted(sizes))
     if sum(sizes.values()) <= broadcast_rows:
-        return cut.select("doc_id", "digest", "w", runs).join(F.broadcast(windows), "hash").where(is_window).select(*found)
-    places = cut.select("doc_id", "digest", runs).join(windows.select("hash").distinct(), "hash", "left_semi")
+        return runs.join(F.broadcast(windows), "hash").where(is_window).select(*found)
+    places = runs.drop("w").join(windows.select("hash").distinct(), "hash", "left_semi")
     texts = cut.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "w")
     possible = written(places.join(windows, "hash"), "leak-places")
     return possible.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).where(is_window).select(*found)
