@@ -55,3 +55,9 @@ def long_form(df: DataFrame, keys: list[str], vec: str = "vec", digits: int = 6)
     """keys, dim, value with rounded values."""
     out = df.select(*keys, F.posexplode(vec).alias("dim", "value"))
     return out.select(*keys, F.col("dim").cast("bigint").alias("dim"), F.round("value", digits).alias("value"))
+
+
+def sums(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
+    """keys, total, weighted: a row each instead of one a number; the weights 1, 2, ... tell orders apart."""
+    add_ = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return df.select(*keys, F.round(add_(vec), 6).alias("total"), F.round(add_(F.transform(vec, lambda x, i: x * (i + 1))), 4).alias("weighted"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopweave.functions import vectors as V
@@ -61,10 +61,45 @@ def edge_softmax(block: DataFrame, h: DataFrame, left: list[float], right: list[
     """src, dst, alpha: softmax over each destination's in-edges of leaky_relu(left . h[src] + right . h[dst])."""
     l, r = h.select(F.col("node").alias("src"), V.dot(F.col("vec"), left).alias("_l")), h.select(F.col("node").alias("dst"), V.dot(F.col("vec"), right).alias("_r"))
     rows = block.join(l, "src").join(r, "dst").withColumn("_s", V.leaky_relu(F.col("_l") + F.col("_r")))
-    top = rows.groupBy("dst").agg(F.max("_s").alias("_top"))
-    rows = rows.join(top, "dst").withColumn("_x", F.exp(F.col("_s") - F.col("_top")))
-    total = rows.groupBy("dst").agg(F.sum("_x").alias("_all"))
-    return rows.join(total, "dst").select("src", "dst", (F.col("_x") / F.col("_all")).alias("alpha"))
+    by = Window.partitionBy("dst")  # both windows take one sort
+    rows = rows.withColumn("_x", F.exp(F.col("_s") - F.max("_s").over(by)))
+    return rows.select("src", "dst", (F.col("_x") / F.sum("_x").over(by)).alias("alpha"))
+
+
+def multi_head_attention(block: DataFrame, h: DataFrame, dims: int, heads: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """node, vec: the attention sums of all heads, one after the other. Scores of all heads are taken in one pass over the edges,
+    and weighted sums in one aggregate."""
+    n = range(len(heads))
+    l = h.select(F.col("node").alias("src"), "vec", *[V.dot(F.col("vec"), a).alias(f"_l{k}") for k, (a, _) in enumerate(heads)])
+    r = h.select(F.col("node").alias("dst"), *[V.dot(F.col("vec"), b).alias(f"_r{k}") for k, (_, b) in enumerate(heads)])
+    rows = block.join(l, "src").join(r, "dst")
+    by = Window.partitionBy("dst")
+    rows = rows.select("dst", "vec", *[V.leaky_relu(F.col(f"_l{k}") + F.col(f"_r{k}")).alias(f"_s{k}") for k in n])
+    rows = rows.select("dst", "vec", *[F.exp(F.col(f"_s{k}") - F.max(f"_s{k}").over(by)).alias(f"_x{k}") for k in n])
+    sums = rows.groupBy(F.col("dst").alias("node")).agg(*[V.aggregate(F.sum, V.scale(F.col("vec"), F.col(f"_x{k}")), dims).alias(f"_v{k}") for k in n], *[F.sum(f"_x{k}").alias(f"_t{k}") for k in n])
+    return sums.select("node", F.concat(*[V.scale(F.col(f"_v{k}"), 1 / F.col(f"_t{k}")) for k in n]).alias("vec"))
+
+
+def max_pool(block: DataFrame, h: DataFrame, w: list[list[float]], b: list[float] | None = None) -> DataFrame:
+    """The elementwise largest relu(h W + b) of each destination's sources; the layer runs once a node, not once an edge."""
+    pooled = h.select("node", V.relu(V.linear(F.col("vec"), w, b)).alias("vec"))
+    return aggregate_neighbors(block, pooled, len(w[0]), reduce="max")
+
+
+def reduce_with(block: DataFrame, h: DataFrame, fold: Callable, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., node, vec = fold(rows of sources in id order) for each destination, by a caller's function on a NumPy matrix.
+
+    A destination's sources meet in one task: for sampled blocks, whose fan-out bounds them. Without reducers of Spark's own.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        out = fold(np.stack(frame.sort_values("src")["msg"].to_numpy()))
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in by}, "node": [int(frame["dst"].iloc[0])], "vec": [np.asarray(out, float).tolist()]})
+
+    kinds = "".join(f"{k} {block.schema[k].dataType.simpleString()}, " for k in by)
+    return messages(block, h).select(*by, "src", "dst", "msg").groupBy(*by, "dst").applyInPandas(one, f"{kinds}node bigint, vec array<double>")
 
 
 def attention(block: DataFrame, h: DataFrame, dims: int, left: list[float], right: list[float]) -> DataFrame:
@@ -99,25 +134,29 @@ def pairwise_mean(split: DataFrame, h: DataFrame, owners: DataFrame, dims: int)
     return per.where("own is not null").select(F.col("dst").alias("node"), merged.alias("vec"))
 
 
+def lstm_weights(dims: int, seed: int = 1):
+    """Input and state weights of the LSTM cell, four gates (in, forget, out, candidate) side by side."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 0.3, (dims, 4 * dims)), rng.normal(0, 0.3, (dims, 4 * dims))
+
+
 def lstm_reduce(block: DataFrame, h: DataFrame, dims: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """by..., node, vec: order-dependent fold of an LSTM cell over each destination's sources in id order; sampled blocks bound a destination's rows."""
     import numpy as np
-    import pandas as pd
 
-    rng = np.random.default_rng(seed)
-    w, u = rng.normal(0, 0.3, (dims, 4 * dims)), rng.normal(0, 0.3, (dims, 4 * dims))
+    w, u = lstm_weights(dims, seed)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: np.ndarray) -> np.ndarray:
         state, cell = np.zeros(dims), np.zeros(dims)
-        for x in frame.sort_values("src")["msg"]:
-            i, f, o, g = np.split(np.asarray(x) @ w + state @ u, 4)
-            s = lambda z: 1 / (1 + np.exp(-z))
-            cell = s(f) * cell + s(i) * np.tanh(g)
-            state = s(o) * np.tanh(cell)
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in by}, "node": [int(frame["dst"].iloc[0])], "vec": [state.tolist()]})
+        for x in rows @ w:
+            i, f, o, g = np.split(x + state @ u, 4)
+            cell = cell / (1 + np.exp(-f)) + np.tanh(g) / (1 + np.exp(-i))
+            state = np.tanh(cell) / (1 + np.exp(-o))
+        return state
 
-    kinds = "".join(f"{k} {block.schema[k].dataType.simpleString()}, " for k in by)
-    return messages(block, h).select(*by, "src", "dst", "msg").groupBy(*by, "dst").applyInPandas(fold, f"{kinds}node bigint, vec array<double>")
+    return reduce_with(block, h, fold, by)
 
 
 # --- moving rows
@@ -129,9 +168,8 @@ def gather(inputs: DataFrame, features: DataFrame) -> DataFrame:
 
 def self_gather(block: DataFrame, h: DataFrame, dims: int) -> DataFrame:
     """Each destination's own row if the block has its self edge, zeros otherwise; repeated self edges count once."""
-    dsts = block.select(F.col("dst").alias("node")).distinct()
-    own = block.where("src = dst").select(F.col("dst").alias("node")).distinct().join(h, "node")
-    return with_empty(own, dsts, dims)
+    dsts = block.groupBy(F.col("dst").alias("node")).agg(F.max((F.col("src") == F.col("dst"))).alias("_own"))
+    return dsts.join(h, "node", "left").select("node", F.when(F.col("_own"), F.coalesce("vec", V.zeros(dims))).otherwise(V.zeros(dims)).alias("vec"))
 
 
 def require_all(wanted: DataFrame, found: DataFrame, what: str) -> DataFrame:

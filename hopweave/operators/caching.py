@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ingest import in_degrees
+from .ingest import in_degrees, ranked_down
 
 
 def degree_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -13,18 +13,10 @@ def degree_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def top_by_degree(edges: DataFrame, nodes: DataFrame, fraction: float) -> DataFrame:
-    """node, slot of the int(fraction * N) nodes of the highest in-degree; ties by id.
-
-    Only the nodes at or over the degree that the count of degrees shows to be the last cached one are ranked.
-    """
-    deg = degree_order(edges, nodes)
+    """node, slot of the int(fraction * N) nodes of the highest in-degree; ties by id."""
     size = nodes.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_size"))
-    per = deg.groupBy("deg").agg(F.count("*").alias("_n"))  # a row a distinct degree
-    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("deg")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = per.withColumn("_above", above).crossJoin(F.broadcast(size)).where("_above < _size").select("deg", "_above", "_size")
-    rows = deg.join(F.broadcast(levels), "deg")
-    rank = F.col("_above") + F.row_number().over(Window.partitionBy("deg").orderBy("node"))
-    return rows.withColumn("_r", rank).where("_r <= _size").select("node", (F.col("_r") - 1).cast("bigint").alias("slot"))
+    rows = ranked_down(degree_order(edges, nodes), [], "deg").crossJoin(F.broadcast(size)).where("_r <= _size")
+    return rows.select("node", (F.col("_r") - 1).cast("bigint").alias("slot"))
 
 
 def cached_gather(inputs: DataFrame, cache: DataFrame, features: DataFrame) -> DataFrame:
@@ -52,18 +44,15 @@ def partition_cache(edges: DataFrame, nodes: DataFrame, owners: DataFrame, fract
     """
     deg = degree_order(edges, nodes).join(owners, "node")
     size = nodes.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_size"))
+    own = ranked_down(deg, ["part"], "deg").crossJoin(F.broadcast(size))
     if fraction <= 1 / parts:
-        best = Window.partitionBy("part").orderBy(F.desc("deg"), "node")
-        rows = deg.crossJoin(F.broadcast(size)).withColumn("_r", F.row_number().over(best)).where("_r <= _size")
-        return rows.select("part", "node", (F.col("_r") - 1).cast("bigint").alias("slot"))
-    every = owners.select(F.col("part").alias("cache_part")).distinct()
-    own = deg.groupBy(F.col("part").alias("cache_part")).agg(F.count("*").alias("_own"))
-    rows = deg.crossJoin(F.broadcast(every)).join(F.broadcast(own), "cache_part").crossJoin(F.broadcast(size))  # a copy for each owner
-    mine = F.col("part") == F.col("cache_part")
-    order = Window.partitionBy("cache_part", mine).orderBy(F.desc("deg"), "node")
-    rows = rows.withColumn("_r", F.row_number().over(order))
-    rows = rows.where(mine | (F.col("_r") <= F.greatest(F.col("_size") - F.col("_own"), F.lit(0))))
-    return rows.select(F.col("cache_part").alias("part"), "node", (F.when(mine, F.col("_r")).otherwise(F.col("_own") + F.col("_r")) - 1).cast("bigint").alias("slot"))
+        return own.where("_r <= _size").select("part", "node", (F.col("_r") - 1).cast("bigint").alias("slot"))
+    sizes = deg.groupBy(F.col("part").alias("cache_part")).agg(F.count("*").alias("_own"))  # a row an owner
+    # an owner takes size - own others: they are among the best `size` of all nodes, so only those are copied for each owner
+    best = ranked_down(deg, [], "deg").crossJoin(F.broadcast(size)).where("_r <= _size").drop("_r")
+    others = best.crossJoin(F.broadcast(sizes)).where("part <> cache_part")
+    others = ranked_down(others, ["cache_part"], "deg").where(F.col("_r") <= F.col("_size") - F.col("_own"))
+    return own.select("part", "node", (F.col("_r") - 1).cast("bigint").alias("slot")).unionByName(others.select(F.col("cache_part").alias("part"), "node", (F.col("_own") + F.col("_r") - 1).cast("bigint").alias("slot")))
 
 
 def refresh(inputs: DataFrame, owners: DataFrame, cache: DataFrame) -> DataFrame:

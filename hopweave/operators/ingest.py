@@ -34,15 +34,34 @@ def random_split(nodes: DataFrame, seed: int = 1, train: float = 0.8, val: float
     return nodes.select("node", F.when(u < train, "train").when(u < train + val, "val").otherwise("test").alias("split"))
 
 
-def ranked(rows: DataFrame, order: list, name: str, buckets: int = 256, key=None) -> DataFrame:
-    """rows with a global 0-based rank by (key, *order), taken in two steps: over the buckets of a hex key's first digits, and
-    within each, so that no task has to hold all rows."""
-    bucket = F.substring(key, 1, 2)
+def ranked(rows: DataFrame, order: list, name: str, bucket_rows: int = 100_000, key=None) -> DataFrame:
+    """rows with a global 0-based rank by (key, *order), taken in two steps: over the buckets of a hex key's first digits (as many
+    as make buckets of about bucket_rows rows), and within each, so that no task has to hold all rows."""
+    digits, n = 1, rows.count()
+    while n > bucket_rows * 16**digits:
+        digits += 1
+    bucket = F.substring(key, 1, digits)
     tagged = rows.withColumn("_key", key).withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     base = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *order))
-    return tagged.withColumn("_r", within).join(F.broadcast(base), "_bucket").withColumn(name, (F.col("_base") + F.col("_r") - 1).cast("bigint")).drop("_key", "_bucket", "_r", "_base")
+    return tagged.withColumn("_r", within).join(base, "_bucket").withColumn(name, (F.col("_base") + F.col("_r") - 1).cast("bigint")).drop("_key", "_bucket", "_r", "_base")
+
+
+def ranked_down(rows: DataFrame, by: list[str], value: str, node: str = "node", chunk: int = 1 << 16) -> DataFrame:
+    """rows with _r: 1-based ranks within by, largest value first, then smallest node. Two steps: over the counts of each value
+    and run of `chunk` ids, then within each of those, so no task gets all rows of a group or of a value."""
+    tagged = rows.withColumn("_c", F.floor(F.col(node) / chunk))
+    cells = tagged.groupBy(*by, value, "_c").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy(F.desc(value), "_c").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, value, "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a distinct value and run
+    within = F.row_number().over(Window.partitionBy(*by, value, "_c").orderBy(node))
+    return tagged.withColumn("_w", within).join(cells, [*by, value, "_c"]).withColumn("_r", F.col("_base") + F.col("_w")).drop("_c", "_w", "_base")
+
+
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """Edges in the order of (src, dst): ranges of the order are dealt over tasks and sorted in each."""
+    return edges.orderBy("src", "dst")
 
 
 def permutation_split(nodes: DataFrame, seed: int = 1, train: float = 0.8) -> DataFrame:
@@ -67,6 +86,17 @@ def vertex_sizes(edges: DataFrame) -> DataFrame:
     return deg.crossJoin(F.broadcast(deg.agg(F.max("deg").alias("top")))).select("node", "deg", F.floor(F.lit(10) * F.col("deg") / F.col("top")).cast("bigint").alias("size"))
 
 
+def range_checks(features: DataFrame, labels: DataFrame, owners: DataFrame, dims: int, classes: int, parts: int) -> DataFrame:
+    """One row: sums of features, labels and owners, and how many are null, of another length or out of their range. features
+    are summed over all numbers; 0 bad ones is what a reader expects."""
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    count_if = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    f = features.agg(F.round(F.sum(total), 4).alias("csum_features"), count_if(F.col("vec").isNull() | (F.size("vec") != dims)).alias("bad_features"))
+    c = labels.agg(F.sum("label").cast("bigint").alias("csum_labels"), count_if(F.col("label").isNull() | ~F.col("label").between(0, classes - 1)).alias("bad_labels"))
+    o = owners.agg(F.sum("part").cast("bigint").alias("csum_owners"), count_if(F.col("part").isNull() | ~F.col("part").between(0, parts - 1)).alias("bad_owners"))
+    return f.crossJoin(c).crossJoin(o)  # three single rows
+
+
 def checksums(edges: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: counts and sums that a reader can verify."""
     offsets = csr_offsets(edges, nodes)

@@ -116,11 +116,12 @@ def mlp(x: DataFrame, sizes: list[int]) -> DataFrame:
     return x
 
 
-def gcn_sum(block: DataFrame, x: DataFrame, sizes: list[int]) -> DataFrame:
+def gcn_sum(block: DataFrame, x: DataFrame, sizes: list[int], keep=None) -> DataFrame:
     """A linear layer over neighbour sums, twice, with relu between."""
     for layer, (a, b) in enumerate(zip(sizes, sizes[1:])):
         x = linear(aggregate_neighbors(block, x, a), weights(a, b))
         x = activate(x) if layer < len(sizes) - 2 else x
+        x = keep(x) if keep and layer < len(sizes) - 2 else x
     return x
 
 
@@ -145,7 +146,7 @@ def sage(blocks: list[DataFrame], x: DataFrame, sizes: list[int], merge: str = "
     for layer, (block, a, b) in enumerate(zip(blocks, sizes, sizes[1:])):
         x = sage_layer(block, x, a, b, ways[merge])
         x = activate(x) if layer < len(blocks) - 1 else x
-        x = keep(x) if keep else x
+        x = keep(x) if keep and layer < len(blocks) - 1 else x
     return x
 
 

@@ -20,14 +20,19 @@ def naive_movement(inputs: DataFrame, owners: DataFrame, parts: int = 4) -> Data
     return rows.agg(F.count("*").alias("inputs"), moved.cast("bigint").alias("moved"), F.round(moved / F.count("*"), 6).alias("ratio"))
 
 
-def cross_communication(blocks: DataFrame, owners: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Cut edges among sampled ones, and distinct destinations of cut edges by (batch, part, hop), over all inputs."""
-    cut = with_owners(blocks, owners).where("src_part <> dst_part")
-    edges = cut.agg(F.count("*").alias("cut_edges"))
-    nodes = cut.select("batch", "layer", "src_part", "dst").distinct().agg(F.count("*").alias("cut_nodes"))
-    total = inputs.agg(F.count("*").alias("inputs"))
-    rows = edges.crossJoin(nodes).crossJoin(total)
-    return rows.select("cut_edges", "cut_nodes", "inputs", F.round(F.col("cut_edges") / F.col("inputs"), 6).alias("edge_ratio"), F.round(F.col("cut_nodes") / F.col("inputs"), 6).alias("node_ratio"))
+def cross_communication(split: DataFrame, last_layer: int) -> DataFrame:
+    """Cut edges among sampled ones, and distinct destinations of cut edges by (batch, part, hop), over all inputs (distinct
+    sources of the last hop). split has src_part and dst_part; it is read once, as both distinct counts are of one expansion."""
+    cut = F.col("src_part") != F.col("dst_part")
+    last = F.col("layer") == last_layer
+    facts = F.array(
+        F.struct(F.lit("cut").alias("kind"), F.col("batch"), F.col("layer"), F.col("src_part").alias("part"), F.when(cut, F.col("dst")).alias("node"), cut.cast("bigint").alias("n")),
+        F.struct(F.lit("input").alias("kind"), F.col("batch"), F.lit(last_layer).alias("layer"), F.lit(-1).alias("part"), F.when(last, F.col("src")).alias("node"), F.lit(0).cast("bigint").alias("n")),
+    )
+    rows = split.select(F.explode(facts).alias("f")).select("f.*").where("node is not null")
+    per = rows.groupBy("kind", "batch", "layer", "part", "node").agg(F.sum("n").alias("n"))
+    one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cut_edges"), F.count(F.when(F.col("kind") == "cut", 1)).alias("cut_nodes"), F.count(F.when(F.col("kind") == "input", 1)).alias("inputs"))
+    return one.withColumn("edge_ratio", F.round(F.col("cut_edges") / F.col("inputs"), 6)).withColumn("node_ratio", F.round(F.col("cut_nodes") / F.col("inputs"), 6))
 
 
 def redundancy(blocks: DataFrame, parts: int = 4) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ingest import ranked_down
+
 
 def modulo(nodes: DataFrame, parts: int = 4) -> DataFrame:
     return nodes.select("node", F.pmod("node", F.lit(parts)).cast("int").alias("part"))
@@ -43,7 +45,7 @@ def label_propagation(edges: DataFrame, owners: DataFrame, parts: int = 4, slack
     votes = votes.withColumn("want", F.coalesce("want", "part"))
     stay = votes.where("want = part").groupBy(F.col("part").alias("want")).agg(F.count("*").alias("held"))
     total = owners.agg((F.count("*") * F.lit(slack / parts)).alias("cap"))
-    movers = votes.where("want <> part").withColumn("r", F.row_number().over(Window.partitionBy("want").orderBy(F.desc("n"), "node")))
+    movers = ranked_down(votes.where("want <> part").select("node", "n", "want"), ["want"], "n").withColumnRenamed("_r", "r")
     moved = movers.join(stay, "want", "left").crossJoin(F.broadcast(total)).where(F.col("r") + F.coalesce("held", F.lit(0)) <= F.col("cap")).select("node", F.col("want").alias("_w"))
     return owners.join(moved, "node", "left").select("node", F.coalesce("_w", "part").cast("int").alias("part"))
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +18,7 @@ from hopweave.operators import owners as O
 from hopweave.operators import sampling as S
 from hopweave.operators import splitting as B
 from hopweave.sources import graphs as G
+from hopweave.sources.kept import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,17 +29,18 @@ CLASSES = 10
 
 CTE = {
     "n": "n AS (SELECT p_partkey::BIGINT AS node FROM part)",
-    "e": "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) = 1 AND a.l_partkey <> b.l_partkey)",
+    "e": "e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) = 1 AND a.l_partkey <> b.l_partkey)",
     "o": "o AS (SELECT node, (node % 4)::INT AS part FROM n)",
     "x": f"x AS (SELECT n.node, i - 1 AS dim, m.embedding[i]::DOUBLE AS value FROM n JOIN embeddings m ON m.vec_id = n.node % (SELECT count(*) FROM embeddings), range(1, {DIMS + 1}) t(i))",
+    "vs": "vs AS (SELECT node, round(sum(value), 6) AS total, round(sum(value * (dim + 1)), 4) AS weighted FROM x GROUP BY node)",
     "y": "y AS (SELECT n.node, m.label FROM n JOIN embeddings m ON m.vec_id = n.node % (SELECT count(*) FROM embeddings))",
     "d": "d AS (SELECT dst AS node, count(*) AS deg FROM e GROUP BY dst)",
-    # 64 seeds in batches of 16, sampled over two hops with fan-out 10 and 5
-    "b": "b AS (SELECT node, (row_number() OVER (ORDER BY md5(concat_ws(':', '1', '0', node::VARCHAR)), node) - 1)::BIGINT AS rank FROM n WHERE node < 64)",
+    # every node a seed, in batches of 16, sampled over two hops with fan-out 10 and 5
+    "b": "b AS (SELECT node, (row_number() OVER (ORDER BY md5(concat_ws(':', '1', '0', node::VARCHAR)), node) - 1)::BIGINT AS rank FROM n)",
     "f0": "f0 AS (SELECT rank // 16 AS batch, node FROM b)",
-    "l0": "l0 AS (SELECT batch, 0 AS layer, dst, src FROM (SELECT f0.batch, e.dst, e.src, row_number() OVER (PARTITION BY f0.batch, e.dst ORDER BY md5(concat_ws(':', '1', f0.batch::VARCHAR, '0', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f0 JOIN e ON e.dst = f0.node) WHERE r <= 10 UNION ALL SELECT batch, 0, node, node FROM f0)",
+    "l0": "l0 AS MATERIALIZED (SELECT batch, 0 AS layer, dst, src FROM (SELECT f0.batch, e.dst, e.src, row_number() OVER (PARTITION BY f0.batch, e.dst ORDER BY md5(concat_ws(':', '1', f0.batch::VARCHAR, '0', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f0 JOIN e ON e.dst = f0.node) WHERE r <= 10 UNION ALL SELECT batch, 0, node, node FROM f0)",
     "f1": "f1 AS (SELECT DISTINCT batch, src AS node FROM l0)",
-    "l1": "l1 AS (SELECT batch, 1 AS layer, dst, src FROM (SELECT f1.batch, e.dst, e.src, row_number() OVER (PARTITION BY f1.batch, e.dst ORDER BY md5(concat_ws(':', '1', f1.batch::VARCHAR, '1', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f1 JOIN e ON e.dst = f1.node) WHERE r <= 5 UNION ALL SELECT batch, 1, node, node FROM f1)",
+    "l1": "l1 AS MATERIALIZED (SELECT batch, 1 AS layer, dst, src FROM (SELECT f1.batch, e.dst, e.src, row_number() OVER (PARTITION BY f1.batch, e.dst ORDER BY md5(concat_ws(':', '1', f1.batch::VARCHAR, '1', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f1 JOIN e ON e.dst = f1.node) WHERE r <= 5 UNION ALL SELECT batch, 1, node, node FROM f1)",
     "bl": "bl AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1)",
     "s": "s AS (SELECT bl.*, p.part AS src_part, q.part AS dst_part, p.part AS part FROM bl JOIN o p ON p.node = bl.src JOIN o q ON q.node = bl.dst)",
     "inp": "inp AS (SELECT DISTINCT batch, src AS node FROM l1)",
@@ -48,7 +48,7 @@ CTE = {
     "a": "a AS (SELECT src, dst FROM e UNION ALL SELECT node, node FROM n)",
     "sa": "sa AS (SELECT a.src, a.dst, p.part FROM a JOIN o p ON p.node = a.src)",
 }
-NEEDS = {"d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "l0": "f0 e", "f1": "l0", "l1": "f1 e", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
+NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "l0": "f0 e", "f1": "l0", "l1": "f1 e", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
 
 
 def sql(needs: str, text: str, recursive: str = "") -> str:
@@ -81,34 +81,19 @@ def query(oracle: str | None = None):
     return add
 
 
-#: Set while the plan of a query named whole_... is built.
-WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def whole(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """run with every node as a seed and whole vectors."""
-
-    @wraps(run)
-    def over_all(spark, sf_dir):
-        token = WHOLE.set(True)
-        try:
-            return run(spark, sf_dir)
-        finally:
-            WHOLE.reset(token)
-
-    return over_all
-
-
 def seeds(g: G.Graph) -> DataFrame:
-    """All nodes in batches of 16 for the whole_ queries; the others have the 64 seeds that their SQL names."""
-    return S.make_batches(g.nodes if WHOLE.get() else g.nodes.where("node < 64"), 16)
+    """All nodes in batches of 16."""
+    return S.make_batches(g.nodes, 16)
 
 
 def sampled(g: G.Graph) -> DataFrame:
-    return S.sample_blocks(g.edges, seeds(g), [10, 5])
+    """Two hops; edges and each hop are written once and read by all that follows."""
+    g.edges = kept(g.edges, "edges")
+    return S.sample_blocks(g.edges, seeds(g), [10, 5], keep=kept)
 
 
 def split(g: G.Graph) -> DataFrame:
+    """The split of a sample, written for those who read it more than once."""
     return B.split_blocks(sampled(g), g.owners)
 
 
@@ -123,7 +108,7 @@ def whole_split(g: G.Graph) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> G.Graph:
-    return G.purchase_graph(spark, sf_dir, dims=None if WHOLE.get() else DIMS)
+    return G.purchase_graph(spark, sf_dir)
 
 
 # --- ingest
@@ -284,20 +269,20 @@ SELECT {distinct} batch, 0 AS layer, dst, src FROM b0 UNION ALL SELECT {distinct
 @query(sql("f0 d e", REPLACED.format(self0="UNION ALL SELECT batch, node, node FROM f0", self1="UNION ALL SELECT batch, node, node FROM h1", distinct="")))
 def sample_with_replacement(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="replaced")
+    return S.sample_blocks(kept(g.edges, "edges"), seeds(g), [10, 10], strategy="replaced", keep=kept)
 
 
 @query(sql("f0 d e", REPLACED.format(self0="", self1="", distinct="DISTINCT")))
 def sample_distinct(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="distinct")
+    return S.sample_blocks(kept(g.edges, "edges"), seeds(g), [10, 10], strategy="distinct", keep=kept)
 
 
 @query(sql("f0 e", """WITH q0 AS (SELECT f0.batch, e.dst, e.src FROM f0 JOIN e ON e.dst = f0.node), q1 AS (SELECT f.batch, e.dst, e.src FROM (SELECT DISTINCT batch, src AS node FROM q0) f JOIN e ON e.dst = f.node)
 SELECT batch, 0 AS layer, dst, count(*) AS edges, sum(src)::BIGINT AS src_sum FROM q0 GROUP BY 1, 2, 3 UNION ALL SELECT batch, 1, dst, count(*), sum(src)::BIGINT FROM q1 GROUP BY 1, 2, 3"""))
 def sample_all_neighbours(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.sample_blocks(g.edges, seeds(g), [-1, -1], strategy="full").groupBy("batch", "layer", "dst").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"))
+    return S.sample_blocks(kept(g.edges, "edges"), seeds(g), [-1, -1], strategy="full", keep=kept).groupBy("batch", "layer", "dst").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"))
 
 
 @query(sql("l0 o", "SELECT l0.batch, l0.layer, q.part AS dst_part, p.part AS src_part, l0.dst, l0.src FROM l0 JOIN o p ON p.node = l0.src JOIN o q ON q.node = l0.dst"))
@@ -401,10 +386,10 @@ def mean_cache_hit_rate(spark, sf_dir):
     return C.mean_hit_rate(C.hit_rates(M.input_nodes(sampled(g), 1), C.top_by_degree(g.edges, g.nodes, 0.25)))
 
 
-@query(sql("inp n d x", f"WITH t AS ({TOP.format(c=0.25)}) SELECT inp.batch, inp.node, t.node IS NOT NULL AS hit, x.dim::BIGINT AS dim, round(x.value, 6) AS value FROM inp LEFT JOIN t ON t.node = inp.node JOIN x ON x.node = inp.node"))
+@query(sql("inp n d vs", f"WITH t AS ({TOP.format(c=0.25)}) SELECT inp.batch, inp.node, t.node IS NOT NULL AS hit, vs.total, vs.weighted FROM inp LEFT JOIN t ON t.node = inp.node JOIN vs ON vs.node = inp.node"))
 def cached_gather(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(C.cached_gather(M.input_nodes(sampled(g), 1), C.top_by_degree(g.edges, g.nodes, 0.25), g.features), ["batch", "node", "hit"])
+    return V.sums(C.cached_gather(M.input_nodes(sampled(g), 1), C.top_by_degree(g.edges, g.nodes, 0.25), g.features), ["batch", "node", "hit"])
 
 
 @query(sql("n d o", f"WITH {PARTED.format(c=0.1)} SELECT part, node, slot FROM (SELECT part, node, (row_number() OVER (PARTITION BY part ORDER BY deg DESC, node) - 1)::BIGINT AS slot FROM g) WHERE slot < (SELECT size FROM z)"))
@@ -543,17 +528,16 @@ def pairwise_mean(spark, sf_dir):
 
 
 @query()
-@whole
 def lstm_reduce(spark, sf_dir):
     """Of every node, in each batch and layer that samples it."""
     g = load(spark, sf_dir)
     return V.long_form(A.lstm_reduce(sampled(g), g.features, g.dims, by=("batch", "layer")), ["batch", "layer", "node"])
 
 
-@query(sql("inp x", "SELECT inp.batch, inp.node, x.dim::BIGINT AS dim, round(x.value, 6) AS value FROM inp JOIN x ON x.node = inp.node"))
+@query(sql("inp vs", "SELECT inp.batch, inp.node, vs.total, vs.weighted FROM inp JOIN vs ON vs.node = inp.node"))
 def feature_gather(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(A.gather(M.input_nodes(sampled(g), 1), g.features), ["batch", "node"])
+    return V.sums(A.gather(M.input_nodes(sampled(g), 1), g.features), ["batch", "node"])
 
 
 @query(sql("e n x", "WITH q AS (SELECT src, dst FROM e UNION ALL SELECT node, node FROM n WHERE node % 2 = 0), t AS (SELECT DISTINCT dst FROM q), u AS (SELECT DISTINCT dst FROM q WHERE src = dst) SELECT t.dst AS node, x.dim::BIGINT AS dim, round(CASE WHEN u.dst IS NULL THEN 0 ELSE x.value END, 6) AS value FROM t LEFT JOIN u ON u.dst = t.dst JOIN x ON x.node = t.dst"))
@@ -650,33 +634,32 @@ h AS (SELECT s1.node, wa.k, greatest(sum(s1.v * wa.w), 0) AS v FROM s1 JOIN wa O
 SELECT s2.node, wb.k::BIGINT AS dim, round(sum(s2.v * wb.w), 5) AS value FROM s2 JOIN wb ON wb.i = s2.dim GROUP BY 1, 2"""))
 def gcn_forward(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.gcn_sum(whole_block(g), g.features, [g.dims, 6, 4]), ["node"], digits=5)
+    return V.long_form(L.gcn_sum(kept(whole_block(g), "block"), g.features, [g.dims, 6, 4], keep=kept), ["node"], digits=5)
 
 
 SAGE = """{w1}, {w2}, m1 AS (SELECT a.dst AS node, x.dim, avg(x.value) AS v FROM a JOIN x ON x.node = a.src GROUP BY 1, 2),
-c1 AS (SELECT node, dim, value AS v FROM x UNION ALL SELECT node, dim + 8, v FROM m1), h1 AS (SELECT c1.node, wa.k AS dim, greatest(sum(c1.v * wa.w), 0) AS v FROM c1 JOIN wa ON wa.i = c1.dim GROUP BY 1, 2),
+c1 AS (SELECT node, dim, value AS v FROM x UNION ALL SELECT node, dim + {dims}, v FROM m1), h1 AS (SELECT c1.node, wa.k AS dim, greatest(sum(c1.v * wa.w), 0) AS v FROM c1 JOIN wa ON wa.i = c1.dim GROUP BY 1, 2),
 m2 AS (SELECT a.dst AS node, h1.dim, avg(h1.v) AS v FROM a JOIN h1 ON h1.node = a.src GROUP BY 1, 2), c2 AS (SELECT node, dim, v FROM h1 UNION ALL SELECT node, dim + 6, v FROM m2)
-SELECT c2.node, wb.k::BIGINT AS dim, round(sum(c2.v * wb.w), 6) AS value FROM c2 JOIN wb ON wb.i = c2.dim GROUP BY 1, 2""".format(w1=w_table("wa", 16, 6), w2=w_table("wb", 12, 4))
+SELECT c2.node, wb.k::BIGINT AS dim, round(sum(c2.v * wb.w), 6) AS value FROM c2 JOIN wb ON wb.i = c2.dim GROUP BY 1, 2""".format(w1=w_table("wa", 2 * DIMS, 6), w2=w_table("wb", 12, 4), dims=DIMS)
 
 
 @query(sql("a x", "WITH " + SAGE))
 def full_inference(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.full_inference(g.edges, g.nodes, g.features, [g.dims, 6, 4]), ["node"])
+    return V.long_form(L.full_inference(kept(g.edges, "edges"), g.nodes, g.features, [g.dims, 6, 4], keep=kept), ["node"])
 
 
-@query(sql("sa o x", f"WITH {w_table('wa', 16, 4)}, {PAIRWISE}, c AS (SELECT node, dim, value AS v FROM x UNION ALL SELECT node, dim + 8, value FROM pw) SELECT c.node, wa.k::BIGINT AS dim, round(sum(c.v * wa.w), 6) AS value FROM c JOIN wa ON wa.i = c.dim GROUP BY 1, 2"))
+@query(sql("sa o x", f"WITH {w_table('wa', 2 * DIMS, 4)}, {PAIRWISE}, c AS (SELECT node, dim, value AS v FROM x UNION ALL SELECT node, dim + {DIMS}, value FROM pw) SELECT c.node, wa.k::BIGINT AS dim, round(sum(c.v * wa.w), 6) AS value FROM c JOIN wa ON wa.i = c.dim GROUP BY 1, 2"))
 def split_sage_layer(spark, sf_dir):
     g = load(spark, sf_dir)
-    return V.long_form(L.sage([whole_split(g)], g.features, [g.dims, 4], "pairwise", g.owners), ["node"])
+    return V.long_form(L.sage([kept(whole_split(g), "split")], g.features, [g.dims, 4], "pairwise", g.owners), ["node"])
 
 
 @query()
-@whole
 def split_sage_three_layers(spark, sf_dir):
     g = load(spark, sf_dir)
-    block = whole_split(g)
-    return V.long_form(L.sage([block] * 3, g.features, [g.dims, 6, 6, 4], "pairwise", g.owners), ["node"])
+    block = kept(whole_split(g), "split")
+    return V.long_form(L.sage([block] * 3, g.features, [g.dims, 6, 6, 4], "pairwise", g.owners, keep=kept), ["node"])
 
 
 # --- metrics
@@ -691,8 +674,7 @@ def naive_movement(spark, sf_dir):
 @query(sql("s inp", "WITH c AS (SELECT * FROM s WHERE src_part <> dst_part), q AS (SELECT (SELECT count(*) FROM c) AS cut_edges, (SELECT count(*) FROM (SELECT DISTINCT batch, layer, src_part, dst FROM c)) AS cut_nodes, (SELECT count(*) FROM inp) AS inputs) SELECT *, round(cut_edges / inputs, 6) AS edge_ratio, round(cut_nodes / inputs, 6) AS node_ratio FROM q"))
 def cross_communication(spark, sf_dir):
     g = load(spark, sf_dir)
-    blocks = sampled(g)
-    return M.cross_communication(blocks, g.owners, M.input_nodes(blocks, 1))
+    return M.cross_communication(split(g), 1)
 
 
 OWN = "w AS (SELECT DISTINCT batch % 4 AS part, layer, dst AS node FROM bl WHERE layer >= 1)"
@@ -715,7 +697,7 @@ def work_skew(spark, sf_dir):
 
 @query(sql("s", "WITH ow AS (SELECT layer, count(*) AS owned FROM (SELECT DISTINCT batch, layer, dst_part, dst FROM s) GROUP BY 1), sh AS (SELECT layer, count(*) AS shuffled FROM (SELECT DISTINCT batch, layer, part, dst_part, dst FROM s WHERE part <> dst_part) GROUP BY 1) SELECT layer, owned, coalesce(shuffled, 0) AS shuffled, round(coalesce(shuffled, 0) / owned, 6) AS ratio FROM ow LEFT JOIN sh USING (layer)"))
 def shuffle_ratio(spark, sf_dir):
-    rows = split(load(spark, sf_dir))
+    rows = kept(split(load(spark, sf_dir)), "split")
     return M.shuffle_ratio(B.owned_nodes(rows), B.shuffle_nodes(rows))
 
 
@@ -741,20 +723,6 @@ def value_changes(spark, sf_dir):
     return M.changes(G.table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("event_type").alias("value")))
 
 
-# --- the same queries over the whole graph; their SQL is that of the others without the cut
-
-WIDTH = 64  # numbers of a vector
-CUT = {CTE["b"]: CTE["b"].replace(" WHERE node < 64", ""), CTE["x"]: CTE["x"].replace(f"range(1, {DIMS + 1})", f"range(1, {WIDTH + 1})")}
-#: Sizes of weights and offsets that follow the vectors' length.
-SIZED = {f"range({DIMS}) t(i)": f"range({WIDTH}) t(i)", f"range({2 * DIMS}) t(i)": f"range({2 * WIDTH}) t(i)", f"dim + {DIMS},": f"dim + {WIDTH},"}
-
-for _name in [k for k, v in SQL.items() if any(c in v for c in CUT)]:
-    QUERIES[f"whole_{_name}"] = whole(QUERIES[_name])
-    SQL[f"whole_{_name}"] = SQL[_name]
-    for _old, _new in (CUT | SIZED).items():
-        SQL[f"whole_{_name}"] = SQL[f"whole_{_name}"].replace(_old, _new)
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: two hops sampled from 64 seeds, split over 4 owners, edges by (layer, source owner, destination owner)."""
+    """The flagship: two hops sampled from all nodes in batches, split over 4 owners, edges by (layer, source owner, destination owner)."""
     return QUERIES["split_counts"](spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hopweave.functions.portable import draw_index, draw_key
 
-DIMS = 8
+DIMS = 64  # numbers of a vector of the given tables
 
 
 @dataclass
@@ -52,17 +52,15 @@ def bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
-def purchase_graph(spark: SparkSession, sf_dir: str, owners: int = 4, dims: int | None = DIMS) -> Graph:
-    """Features are the first dims numbers of the vectors; None takes them whole, as long as the table's first one."""
+def purchase_graph(spark: SparkSession, sf_dir: str, owners: int = 4) -> Graph:
+    """Features are the whole vectors, as long as the table's first one."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("node"))
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()  # read from the file footers
-    if dims is None:
-        first = vectors.select(F.size("embedding")).first()
-        dims = first[0] if first else DIMS
-    keyed = vectors.select(F.col("vec_id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("vec"), "label")
+    first = vectors.select(F.size("embedding")).first()
+    keyed = vectors.select(F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
     data = nodes.join(keyed, F.pmod(F.col("node"), F.lit(n)) == F.col("vec_id"))
-    return Graph(purchase_edges(spark, sf_dir), nodes, data.select("node", "vec"), data.select("node", F.col("label").cast("int").alias("label")), nodes.select("node", F.pmod("node", F.lit(owners)).cast("int").alias("part")), dims)
+    return Graph(purchase_edges(spark, sf_dir), nodes, data.select("node", "vec"), data.select("node", F.col("label").cast("int").alias("label")), nodes.select("node", F.pmod("node", F.lit(owners)).cast("int").alias("part")), first[0] if first else DIMS)
 
 
 def synthetic_edges(spark: SparkSession, nodes: int = 200, edges: int = 1000, cross: int = 400, communities: int = 4, seed: int = 1) -> DataFrame:
@@ -125,8 +123,8 @@ def read_array(spark: SparkSession, path: str, dtype: str = "<i8") -> DataFrame:
 def read_csr(spark: SparkSession, indptr: str, indices: str) -> DataFrame:
     """src, dst from compressed rows: row i of indptr delimits the sources of dst i."""
     ends = read_array(spark, indptr)
-    order = Window.orderBy("pos")
-    rows = ends.select(F.col("pos").alias("dst"), F.col("value").alias("a"), F.lead("value").over(order).alias("b")).where("b > a")
+    next_ = ends.select((F.col("pos") - 1).alias("dst"), F.col("value").alias("b"))
+    rows = ends.select(F.col("pos").alias("dst"), F.col("value").alias("a")).join(next_, "dst").where("b > a")
     at = rows.select("dst", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("pos"))
     return at.join(read_array(spark, indices), "pos").select(F.col("value").alias("src"), "dst")
 

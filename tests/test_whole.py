@@ -1,4 +1,4 @@
-"""What the whole_ queries cover: every node, beyond the seeds that the SQL of the other queries names."""
+"""What the queries cover: every node as a seed, whole vectors."""
 
 from hopweave.plans import queries
 
@@ -7,13 +7,12 @@ def nodes(spark, sf):
     return {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
 
 
-def test_every_seeded_query_has_a_whole_one():
-    seeded = {k for k, v in queries.SQL.items() if "WHERE node < 64" in v}
-    assert len(seeded) == 28 and {f"whole_{k}" for k in seeded} <= set(queries.QUERIES) & set(queries.SQL)
+def test_no_query_names_a_cut():
+    assert not [k for k, v in queries.SQL.items() if "WHERE node < 64" in v or "range(1, 9)" in v]
 
 
 def test_all_nodes_are_seeds(spark, sf):
-    rows = queries.QUERIES["whole_sample_two_hops"](spark, sf).where("layer = 0 and src = dst").collect()
+    rows = queries.QUERIES["sample_two_hops"](spark, sf).where("layer = 0 and src = dst").collect()
     assert sorted(r["dst"] for r in rows) == sorted(nodes(spark, sf)) and len(rows) > 64
     assert len({r["batch"] for r in rows}) == -(-len(rows) // 16)
 
@@ -21,19 +20,12 @@ def test_all_nodes_are_seeds(spark, sf):
 def test_lstm_reduces_every_node_of_both_layers(spark, sf):
     rows = queries.QUERIES["lstm_reduce"](spark, sf).select("batch", "layer", "node").distinct().collect()
     assert sorted(r["node"] for r in rows if r["layer"] == 0) == sorted(nodes(spark, sf))
-    sampled = queries.QUERIES["whole_sample_two_hops"](spark, sf).select("batch", "layer", "dst").distinct().collect()
+    sampled = queries.QUERIES["sample_two_hops"](spark, sf).select("batch", "layer", "dst").distinct().collect()
     assert {tuple(r) for r in rows} == {tuple(r) for r in sampled}
 
 
-def test_every_query_of_vectors_has_a_whole_one(spark, sf):
-    width = {len(r[0]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()}
-    assert width == {queries.WIDTH}
-    of_vectors = {k for k, v in queries.SQL.items() if queries.CTE["x"] in v}
-    assert len(of_vectors) > 25 and {f"whole_{k}" for k in of_vectors} <= set(queries.QUERIES) & set(queries.SQL)
-
-
 def test_vectors_are_whole(spark, sf):
-    for name in ("whole_neighbour_sum", "whole_feature_gather", "lstm_reduce"):
+    for name in ("neighbour_sum", "remote_pull", "lstm_reduce"):
         dims = {r[0] for r in queries.QUERIES[name](spark, sf).select("dim").distinct().collect()}
         assert dims == set(range(64)), name
 
