@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hopweave.functions import vectors as V
 from hopweave.functions.portable import weights
 
-from .aggregation import aggregate_neighbors, gcn, pairwise_mean, self_gather, split_sum
+from .aggregation import aggregate_neighbors, gcn, pairwise_mean, self_gather, split_sum, sum_gradient
 
 
 def linear(h: DataFrame, w: list[list[float]], b: list[float] | None = None) -> DataFrame:
@@ -154,3 +154,32 @@ def full_inference(edges: DataFrame, nodes: DataFrame, x: DataFrame, sizes: list
     """Every layer over all nodes and edges; a self edge each."""
     block = edges.select("src", "dst").unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")))
     return sage([block] * (len(sizes) - 1), x, sizes, keep=keep)
+
+
+def bias_gradient(grad: DataFrame, columns: int) -> DataFrame:
+    """k, value: the sum of the gradient over all rows."""
+    sums = grad.agg(*[F.coalesce(F.sum(F.col("vec")[k]), F.lit(0.0)).alias(f"g{k}") for k in range(columns)])
+    return sums.select(F.posexplode(F.array(*[F.col(f"g{k}") for k in range(columns)])).alias("k", "value")).select(F.col("k").cast("bigint").alias("k"), "value")
+
+
+def two_layer_step(x: DataFrame, labels: DataFrame, sizes: tuple[int, int, int], rate: float, block: DataFrame | None = None, keep=None) -> DataFrame:
+    """param (w1, b1, w2, b2), i, k, value after one step of gradient descent of relu(x W1 + b1) W2 + b2 under cross entropy.
+
+    With a block (src, dst) each layer takes sums over in-neighbours first (a graph convolution), and gradients go back along
+    reversed edges. keep writes what the forward pass leaves for the backward one.
+    """
+    keep = keep or (lambda df: df)
+    a, b, c = sizes
+    w1, b1, w2, b2 = weights(a, b), weights(1, b)[0], weights(b, c), weights(1, c)[0]
+    s1 = keep(aggregate_neighbors(block, x, a)) if block is not None else x
+    h = keep(activate(linear(s1, w1, b1)))
+    s2 = keep(aggregate_neighbors(block, h, b)) if block is not None else h
+    g2 = keep(cross_entropy_gradient(linear(s2, w2, b2), labels, c).select("node", "vec"))
+    back = linear_backward(g2, w2)
+    back = sum_gradient(block, back, b) if block is not None else back
+    g1 = keep(relu_backward(h, back))
+    out = None
+    for name, rows, w in (("w1", weight_gradient(s1, g1, a, b), w1), ("w2", weight_gradient(s2, g2, b, c), w2), ("b1", bias_gradient(g1, b).withColumn("i", F.lit(0).cast("bigint")), [b1]), ("b2", bias_gradient(g2, c).withColumn("i", F.lit(0).cast("bigint")), [b2])):
+        step = sgd_step(rows.select("i", "k", "value"), w, rate).select(F.lit(name).alias("param"), "i", "k", "value")
+        out = step if out is None else out.unionByName(step)
+    return out

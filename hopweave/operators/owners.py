@@ -73,3 +73,9 @@ def halo(edges: DataFrame, owners: DataFrame) -> DataFrame:
     ends = cut.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     a, b, c = cut.agg(F.count("*").alias("cut_edges")), ends.agg(F.count("*").alias("halo_nodes")), owners.agg(F.count("*").alias("nodes"))
     return a.crossJoin(b).crossJoin(c).withColumn("halo_ratio", F.round(F.col("halo_nodes") / F.col("nodes"), 6))
+
+
+def scatter(rows: DataFrame, owners: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows (node, ...) with part, all of an owner's rows in the same tasks; reading them back in any order is the gather."""
+    out = rows.join(owners.select("node", "part"), "node")
+    return out.repartition(parts, "part") if parts else out.repartition("part", F.pmod(F.xxhash64("node"), F.lit(64)))

@@ -111,3 +111,41 @@ def within_owner(edges: DataFrame, owners: DataFrame) -> DataFrame:
 
 def expected_batches(nodes: DataFrame, size: int, epochs: int) -> DataFrame:
     return nodes.agg((F.ceil(F.count("*") / F.lit(size)) * epochs).cast("bigint").alias("samples"))
+
+
+def epoch_batches(nodes: DataFrame, size: int, epochs: int, seed: int = 1) -> DataFrame:
+    """epoch, batch, node, rank: a permutation of the nodes of its own for each epoch."""
+    out = None
+    for epoch in range(epochs):
+        rows = make_batches(nodes, size, seed, epoch).select(F.lit(epoch).alias("epoch"), "batch", "node", "rank")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def first_batches(batches: DataFrame, most: int) -> DataFrame:
+    """The batches below a cap, for trial runs."""
+    return batches.where(F.col("batch") < most)
+
+
+def each_batch(blocks: DataFrame):
+    """(batch, rows of blocks) in order, for a trainer's loop; batch ids come one at a time, the rows stay in Spark."""
+    for row in blocks.select("batch").distinct().orderBy("batch").toLocalIterator():
+        yield row["batch"], blocks.where(F.col("batch") == row["batch"])
+
+
+def cooperative_blocks(edges: DataFrame, batches: DataFrame, owners: DataFrame, fanouts: list[int], seed: int = 1, keep=None) -> DataFrame:
+    """cooperative_block over several hops: the sources that an owner gets are its part of the next frontier."""
+    frontier, out = batches.select("batch", "node").distinct(), None
+    for layer, fanout in enumerate(fanouts):
+        block = cooperative_block(edges, frontier, owners, layer, fanout, seed)
+        block = keep(block) if keep else block
+        out = block if out is None else out.unionByName(block)
+        frontier = block.select("batch", F.col("src").alias("node")).distinct()
+    return out
+
+
+def owner_samples(edges: DataFrame, owners: DataFrame, fanout: int, seed: int = 1) -> DataFrame:
+    """part, dst, src: a sample of each node's in-neighbours within its own owner's subgraph; batch is the owner."""
+    inner = within_owner(edges, owners).select("src", "dst")
+    frontier = owners.select(F.col("part").cast("bigint").alias("batch"), "node")
+    return sampled_block(inner, frontier, 0, fanout, seed).select(F.col("batch").alias("part"), "dst", "src")

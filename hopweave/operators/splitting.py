@@ -67,3 +67,41 @@ def remote_rows(split: DataFrame) -> DataFrame:
 def label_parts(batches: DataFrame, labels: DataFrame, owners: DataFrame) -> DataFrame:
     """batch, part, node, label of the seeds by owner."""
     return batches.select("batch", "node").join(labels, "node").join(owners, "node").select("batch", "part", "node", "label")
+
+
+def markers(split: DataFrame) -> DataFrame:
+    """split with kind: self (an edge to itself), local (one owner) or remote."""
+    kind = F.when(F.col("src") == F.col("dst"), "self").when(F.col("src_part") == F.col("dst_part"), "local").otherwise("remote")
+    return split.withColumn("kind", kind)
+
+
+def full_grid(split: DataFrame, parts: int = 4) -> DataFrame:
+    """layer, src_part, dst_part, edges of every pair of owners, empty ones too."""
+    layers = split.select("layer").distinct()
+    ids = split.sparkSession.range(parts).select(F.col("id").cast("int").alias("src_part"))
+    cells = layers.crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(ids.withColumnRenamed("src_part", "dst_part")))  # parts^2 rows a layer
+    n = split.groupBy("layer", "src_part", "dst_part").agg(F.count("*").alias("n"))
+    return cells.join(n, ["layer", "src_part", "dst_part"], "left").select("layer", "src_part", "dst_part", F.coalesce("n", F.lit(0)).alias("edges"))
+
+
+def relabel(split: DataFrame, keep=None) -> DataFrame:
+    """batch, layer, part, src_id, dst_id: edges by the dense ids of their ends within (batch, layer, part). All must be found."""
+    by = ["batch", "layer", "part"]
+    ids = local_ids(split.select(*by, F.explode(F.array("src", "dst")).alias("node")).distinct(), by)
+    ids = keep(ids) if keep else ids
+    rows = split.join(ids.withColumnsRenamed({"node": "src", "local_id": "src_id"}), [*by, "src"], "left").join(ids.withColumnsRenamed({"node": "dst", "local_id": "dst_id"}), [*by, "dst"], "left")
+    present = F.when(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull(), F.col("src_id")).otherwise(F.raise_error(F.lit("an end of an edge has no local id")).cast("bigint"))
+    return rows.select(*by, present.alias("src_id"), "dst_id")
+
+
+def model_input(split: DataFrame) -> DataFrame:
+    """batch, layer, part, kind, peer, src, dst: all that one owner's model takes of a layer, in one table. edge: what it computes;
+    owned: the destinations it holds; to and from: destinations whose partials it sends to or gets from the owner `peer`."""
+    key = ["batch", "layer"]
+    none = F.lit(None).cast("bigint")
+    edges = split.select(*key, "part", F.lit("edge").alias("kind"), F.lit(-1).alias("peer"), "src", "dst")
+    owned = owned_nodes(split).select(*key, "part", F.lit("owned").alias("kind"), F.lit(-1).alias("peer"), none.alias("src"), F.col("node").alias("dst"))
+    moved = shuffle_nodes(split)
+    to = moved.select(*key, F.col("from_part").alias("part"), F.lit("to").alias("kind"), F.col("to_part").alias("peer"), none.alias("src"), F.col("node").alias("dst"))
+    from_ = moved.select(*key, F.col("to_part").alias("part"), F.lit("from").alias("kind"), F.col("from_part").alias("peer"), none.alias("src"), F.col("node").alias("dst"))
+    return edges.unionByName(owned).unionByName(to).unionByName(from_)

@@ -41,6 +41,8 @@ CTE = {
     "l0": "l0 AS MATERIALIZED (SELECT batch, 0 AS layer, dst, src FROM (SELECT f0.batch, e.dst, e.src, row_number() OVER (PARTITION BY f0.batch, e.dst ORDER BY md5(concat_ws(':', '1', f0.batch::VARCHAR, '0', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f0 JOIN e ON e.dst = f0.node) WHERE r <= 10 UNION ALL SELECT batch, 0, node, node FROM f0)",
     "f1": "f1 AS (SELECT DISTINCT batch, src AS node FROM l0)",
     "l1": "l1 AS MATERIALIZED (SELECT batch, 1 AS layer, dst, src FROM (SELECT f1.batch, e.dst, e.src, row_number() OVER (PARTITION BY f1.batch, e.dst ORDER BY md5(concat_ws(':', '1', f1.batch::VARCHAR, '1', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f1 JOIN e ON e.dst = f1.node) WHERE r <= 5 UNION ALL SELECT batch, 1, node, node FROM f1)",
+    "f2": "f2 AS (SELECT DISTINCT batch, src AS node FROM l1)",
+    "l2": "l2 AS (SELECT batch, 2 AS layer, dst, src FROM (SELECT f2.batch, e.dst, e.src, row_number() OVER (PARTITION BY f2.batch, e.dst ORDER BY md5(concat_ws(':', '1', f2.batch::VARCHAR, '2', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f2 JOIN e ON e.dst = f2.node) WHERE r <= 3 UNION ALL SELECT batch, 2, node, node FROM f2)",
     "bl": "bl AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1)",
     "s": "s AS (SELECT bl.*, p.part AS src_part, q.part AS dst_part, p.part AS part FROM bl JOIN o p ON p.node = bl.src JOIN o q ON q.node = bl.dst)",
     "inp": "inp AS (SELECT DISTINCT batch, src AS node FROM l1)",
@@ -48,7 +50,7 @@ CTE = {
     "a": "a AS (SELECT src, dst FROM e UNION ALL SELECT node, node FROM n)",
     "sa": "sa AS (SELECT a.src, a.dst, p.part FROM a JOIN o p ON p.node = a.src)",
 }
-NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "l0": "f0 e", "f1": "l0", "l1": "f1 e", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
+NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "l0": "f0 e", "f1": "l0", "l1": "f1 e", "f2": "l1", "l2": "f2 e", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
 
 
 def sql(needs: str, text: str, recursive: str = "") -> str:
@@ -723,6 +725,127 @@ def value_changes(spark, sf_dir):
     return M.changes(G.table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("event_type").alias("value")))
 
 
+# --- more of samples, splits and models
+
+
+@query(sql("l0 l1 l2 o", "SELECT b.layer, p.part AS src_part, q.part AS dst_part, count(*) AS edges, sum(b.src)::BIGINT AS src_sum FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) b JOIN o p ON p.node = b.src JOIN o q ON q.node = b.dst GROUP BY 1, 2, 3"))
+def sample_three_hops(spark, sf_dir):
+    g = load(spark, sf_dir)
+    blocks = S.sample_blocks(kept(g.edges, "edges"), seeds(g), [10, 5, 3], keep=kept)
+    return B.split_blocks(blocks, g.owners).groupBy("layer", "src_part", "dst_part").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"))
+
+
+@query(sql("s", "SELECT batch, layer, dst_part, src_part, dst, src FROM s"))
+def cooperative_hops(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return S.cooperative_blocks(kept(g.edges, "edges"), seeds(g), g.owners, [10, 5], keep=kept)
+
+
+@query(sql("e o n", """WITH w AS (SELECT p.part, e.src, e.dst FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = q.part)
+SELECT part::BIGINT AS part, dst, src FROM (SELECT *, row_number() OVER (PARTITION BY part, dst ORDER BY md5(concat_ws(':', '1', part::VARCHAR, '0', dst::VARCHAR, src::VARCHAR)), src) AS r FROM w) WHERE r <= 3 UNION ALL SELECT part, node, node FROM o"""))
+def owner_samples(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return S.owner_samples(g.edges, g.owners, 3)
+
+
+@query(sql("n", "SELECT epoch::INT AS epoch, rank // 100 AS batch, node, rank FROM (SELECT epoch, node, (row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws(':', '1', epoch::VARCHAR, node::VARCHAR)), node) - 1)::BIGINT AS rank FROM n, range(3) t(epoch))"))
+def epoch_batches(spark, sf_dir):
+    return S.epoch_batches(load(spark, sf_dir).nodes, 100, 3)
+
+
+@query(sql("s", "SELECT layer, part, CASE WHEN src = dst THEN 'self' WHEN src_part = dst_part THEN 'local' ELSE 'remote' END AS kind, count(*) AS edges FROM s GROUP BY 1, 2, 3"))
+def split_markers(spark, sf_dir):
+    return B.markers(split(load(spark, sf_dir))).groupBy("layer", "part", "kind").agg(F.count("*").alias("edges"))
+
+
+@query(sql("e o", "SELECT 0 AS layer, a::INT AS src_part, b::INT AS dst_part, (SELECT count(*) FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = a AND q.part = b AND p.part <= 1) AS edges FROM range(4) t(a), range(4) u(b)"))
+def full_grid(spark, sf_dir):
+    g = load(spark, sf_dir)
+    rows = O.with_owners(g.edges.withColumn("layer", F.lit(0)), g.owners).where("src_part <= 1")  # two owners without an edge
+    return B.full_grid(rows)
+
+
+@query(sql("s", """WITH m AS (SELECT batch, layer, part, node, (row_number() OVER (PARTITION BY batch, layer, part ORDER BY node) - 1)::BIGINT AS id FROM (SELECT batch, layer, part, src AS node FROM s UNION SELECT batch, layer, part, dst FROM s))
+SELECT s.batch, s.layer, s.part, a.id AS src_id, b.id AS dst_id FROM s JOIN m a ON a.batch = s.batch AND a.layer = s.layer AND a.part = s.part AND a.node = s.src JOIN m b ON b.batch = s.batch AND b.layer = s.layer AND b.part = s.part AND b.node = s.dst"""))
+def relabelled_edges(spark, sf_dir):
+    return B.relabel(kept(split(load(spark, sf_dir)), "split"), keep=kept)
+
+
+@query(sql("s", """WITH mv AS (SELECT DISTINCT batch, layer, part, dst_part, dst FROM s WHERE part <> dst_part),
+al AS (SELECT layer, part, 'edge' AS kind, -1 AS peer, src, dst FROM s UNION ALL SELECT layer, dst_part, 'owned', -1, NULL, dst FROM (SELECT DISTINCT batch, layer, dst_part, dst FROM s)
+UNION ALL SELECT layer, part, 'to', dst_part, NULL, dst FROM mv UNION ALL SELECT layer, dst_part, 'from', part, NULL, dst FROM mv)
+SELECT layer, part, kind, peer, count(*) AS n, sum(dst)::BIGINT AS dst_sum, coalesce(sum(src), 0)::BIGINT AS src_sum FROM al GROUP BY 1, 2, 3, 4"""))
+def model_input(spark, sf_dir):
+    rows = B.model_input(kept(split(load(spark, sf_dir)), "split"))
+    return rows.groupBy("layer", "part", "kind", "peer").agg(F.count("*").alias("n"), F.sum("dst").alias("dst_sum"), F.coalesce(F.sum("src"), F.lit(0)).alias("src_sum"))
+
+
+@query(sql("vs o", "SELECT o.node, o.part, vs.total, vs.weighted FROM vs JOIN o ON o.node = vs.node"))
+def scatter_gather(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return V.sums(O.scatter(g.features, g.owners), ["node", "part"])
+
+
+@query(sql("x y o", f"""SELECT (SELECT round(sum(value), 4) FROM x) AS csum_features, 0::BIGINT AS bad_features, (SELECT sum(label)::BIGINT FROM y) AS csum_labels,
+(SELECT count(*) FROM y WHERE label IS NULL OR label NOT BETWEEN 0 AND {CLASSES - 1}) AS bad_labels, (SELECT sum(part)::BIGINT FROM o) AS csum_owners, 0::BIGINT AS bad_owners"""))
+def range_checks(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return I.range_checks(g.features, g.labels, g.owners, g.dims, CLASSES, 4)
+
+
+@query(sql("e x", f"WITH {w_table('wt', DIMS, 8)}, p AS (SELECT x.node, wt.k, greatest(sum(x.value * wt.w), 0) AS v FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2) SELECT e.dst AS node, p.k::BIGINT AS dim, round(max(p.v), 6) AS value FROM e JOIN p ON p.node = e.src GROUP BY 1, 2"))
+def max_pool(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return V.long_form(A.max_pool(g.edges, g.features, weights(g.dims, 8)), ["node"])
+
+
+@query(sql("e x", f"""WITH {w_table('wt', DIMS, 4)}, lr AS (SELECT node, k // 2 AS h, sum(CASE WHEN k % 2 = 0 THEN value * w END) AS l, sum(CASE WHEN k % 2 = 1 THEN value * w END) AS r FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2),
+q AS (SELECT e.src, e.dst, p.h, CASE WHEN p.l + q.r > 0 THEN p.l + q.r ELSE 0.2 * (p.l + q.r) END AS s FROM e JOIN lr p ON p.node = e.src JOIN lr q ON q.node = e.dst AND q.h = p.h),
+al AS (SELECT src, dst, h, exp(s - max(s) OVER (PARTITION BY dst, h)) AS v FROM q), alpha AS (SELECT src, dst, h, v / sum(v) OVER (PARTITION BY dst, h) AS alpha FROM al)
+SELECT a.dst AS node, (a.h * {DIMS} + x.dim)::BIGINT AS dim, round(sum(a.alpha * x.value), 6) AS value FROM alpha a JOIN x ON x.node = a.src GROUP BY 1, 2"""))
+def multi_head_attention(spark, sf_dir):
+    g = load(spark, sf_dir)
+    w = weights(g.dims, 4)
+    return V.long_form(A.multi_head_attention(g.edges, g.features, g.dims, [([r[2 * k] for r in w], [r[2 * k + 1] for r in w]) for k in range(2)]), ["node"])
+
+
+@query(sql("x", f"WITH {w_table('wt', DIMS, CLASSES)}, {w_table('bt', 1, CLASSES)} SELECT x.node, wt.k::BIGINT AS dim, round(greatest(sum(x.value * wt.w) + any_value(bt.w), 0), 6) AS value FROM x JOIN wt ON wt.i = x.dim JOIN bt ON bt.k = wt.k GROUP BY 1, 2"))
+def linear_bias(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return V.long_form(L.activate(L.linear(g.features, weights(g.dims, CLASSES), weights(1, CLASSES)[0])), ["node"])
+
+
+@query(sql("x y", f"WITH {LOGITS}{GRAD} SELECT gr.node, gr.k::BIGINT AS dim, round(CASE WHEN pr.z <= 0 THEN 0 ELSE gr.g END, 9) AS value FROM gr JOIN pr ON pr.node = gr.node AND pr.k = gr.k"))
+def relu_backward(spark, sf_dir):
+    g = load(spark, sf_dir)
+    z = logits(g)
+    return V.long_form(L.relu_backward(L.activate(z), L.cross_entropy_gradient(z, g.labels, CLASSES).select("node", "vec")), ["node"], digits=9)
+
+
+STEP = f"""{w_table('wa', DIMS, 6)}, {w_table('ba', 1, 6)}, {w_table('wb', 6, CLASSES)}, {w_table('bb', 1, CLASSES)}, s1 AS ({{s1}}),
+h AS (SELECT s1.node, wa.k, greatest(sum(s1.v * wa.w) + any_value(ba.w), 0) AS v FROM s1 JOIN wa ON wa.i = s1.dim JOIN ba ON ba.k = wa.k GROUP BY 1, 2), s2 AS ({{s2}}),
+z AS (SELECT s2.node, wb.k, sum(s2.v * wb.w) + any_value(bb.w) AS z FROM s2 JOIN wb ON wb.i = s2.dim JOIN bb ON bb.k = wb.k GROUP BY 1, 2),
+pr AS (SELECT z.node, z.k, y.label, exp(z - max(z) OVER (PARTITION BY z.node)) AS x FROM z JOIN y ON y.node = z.node),
+g2 AS (SELECT node, k, (x / sum(x) OVER (PARTITION BY node) - (k = label)::INT) / (SELECT count(DISTINCT node) FROM z) AS g FROM pr),
+bk AS (SELECT g2.node, wb.i AS k, sum(g2.g * wb.w) AS g FROM g2 JOIN wb ON wb.k = g2.k GROUP BY 1, 2), bs AS ({{back}}),
+g1 AS (SELECT bs.node, bs.k, CASE WHEN h.v <= 0 THEN 0 ELSE bs.g END AS g FROM bs JOIN h ON h.node = bs.node AND h.k = bs.k),
+d AS (SELECT 'w1' AS param, s1.dim AS i, g1.k, sum(s1.v * g1.g) AS v FROM s1 JOIN g1 ON g1.node = s1.node GROUP BY 2, 3 UNION ALL SELECT 'w2', s2.dim, g2.k, sum(s2.v * g2.g) FROM s2 JOIN g2 ON g2.node = s2.node GROUP BY 2, 3
+UNION ALL SELECT 'b1', 0, k, sum(g) FROM g1 GROUP BY k UNION ALL SELECT 'b2', 0, k, sum(g) FROM g2 GROUP BY k)
+SELECT param, i::BIGINT AS i, k::BIGINT AS k, round(((i * 7 + k * 3) % 11 - 5) / 10.0 - 0.1 * v, 5) AS value FROM d"""
+
+
+@query(sql("x y", "WITH " + STEP.format(s1="SELECT node, dim, value AS v FROM x", s2="SELECT node, k AS dim, v FROM h", back="SELECT node, k, g FROM bk")))
+def mlp_step(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return L.two_layer_step(g.features, g.labels, (g.dims, 6, CLASSES), 0.1, keep=kept).select("param", "i", "k", F.round("value", 5).alias("value"))
+
+
+@query(sql("a x y", "WITH " + STEP.format(s1="SELECT a.dst AS node, x.dim, sum(x.value) AS v FROM a JOIN x ON x.node = a.src GROUP BY 1, 2", s2="SELECT a.dst AS node, h.k AS dim, sum(h.v) AS v FROM a JOIN h ON h.node = a.src GROUP BY 1, 2", back="SELECT a.src AS node, bk.k, sum(bk.g) AS g FROM a JOIN bk ON bk.node = a.dst GROUP BY 1, 2")))
+def gcn_step(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return L.two_layer_step(g.features, g.labels, (g.dims, 6, CLASSES), 0.1, kept(whole_block(g), "block"), keep=kept).select("param", "i", "k", F.round("value", 5).alias("value"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: two hops sampled from all nodes in batches, split over 4 owners, edges by (layer, source owner, destination owner)."""
     return QUERIES["split_counts"](spark, sf_dir)
