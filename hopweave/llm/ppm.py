@@ -4,7 +4,7 @@ The model is the trie of all contexts of up to `order` bytes in the training tex
 text (lower-cased, preceded by padding, followed by an end symbol) is a sequence of (order + 1)-grams of bytes, and a static
 model's probability of a byte depends on its gram alone. So the work is on distinct grams:
 
-1. Documents are dealt into blocks of about `block_bytes` by a hash; each block gives its distinct grams and words with their
+1. Documents are dealt into blocks of about `block_bytes` by a hash of id and text, so that rows without an id spread; each block gives its distinct grams and words with their
    counts in training texts.
 2. Counts are summed over blocks. Grams are then dealt by their last two context bytes: each task has whole subtrees of the
    trie and computes, for every gram that occurs anywhere, the code length along its escapes. Orders 0 and 1, which the
@@ -212,7 +212,7 @@ def ppm_scores(docs: DataFrame, train: Column | None = None, order: int = ORDER,
     rows = small_batches(docs).select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
     found = block_keys(blocks, order)
     of_key = Window.partitionBy("kind", "key")  # a row for each block at most
     totals = found.withColumn("total", F.sum("n").over(of_key)).withColumn("first", F.row_number().over(of_key.orderBy("block")) == 1)

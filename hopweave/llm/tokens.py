@@ -1,6 +1,7 @@
 """Token-id files: a concatenated id array with Elias-Fano encoded document ends.
 
-A shard holds the documents of one range of the order (doc_id, null first; equal ids by text), as
+A shard is one range of the order (doc_id, null first; equal ids by text). It is written in pieces of about `shard_bytes` of ids, so
+a task holds one piece and never its whole range, however few shards there are. A piece is a file of its documents, as
 
     header   8 x uint64: magic, documents, ids, id width in bytes, nulls among doc_ids, low bits l, words of the upper part, samples
     doc_ids  int64 each, nulls first
@@ -12,7 +13,7 @@ A shard holds the documents of one range of the order (doc_id, null first; equal
 The ends take 2 + log2(ids / documents) bits a document, and `EliasFano.get` finds any of them from one sample and a short scan.
 
 Cases: null text is empty and yields the end id alone; a null doc_id sorts first; equal doc_ids follow each other in text order;
-an empty table yields no shard; other columns are ignored.
+an empty table yields no shard; a very long text is encoded whole and may be a piece by itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .common import Committed, load, new_path, read_range, small_batches, store,
 MAGIC = 0x31464554574F5048
 HEADER = 64
 EVERY = 256
+SHARD_BYTES = 64 << 20
 
 
 class EliasFano:
@@ -98,7 +100,8 @@ class Encoder:
 
     The byte-level pre-tokenizer joins nothing across these places, so texts are cut there, the ids of recurring pieces are kept,
     and the ids are those of the uncut text: before a single space and around a single line feed that stand between characters
-    that are no white space, and between letters and the full stops or commas that end such a piece.
+    that are no white space, and between letters and the full stops or commas that end such a piece. For a tokenizer of another kind
+    the library gets whole texts.
     """
 
     TIGHT = re.compile(r"\s\s|\x00")
@@ -111,8 +114,22 @@ class Encoder:
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that the byte-level alphabet leaves as they are; the others follow from 256
         self.alphabet = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.cuts = self.may_cut()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def may_cut(self) -> bool:
+        """Whether the tokenizer is byte-level without a normalizer, a space of its own or chance, and no token of its own is found across cuts."""
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        t = self.tokenizer
+        if t.normalizer is not None or not isinstance(t.pre_tokenizer, ByteLevel) or not isinstance(t.model, BPE):
+            return False
+        if t.pre_tokenizer.add_prefix_space or not t.pre_tokenizer.use_regex or t.model.dropout:
+            return False
+        own = t.get_added_tokens_decoder().values()
+        return not any(a.lstrip or a.rstrip or a.single_word or re.search(r"\s|\x00", a.content) or self.PLAIN.fullmatch("a" + a.content) for a in own)
+
     @classmethod
     def cut(cls, text: str) -> list[str]:
         if not cls.TIGHT.search(text):
@@ -150,6 +167,8 @@ class Encoder:
             known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         cut = [self.cut(t) if t else [] for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
@@ -183,39 +202,53 @@ def _groups(columns: list[pa.Array], most: int) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, shards: int) -> DataFrame:
-    """Writes shards of about equal row counts in ascending doc_id order and returns their manifest: shard, path, n_docs, n_ids."""
+def write_piece(path: str, kind: np.dtype, doc_ids: list[int | None], lengths: list[int], parts: list[bytes]) -> tuple[int, int]:
+    """Writes the documents with these ids, numbers of token ids and bytes; returns the numbers of documents and token ids."""
+    ends = np.cumsum(np.array(lengths, np.int64))
+    ef = EliasFano.encode(ends)
+    nulls = sum(i is None for i in doc_ids)
+    head = np.array([MAGIC, ef.n, ends[-1], kind.itemsize, nulls, ef.bits, len(ef.upper), len(ef.samples)], "<u8")
+    with Committed(path) as f:
+        for x in (head, np.array([i or 0 for i in doc_ids], "<i8"), ef.low, ef.upper, ef.samples):
+            f.write(x.tobytes())
+        for a in range(0, len(parts), 4096):
+            f.write(b"".join(parts[a : a + 4096]))
+    return ef.n, int(ends[-1])
+
+
+def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, shards: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes shards of about equal row counts in ascending doc_id order and returns their manifest: shard, piece, path, n_docs, n_ids."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
+        coder, k, piece = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], coder.dtype).tobytes()
-        doc_ids, lengths, parts = [], [], []
+        doc_ids, lengths, parts, size = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal doc_ids, lengths, parts, size, piece
+            path = f"{out}/shard-{k:06d}-{piece:06d}.tok"
+            n_docs, n_ids = write_piece(path, coder.dtype, doc_ids, lengths, parts)
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "piece": pa.array([piece], pa.int32()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            doc_ids, lengths, parts, size, piece = [], [], [], 0, piece + 1
+            return row
+
         for batch in batches:
-            for ids, texts in _groups(batch.columns[:2], 1_000_000):
+            for ids, texts in _groups(batch.columns[:2], min(1_000_000, shard_bytes)):
                 doc_ids += ids
                 for b in coder.encode(texts):
                     parts.append(b)
                     parts.append(end)
                     lengths.append(len(b) // coder.dtype.itemsize + 1)
-        if not doc_ids:
-            return
-        k = TaskContext.get().partitionId()
-        path = f"{out}/shard-{k:06d}.tok"
-        ends = np.cumsum(np.array(lengths, np.int64))
-        ef = EliasFano.encode(ends)
-        nulls = sum(i is None for i in doc_ids)
-        head = np.array([MAGIC, ef.n, ends[-1], coder.dtype.itemsize, nulls, ef.bits, len(ef.upper), len(ef.samples)], "<u8")
-        with Committed(path) as f:
-            for x in (head, np.array([i or 0 for i in doc_ids], "<i8"), ef.low, ef.upper, ef.samples):
-                f.write(x.tobytes())
-            for a in range(0, len(parts), 4096):
-                f.write(b"".join(parts[a : a + 4096]))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "path": [path], "n_docs": pa.array([ef.n], pa.int64()), "n_ids": pa.array([int(ends[-1])], pa.int64())})
+                    size += len(b) + len(end)
+                if size >= shard_bytes:
+                    yield close()
+        if doc_ids:
+            yield close()
 
     rows = small_batches(docs).select("doc_id", "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     dealt = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(shard, "shard int, path string, n_docs long, n_ids long"), "tokens-manifest")
+    return written(dealt.mapInArrow(shard, "shard int, piece int, path string, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def open_shard(path: str) -> tuple[np.ndarray, int, EliasFano, int, np.dtype]:
@@ -239,11 +272,11 @@ def read_document(path: str, i: int) -> np.ndarray:
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, shard, position: what the files hold. start counts the ids of all documents before."""
+    """doc_id, start, n_tokens, ids_crc32, shard, piece, position: what the files hold. start counts the ids of all documents before."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for shard, path, base in zip(frame["shard"], frame["path"], frame["base"]):
+            for shard, piece, path, base in zip(frame["shard"], frame["piece"], frame["path"], frame["base"]):
                 ids, nulls, ef, at, kind = open_shard(path)
                 ends = ef.decode()
                 starts = np.concatenate([[0], ends[:-1]])
@@ -255,12 +288,12 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         crcs[i] = zlib.crc32(np.frombuffer(f.read(int(n) * kind.itemsize), kind).astype("<u4").tobytes())
                 doc_ids = pd.array(ids, "Int64")
                 doc_ids[:nulls] = pd.NA
-                yield pd.DataFrame({"doc_id": doc_ids, "start": base + starts, "n_tokens": ends - starts, "ids_crc32": crcs, "shard": shard, "position": np.arange(len(ends))})
+                yield pd.DataFrame({"doc_id": doc_ids, "start": base + starts, "n_tokens": ends - starts, "ids_crc32": crcs, "shard": shard, "piece": piece, "position": np.arange(len(ends))})
 
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    based = manifest.select("shard", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    before = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    based = manifest.select("shard", "piece", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return based.repartition(parts, "shard").mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, position long")
+    return based.repartition(parts, "shard", "piece").mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, piece int, position long")
 
 
 def token_output(docs: DataFrame, out: str | None = None, tokenizer_path: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:

@@ -77,6 +77,13 @@ def test_long_text_and_empty_table(spark):
     assert ppm.ppm_scores(no_docs(spark)).count() == 0
 
 
+def test_rows_without_ids_spread_over_blocks(spark):
+    rows = [(None, f"word{i:04d}") for i in range(400)]  # of one length
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_tokens"], round(r["score"], 6)) for r in ppm.ppm_scores(docs, order=2, block_bytes=200).collect())
+    assert got == sorted((a, round(e, 6)) for a, _, _, _, e in brute(rows, 2))
+
+
 def test_held_out_texts_are_predicted(spark, sf):
     """The model's bits a byte on held-out texts are well below eight."""
     scored = ppm.op2_lm_scoring(spark, sf).where("held_out").selectExpr("-sum(score) / log10(2) / sum(n_bytes + 1)").first()[0]

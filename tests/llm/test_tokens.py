@@ -59,6 +59,39 @@ def test_edge_rows(spark):
     assert ids == sorted(ids)
 
 
+def test_pieces_of_a_shard(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    manifest = tokens.write_tokens(docs, f"file://{tmp_path}/t", PATH, 2, 2, shard_bytes=100_000)
+    files = manifest.collect()
+    assert len(files) > 2 and len({(r["shard"], r["piece"]) for r in files}) == len(files)
+    got = tokens.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == expected([tuple(r) for r in docs.collect()])
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import AddedToken, normalizers, pre_tokenizers
+
+    def spaced(t):
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+
+    def lowering(t):
+        t.normalizer = normalizers.Lowercase()
+
+    def with_word(t):
+        t.add_tokens([AddedToken("at", normalized=False)])
+
+    texts = ["Hello World at one", "That's  it.\n\nAT all", "", None]
+    assert CODER.cuts
+    for k, change in enumerate((spaced, lowering, with_word)):
+        plain = Tokenizer.from_file(PATH)
+        change(plain)
+        plain.save(f"{tmp_path}/{k}.json")
+        coder = tokens.Encoder(f"{tmp_path}/{k}.json")
+        assert not coder.cuts
+        for text, raw in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(raw, coder.dtype).tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert tokens.token_output(no_docs(spark)).count() == 0
 
