@@ -22,7 +22,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,6 +95,26 @@ class EliasFano:
         return high << self.bits | rows.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
+class Pieces(dict):
+    """Ids of pieces, in two generations: what is missing is taken from the one before, else made. What recurs stays; the rest goes in time."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        """A full generation becomes the one before."""
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
@@ -105,13 +125,15 @@ class Encoder:
     """
 
     TIGHT = re.compile(r"\s\s|\x00")
+    RARE = ["  ", "\n\n", " \n", "\n ", "\x00", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")]  # a text without these has nothing tight
     PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)?")
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Pieces(self.make, keep)
+        self.model = self.tokenizer.model.tokenize
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that the byte-level alphabet leaves as they are; the others follow from 256
         self.alphabet = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self.cuts = self.may_cut()
@@ -132,7 +154,8 @@ class Encoder:
 
     @classmethod
     def cut(cls, text: str) -> list[str]:
-        if not cls.TIGHT.search(text):
+        rare = any(c in text for c in cls.RARE)
+        if not rare or not cls.TIGHT.search(text):
             return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         parts = text.split(" ")
         out = [parts[0]]
@@ -143,39 +166,31 @@ class Encoder:
                 out[-1] += " " + part
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Adds what is not known of pieces.
+    def make(self, piece: str) -> bytes:
+        """The ids of a piece.
 
         A word, a run of marks, and a word with a run of marks after it are one or two of the pre-tokenizer's own pieces: their ids come
         straight from the library's model, in the byte-level alphabet. Everything else goes through the whole tokenizer.
         """
-        known, model, code, rest = self.known, self.tokenizer.model.tokenize, self.dtype.char, []
-        for p in pieces:
-            found = self.PLAIN.fullmatch(p)
-            if not found:
-                rest.append(p)
-                continue
-            ids = b""
-            for part in found.groups():
-                if part:
-                    if part not in known:
-                        letters = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-                        known[part] = array(code, [t.id for t in model(letters)]).tobytes()
-                    ids += known[part]
-            known[p] = ids
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
+        found = self.PLAIN.fullmatch(piece)
+        if not found:
+            return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+        word, marks = found.groups()
+        if not marks:
+            return self.model_ids(word)
+        known = self.known
+        return (known.get(word) or known.before.get(word) or self.model_ids(word)) + known[marks]
+
+    def model_ids(self, part: str) -> bytes:
+        letters = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.dtype.char, [t.id for t in self.model(letters)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cuts:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        self.learn(set().union(*cut).difference(known))
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        self.known.age()
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.cut(t))) if t else b"" for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

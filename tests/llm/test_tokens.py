@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from cases import edge_docs, edge_rows, no_docs
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,18 @@ def test_elias_fano(steps):
         assert ef.get(i) == values[i]
     if len(values) > 100:
         assert ef.upper.nbytes + ef.low.nbytes <= len(values) * (3 + np.log2(max(2, values[-1] / len(values)))) / 8 + 16
+
+
+def test_ageing_pieces_change_no_id():
+    coder = tokens.Encoder(PATH, keep=3)
+    texts = ["one two, three. one two; four", "one five, one six! ähre two,", "", "two\nthree. one, 77  x\ty one"] * 3
+    assert coder.encode(texts) == CODER.encode(texts)
+    for t in texts:
+        assert coder.encode([t]) == [np.array(CODER.tokenizer.encode(t, add_special_tokens=False).ids, coder.dtype).tobytes()]
+    assert len(coder.known.before) > 0
+
+
+@pytest.mark.parametrize("space", [*tokens.Encoder.RARE, "　", " x", " "])
+def test_every_kind_of_white_space_gives_the_tokenizers_ids(space):
+    for t in (f"one{space}two", f"one {space}two", f"one\n{space} two, été", f"{space}one", f"one{space}"):
+        assert CODER.encode([t]) == [np.array(CODER.tokenizer.encode(t, add_special_tokens=False).ids, CODER.dtype).tobytes()]
