@@ -8,7 +8,8 @@ Of records with equal payloads of at least `least` bytes the one with the larges
 revisits of it (a null page_id is the smallest; rows that tie for the largest are all responses).
 
 Cases: null html is an empty payload; null url is written as an empty target; null page_id stays null; rows that repeat are
-records of their own; an empty table writes no archive.
+records of their own, with ids of their own but for repeated responses that revisits refer to; an empty table writes no archive;
+a very long html is one record, held whole by its task; other columns of the pages are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
 import pyarrow as pa
@@ -33,24 +35,28 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("7b0d3c5e-0f4a-4a57-9d0e-5f0b2d5e8a11")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, str(page_id))}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """The id of a record that others refer to, from what they know of it; of any other record, with its place in the archives."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id} {digest} {place}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One uncompressed record; a revisit keeps the HTTP head, with the full payload's length, and leaves the payload out."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """One uncompressed record; a revisit keeps the HTTP head, with the full payload's length, and leaves the payload out.
+
+    place, archive and offset, keeps the ids of records apart whose pages have one id or none.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, '' if refers_to is not None and not revisit else place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
         *([f"X-Page: {page_id}"] if page_id is not None else []),
         f"Content-Length: {len(block)}",
     ]
@@ -86,24 +92,22 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000, level: int = 3) ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{out}/archive-{TaskContext.get().partitionId():06d}.warc.gz"
-        at, f, file = 0, None, None
-        for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("page_id", "url", "file", "offset", "length", "payload_digest", "record_type")}
-            for page_id, url, html, digest, first in zip(*batch.columns):
-                page_id, url, payload, digest, first = page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), first.as_py()
-                revisit = first is not None and first != page_id
-                z = zlib.compressobj(level, wbits=31)
-                member = z.compress(record(page_id, url, payload, digest, first, revisit)) + z.flush()
-                if f is None:
-                    f = Committed(name)
-                    file = f.__enter__()
-                file.write(member)
-                for k, v in zip(rows, (page_id, url, name, at, len(member), digest, "revisit" if revisit else "response")):
-                    rows[k].append(v)
-                at += len(member)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string())]))
-        if f is not None:
-            f.__exit__(None)
+        at, file = 0, None
+        with ExitStack() as open_files:  # a failed task leaves no file behind
+            for batch in batches:
+                rows: dict[str, list] = {k: [] for k in ("page_id", "url", "file", "offset", "length", "payload_digest", "record_type")}
+                for page_id, url, html, digest, first in zip(*batch.columns):
+                    page_id, url, payload, digest, first = page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), first.as_py()
+                    revisit = first is not None and first != page_id
+                    z = zlib.compressobj(level, wbits=31)
+                    member = z.compress(record(page_id, url, payload, digest, first, revisit, f"{name.rpartition('/')[2]} {at}")) + z.flush()
+                    if file is None:
+                        file = open_files.enter_context(Committed(name))
+                    file.write(member)
+                    for k, v in zip(rows, (page_id, url, name, at, len(member), digest, "revisit" if revisit else "response")):
+                        rows[k].append(v)
+                    at += len(member)
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string())]))
 
     rows = dealt.select("page_id", "url", "html", "payload_digest", "_first")
     return written(rows.mapInArrow(write, INDEX), "warc-index")

@@ -8,7 +8,7 @@ import pytest
 from cases import edge_docs, edge_rows, no_docs
 
 from hopweave.llm import mixing, warc
-from hopweave.llm.common import new_path
+from hopweave.llm.common import Committed, new_path
 
 PAGES = "page_id long, url string, html string"
 
@@ -108,3 +108,28 @@ def test_ranges_are_coalesced():
 def test_no_pages(spark):
     index = warc.write_warc(spark.createDataFrame([], PAGES), new_path(spark, "warc"))
     assert index.count() == 0 and warc.read_warc(index).count() == 0
+
+
+def test_record_ids_differ_and_revisits_refer_to_a_response(spark):
+    rows = [*pages(), (None, "u", "small"), (None, "u", "small"), (3, "u", "again")]
+    heads = []
+    for r in warc.write_warc(spark.createDataFrame(rows, PAGES), new_path(spark, "warc")).collect():
+        with open(re.sub("^file:(//)?", "", r["file"]), "rb") as f:
+            f.seek(r["offset"])
+            heads.append(warc.parse(zlib.decompress(f.read(r["length"]), wbits=31))["headers"])
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(heads) == len(rows) and len(set(ids)) == len(ids) - 1  # page 8 is twice the response that page 7 refers to
+    responses = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 4
+    for h in revisits:
+        assert responses[h["warc-refers-to"]]["x-page"] == h["x-refers-to-page"]
+        assert responses[h["warc-refers-to"]]["warc-payload-digest"] == h["warc-payload-digest"]
+
+
+def test_a_failed_archive_leaves_no_file(spark, tmp_path):
+    path = f"{tmp_path}/a.warc.gz"
+    with pytest.raises(RuntimeError), Committed(f"file://{path}") as f:
+        f.write(b"x")
+        raise RuntimeError
+    assert list(tmp_path.iterdir()) == []
