@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, licenses, mixing, ppm, quality, tokens, toxicity, warc
+from . import decontamination, divergence, jaccard, language, licenses, mixing, ppm, quality, sharding, tokens, toxicity, warc, whitening
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op13_sharding": sharding.OP13_SQL,
 }
