@@ -5,7 +5,9 @@ blocks: batch, layer, dst, src. Layer 0 has the seeds as dst; the frontier of la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopweave.functions.portable import draw_index, draw_key
@@ -25,67 +27,141 @@ def worker_shares(batches: DataFrame, workers: int = 4) -> DataFrame:
     return batches.crossJoin(F.broadcast(n)).select("batch", "node", "rank", F.floor(F.col("rank") / F.col("_each")).cast("bigint").alias("worker"))
 
 
-def full_block(edges: DataFrame, frontier: DataFrame, layer: int) -> DataFrame:
+#: In-neighbours beyond which a node's positions are taken in runs of ids, and hubs that are broadcast at most (16 bytes each).
+HUB_ROWS, HUBS = 100_000, 500_000
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """near: dst, pos, src with each dst's sources at positions 0, 1, ... in the order of their ids; deg: node, deg."""
+
+    near: DataFrame
+    deg: DataFrame
+
+
+def adjacency(edges: DataFrame, keep=None, hub_rows: int = HUB_ROWS) -> Adjacency:
+    """Positions are taken once a graph, by a sort of each node's sources. Those of hubs are cut into runs of ids of about hub_rows
+    rows, counted, and sorted run by run, so no task gets a hub whole. keep(df) writes what is read again."""
+    keep = keep or (lambda df: df)
+    edges = edges.select("dst", "src")
+    deg = keep(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deg")))
+    hubs = deg.where(F.col("deg") > hub_rows).select(F.col("node").alias("dst"))
+    found, order = hubs.count(), Window.partitionBy("dst").orderBy("src")
+    at = (F.row_number().over(order) - 1).cast("bigint")
+    if not found:
+        return Adjacency(keep(edges.select("dst", at.alias("pos"), "src")), deg)
+    hubs = F.broadcast(hubs) if found <= HUBS else hubs
+    near = edges.join(hubs, "dst", "left_anti").select("dst", at.alias("pos"), "src")
+    many = edges.join(hubs, "dst", "left_semi")
+    rows, low, high = many.agg(F.count("*"), F.min("src"), F.max("src")).first()
+    run = F.floor((F.col("src") - F.lit(low)) / F.lit(max(1, (high - low + 1) * hub_rows // rows)))
+    many = many.withColumn("_run", run)
+    before = Window.partitionBy("dst").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = many.groupBy("dst", "_run").agg(F.count("*").alias("_n")).select("dst", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("dst", "_run").orderBy("src")) - 1
+    many = many.withColumn("_w", within).join(runs, ["dst", "_run"]).select("dst", (F.col("_base") + F.col("_w")).cast("bigint").alias("pos"), "src")
+    return Adjacency(keep(near.unionByName(many)), deg)
+
+
+def adjacent(graph: DataFrame | Adjacency) -> Adjacency:
+    return graph if isinstance(graph, Adjacency) else adjacency(graph)
+
+
+def full_block(graph: DataFrame | Adjacency, frontier: DataFrame, layer: int) -> DataFrame:
     """All in-neighbours of each frontier node."""
+    edges = graph.near if isinstance(graph, Adjacency) else graph
     return frontier.join(edges, frontier["node"] == edges["dst"]).select("batch", F.lit(layer).alias("layer"), "dst", "src")
 
 
-def sampled_block(edges: DataFrame, frontier: DataFrame, layer: int, fanout: int, seed: int = 1, self_edges: bool = True) -> DataFrame:
-    """At most fanout in-neighbours of each frontier node without replacement, and a self edge; fanout -1 takes all."""
-    block = full_block(edges, frontier, layer)
-    if fanout >= 0:
-        order = Window.partitionBy("batch", "dst").orderBy(draw_key(seed, F.col("batch"), layer, F.col("dst"), F.col("src")), "src")
-        block = block.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fanout).drop("_r")
-    if self_edges:
-        block = block.unionByName(frontier.select("batch", F.lit(layer).alias("layer"), F.col("node").alias("dst"), F.col("node").alias("src")))
-    return block
+def drawn_positions(deg: Column, fanout: int, *key: Column | str | int) -> Column:
+    """At most fanout different positions below deg, every set of them equally likely; all of them if deg is no more than fanout.
+
+    Floyd's way: one draw t in [0, j] for each j of the last fanout positions; t is taken unless it has been, else j is. So a node
+    costs its fan-out, whatever its degree.
+    """
+    if fanout == 0:
+        return F.array().cast("array<bigint>")
+    last = F.transform(F.sequence(deg - fanout, deg - 1), lambda j: F.struct(j.alias("j"), draw_index(draw_key(*key, j), j + 1).alias("t")))
+    drawn = F.aggregate(last, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.when(F.array_contains(a, x["t"]), x["j"]).otherwise(x["t"]))))
+    return F.when(deg <= fanout, F.sequence(F.lit(0).cast("bigint"), deg - 1)).otherwise(drawn)
+
+
+def taken(near: DataFrame, positions: DataFrame, layer: int, *keep: str) -> DataFrame:
+    """The sources at the given (dst, pos), by an equi-join of both, in which a hub's positions are dealt over all tasks."""
+    return positions.join(near, ["dst", "pos"]).select("batch", F.lit(layer).alias("layer"), "dst", "src", *keep)
+
+
+def own_edges(frontier: DataFrame, layer: int, *keep: str) -> DataFrame:
+    return frontier.select("batch", F.lit(layer).alias("layer"), F.col("node").alias("dst"), F.col("node").alias("src"), *keep)
+
+
+def sampled_block(graph: DataFrame | Adjacency, frontier: DataFrame, layer: int, fanout: int, seed: int = 1, self_edges: bool = True, stream: tuple[str, ...] = ()) -> DataFrame:
+    """At most fanout in-neighbours of each frontier node without replacement, and a self edge; fanout -1 takes all.
+
+    Of a node whose degree is beyond the fan-out, fanout positions are drawn and looked up; candidates are neither keyed nor
+    sorted. stream: columns of the frontier that draws depend on besides its batch and node; they stay in the block.
+    """
+    if fanout < 0:
+        block = full_block(graph, frontier, layer)
+    else:
+        graph = adjacent(graph)
+        pos = drawn_positions(F.col("deg"), fanout, seed, *[F.col(c) for c in stream], F.col("batch"), layer, F.col("node"))
+        drawn = frontier.join(graph.deg, "node").select("batch", F.col("node").alias("dst"), F.explode(pos).alias("pos"), *stream)
+        block = taken(graph.near, drawn, layer, *stream)
+    return block.unionByName(own_edges(frontier, layer, *stream)) if self_edges else block
 
 
-def replaced_block(edges: DataFrame, frontier: DataFrame, layer: int, fanout: int = 10, seed: int = 1, self_edges: bool = True) -> DataFrame:
+def replaced_block(graph: DataFrame | Adjacency, frontier: DataFrame, layer: int, fanout: int = 10, seed: int = 1, self_edges: bool = True) -> DataFrame:
     """With replacement: a node of fewer than fanout in-neighbours takes all, any other draws fanout times, repeats kept.
 
-    Each draw is an index into the node's sorted neighbours; neighbours are ranked once, not once a batch.
+    Each draw is a position among the node's neighbours, so a node costs its fan-out.
     """
-    wanted = frontier.select("node").distinct()
-    own = edges.join(wanted, edges["dst"] == wanted["node"], "left_semi")
-    by = Window.partitionBy("dst")
-    near = own.withColumn("_i", (F.row_number().over(by.orderBy("src")) - 1).cast("bigint")).withColumn("_deg", F.count("*").over(by))
-    deg = near.where("_i = 0").select(F.col("dst").alias("node"), "_deg")
-    drawn = frontier.join(deg, "node").withColumn("_k", F.explode(F.when(F.col("_deg") < fanout, F.sequence(F.lit(0), F.col("_deg").cast("int") - 1)).otherwise(F.sequence(F.lit(0), F.lit(fanout - 1)))))
-    index = F.when(F.col("_deg") < fanout, F.col("_k").cast("bigint")).otherwise(draw_index(draw_key(seed, F.col("batch"), layer, F.col("node"), F.col("_k")), F.col("_deg")))
-    drawn = drawn.select("batch", F.col("node").alias("dst"), index.alias("_i"))
-    block = drawn.join(near.select("dst", "_i", "src"), ["dst", "_i"]).select("batch", F.lit(layer).alias("layer"), "dst", "src")
-    if self_edges:
-        block = block.unionByName(frontier.select("batch", F.lit(layer).alias("layer"), F.col("node").alias("dst"), F.col("node").alias("src")))
-    return block
-
-
-def distinct_block(edges: DataFrame, frontier: DataFrame, layer: int, fanout: int = 10, seed: int = 1) -> DataFrame:
+    graph = adjacent(graph)
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("deg") - 1)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(fanout - 1)), lambda k: draw_index(draw_key(seed, F.col("batch"), layer, F.col("node"), k), F.col("deg")))
+    pos = F.when(F.col("deg") < fanout, every).otherwise(draws) if fanout > 0 else F.array().cast("array<bigint>")
+    drawn = frontier.join(graph.deg, "node").select("batch", F.col("node").alias("dst"), F.explode(pos).alias("pos"))
+    block = taken(graph.near, drawn, layer)
+    return block.unionByName(own_edges(frontier, layer)) if self_edges else block
+
+
+def distinct_block(graph: DataFrame | Adjacency, frontier: DataFrame, layer: int, fanout: int = 10, seed: int = 1) -> DataFrame:
     """Draws with replacement of which repeats are dropped; no self edges, so a node without in-neighbours has no row."""
-    return replaced_block(edges, frontier, layer, fanout, seed, self_edges=False).distinct()
+    return replaced_block(graph, frontier, layer, fanout, seed, self_edges=False).distinct()
 
 
 STRATEGIES = {"sampled": sampled_block, "replaced": replaced_block, "distinct": distinct_block}
 
 
-def sample_blocks(edges: DataFrame, batches: DataFrame, fanouts: list[int], seed: int = 1, strategy: str = "sampled", keep=None) -> DataFrame:
-    """The union of a block for each hop. keep(df) cuts the lineage between hops (checkpoint or a written table) where hops are many."""
+def sample_blocks(graph: DataFrame | Adjacency, batches: DataFrame, fanouts: list[int], seed: int = 1, strategy: str = "sampled", keep=None, self_edges: bool = True) -> DataFrame:
+    """The union of a block for each hop. keep(df) cuts the lineage between hops (checkpoint or a written table) where hops are many.
+
+    strategy: sampled, replaced (with replacement), distinct (with replacement, repeats dropped; never self edges) or full."""
     frontier = batches.select("batch", "node").distinct()
+    if strategy != "full" and not isinstance(graph, Adjacency):
+        graph = adjacency(keep(graph) if keep else graph, keep)
     out = None
     for layer, fanout in enumerate(fanouts):
-        block = full_block(edges, frontier, layer) if strategy == "full" else STRATEGIES[strategy](edges, frontier, layer, fanout, seed)
+        if strategy == "full":
+            block = full_block(graph, frontier, layer)
+        elif strategy == "distinct":
+            block = distinct_block(graph, frontier, layer, fanout, seed)
+        else:
+            block = STRATEGIES[strategy](graph, frontier, layer, fanout, seed, self_edges)
         block = keep(block) if keep else block
         out = block if out is None else out.unionByName(block)
         frontier = block.select("batch", F.col("src").alias("node")).distinct()
     return out
 
 
-def cooperative_block(edges: DataFrame, frontier: DataFrame, owners: DataFrame, layer: int, fanout: int, seed: int = 1) -> DataFrame:
-    """Each owner samples for its part of the frontier; edges then go to the owner of their source: adds dst_part and src_part."""
-    block = sampled_block(edges, frontier, layer, fanout, seed)
-    d = owners.select(F.col("node").alias("dst"), F.col("part").alias("dst_part"))
+def cooperative_block(graph: DataFrame | Adjacency, frontier: DataFrame, owners: DataFrame, layer: int, fanout: int, seed: int = 1) -> DataFrame:
+    """Each owner draws for its part of the frontier from a stream of its own (its part is in every draw); edges then go to the
+    owner of their source: adds dst_part and src_part. frontier: batch, node, and part if it is known."""
+    if "part" not in frontier.columns:
+        frontier = frontier.join(owners, "node")
+    block = sampled_block(graph, frontier.select("batch", "node", F.col("part").alias("dst_part")), layer, fanout, seed, stream=("dst_part",))
     s = owners.select(F.col("node").alias("src"), F.col("part").alias("src_part"))
-    return block.join(d, "dst").join(s, "src").select("batch", "layer", "dst_part", "src_part", "dst", "src")
+    return block.join(s, "src").select("batch", "layer", "dst_part", "src_part", "dst", "src")
 
 
 def owned_subgraph(edges: DataFrame, owners: DataFrame, parts: list[int]) -> DataFrame:
@@ -133,14 +209,17 @@ def each_batch(blocks: DataFrame):
         yield row["batch"], blocks.where(F.col("batch") == row["batch"])
 
 
-def cooperative_blocks(edges: DataFrame, batches: DataFrame, owners: DataFrame, fanouts: list[int], seed: int = 1, keep=None) -> DataFrame:
-    """cooperative_block over several hops: the sources that an owner gets are its part of the next frontier."""
+def cooperative_blocks(graph: DataFrame | Adjacency, batches: DataFrame, owners: DataFrame, fanouts: list[int], seed: int = 1, keep=None) -> DataFrame:
+    """cooperative_block over several hops: the sources that an owner gets are its part of the next frontier, so the owner of a
+    node is looked up once, when an edge to it is drawn."""
+    if not isinstance(graph, Adjacency):
+        graph = adjacency(keep(graph) if keep else graph, keep)
     frontier, out = batches.select("batch", "node").distinct(), None
     for layer, fanout in enumerate(fanouts):
-        block = cooperative_block(edges, frontier, owners, layer, fanout, seed)
+        block = cooperative_block(graph, frontier, owners, layer, fanout, seed)
         block = keep(block) if keep else block
         out = block if out is None else out.unionByName(block)
-        frontier = block.select("batch", F.col("src").alias("node")).distinct()
+        frontier = block.select("batch", F.col("src").alias("node"), F.col("src_part").alias("part")).distinct()
     return out
 
 

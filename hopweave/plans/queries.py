@@ -27,30 +27,46 @@ CLASSES = 10
 
 # --- SQL of what queries share
 
+
+
+def floyd_sql(k: int, key: str, deg: str = "d.deg") -> str:
+    """At most k positions below deg, drawn without replacement with the given key; as drawn_positions."""
+    draw = f"('0x' || substr(md5(concat_ws(':', '1', {key}, j::VARCHAR)), 1, 8))::BIGINT % (j + 1)"
+    pairs = f"list_transform(range({deg} - {k}, {deg}), lambda j: [j, {draw}])"
+    return f"CASE WHEN {deg} <= {k} THEN range({deg}) ELSE list_reduce(list_prepend([]::BIGINT[], {pairs}), lambda a, x: list_append(a, CASE WHEN list_contains(a, x[2]) THEN x[1] ELSE x[2] END)) END"
+
+
+def hop_sql(frontier: str, layer: int, k: int) -> str:
+    """batch, layer, dst, src: k sampled in-neighbours of each of the frontier's nodes, and its self edge."""
+    drawn = f"SELECT f.batch, f.node, unnest({floyd_sql(k, f"f.batch::VARCHAR, '{layer}', f.node::VARCHAR")}) AS i FROM {frontier} f JOIN d ON d.node = f.node"
+    return f"SELECT p.batch, {layer} AS layer, g.dst, g.src FROM ({drawn}) p JOIN g ON g.dst = p.node AND g.i = p.i UNION ALL SELECT batch, {layer}, node, node FROM {frontier}"
+
+
 CTE = {
     "n": "n AS (SELECT p_partkey::BIGINT AS node FROM part)",
     "e": "e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) = 1 AND a.l_partkey <> b.l_partkey)",
     "o": "o AS (SELECT node, (node % 4)::INT AS part FROM n)",
-    "x": f"x AS (SELECT n.node, i - 1 AS dim, m.embedding[i]::DOUBLE AS value FROM n JOIN embeddings m ON m.vec_id = n.node % (SELECT count(*) FROM embeddings), range(1, {DIMS + 1}) t(i))",
+    "x": f"x AS MATERIALIZED (SELECT n.node, i - 1 AS dim, m.embedding[i]::DOUBLE AS value FROM n JOIN embeddings m ON m.vec_id = n.node % (SELECT count(*) FROM embeddings), range(1, {DIMS + 1}) t(i))",
     "vs": "vs AS (SELECT node, round(sum(value), 6) AS total, round(sum(value * (dim + 1)), 4) AS weighted FROM x GROUP BY node)",
     "y": "y AS (SELECT n.node, m.label FROM n JOIN embeddings m ON m.vec_id = n.node % (SELECT count(*) FROM embeddings))",
     "d": "d AS (SELECT dst AS node, count(*) AS deg FROM e GROUP BY dst)",
     # every node a seed, in batches of 16, sampled over two hops with fan-out 10 and 5
     "b": "b AS (SELECT node, (row_number() OVER (ORDER BY md5(concat_ws(':', '1', '0', node::VARCHAR)), node) - 1)::BIGINT AS rank FROM n)",
     "f0": "f0 AS (SELECT rank // 16 AS batch, node FROM b)",
-    "l0": "l0 AS MATERIALIZED (SELECT batch, 0 AS layer, dst, src FROM (SELECT f0.batch, e.dst, e.src, row_number() OVER (PARTITION BY f0.batch, e.dst ORDER BY md5(concat_ws(':', '1', f0.batch::VARCHAR, '0', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f0 JOIN e ON e.dst = f0.node) WHERE r <= 10 UNION ALL SELECT batch, 0, node, node FROM f0)",
+    "g": "g AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i FROM e)",
+    "l0": f"l0 AS MATERIALIZED ({hop_sql('f0', 0, 10)})",
     "f1": "f1 AS (SELECT DISTINCT batch, src AS node FROM l0)",
-    "l1": "l1 AS MATERIALIZED (SELECT batch, 1 AS layer, dst, src FROM (SELECT f1.batch, e.dst, e.src, row_number() OVER (PARTITION BY f1.batch, e.dst ORDER BY md5(concat_ws(':', '1', f1.batch::VARCHAR, '1', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f1 JOIN e ON e.dst = f1.node) WHERE r <= 5 UNION ALL SELECT batch, 1, node, node FROM f1)",
+    "l1": f"l1 AS MATERIALIZED ({hop_sql('f1', 1, 5)})",
     "f2": "f2 AS (SELECT DISTINCT batch, src AS node FROM l1)",
-    "l2": "l2 AS (SELECT batch, 2 AS layer, dst, src FROM (SELECT f2.batch, e.dst, e.src, row_number() OVER (PARTITION BY f2.batch, e.dst ORDER BY md5(concat_ws(':', '1', f2.batch::VARCHAR, '2', e.dst::VARCHAR, e.src::VARCHAR)), e.src) AS r FROM f2 JOIN e ON e.dst = f2.node) WHERE r <= 3 UNION ALL SELECT batch, 2, node, node FROM f2)",
+    "l2": f"l2 AS ({hop_sql('f2', 2, 3)})",
     "bl": "bl AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1)",
-    "s": "s AS (SELECT bl.*, p.part AS src_part, q.part AS dst_part, p.part AS part FROM bl JOIN o p ON p.node = bl.src JOIN o q ON q.node = bl.dst)",
+    "s": "s AS MATERIALIZED (SELECT bl.*, p.part AS src_part, q.part AS dst_part, p.part AS part FROM bl JOIN o p ON p.node = bl.src JOIN o q ON q.node = bl.dst)",
     "inp": "inp AS (SELECT DISTINCT batch, src AS node FROM l1)",
     # all edges and a self edge each
     "a": "a AS (SELECT src, dst FROM e UNION ALL SELECT node, node FROM n)",
     "sa": "sa AS (SELECT a.src, a.dst, p.part FROM a JOIN o p ON p.node = a.src)",
 }
-NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "l0": "f0 e", "f1": "l0", "l1": "f1 e", "f2": "l1", "l2": "f2 e", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
+NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "g": "e", "l0": "f0 d g", "f1": "l0", "l1": "f1 d g", "f2": "l1", "l2": "f2 d g", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
 
 
 def sql(needs: str, text: str, recursive: str = "") -> str:
@@ -91,7 +107,7 @@ def seeds(g: G.Graph) -> DataFrame:
 def sampled(g: G.Graph) -> DataFrame:
     """Two hops; edges and each hop are written once and read by all that follows."""
     g.edges = kept(g.edges, "edges")
-    return S.sample_blocks(g.edges, seeds(g), [10, 5], keep=kept)
+    return S.sample_blocks(S.adjacency(g.edges, kept), seeds(g), [10, 5], keep=kept)
 
 
 def split(g: G.Graph) -> DataFrame:
@@ -259,25 +275,71 @@ def sample_two_hops(spark, sf_dir):
     return sampled(load(spark, sf_dir))
 
 
-REPLACED = """WITH g AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i, count(*) OVER (PARTITION BY dst) AS deg FROM e),
-r0 AS (SELECT f0.batch, f0.node AS dst, CASE WHEN d.deg < 10 THEN k ELSE ('0x' || substr(md5(concat_ws(':', '1', f0.batch::VARCHAR, '0', f0.node::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % d.deg END AS i FROM f0 JOIN d ON d.node = f0.node, range(10) t(k) WHERE d.deg >= 10 OR k < d.deg),
-b0 AS (SELECT r0.batch, r0.dst, g.src FROM r0 JOIN g ON g.dst = r0.dst AND g.i = r0.i {self0}),
-h1 AS (SELECT DISTINCT batch, src AS node FROM b0),
-r1 AS (SELECT h1.batch, h1.node AS dst, CASE WHEN d.deg < 10 THEN k ELSE ('0x' || substr(md5(concat_ws(':', '1', h1.batch::VARCHAR, '1', h1.node::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % d.deg END AS i FROM h1 JOIN d ON d.node = h1.node, range(10) t(k) WHERE d.deg >= 10 OR k < d.deg),
-b1 AS (SELECT r1.batch, r1.dst, g.src FROM r1 JOIN g ON g.dst = r1.dst AND g.i = r1.i {self1})
-SELECT {distinct} batch, 0 AS layer, dst, src FROM b0 UNION ALL SELECT {distinct} batch, 1, dst, src FROM b1"""
+def replaced_sql(frontier: str, layer: int, self_edges: bool, distinct: bool = False) -> str:
+    """batch, layer, dst, src: all in-neighbours of a node of fewer than 10, else 10 draws with replacement."""
+    draw = f"('0x' || substr(md5(concat_ws(':', '1', f.batch::VARCHAR, '{layer}', f.node::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % d.deg"
+    drawn = f"SELECT f.batch, f.node, CASE WHEN d.deg < 10 THEN k ELSE {draw} END AS i FROM {frontier} f JOIN d ON d.node = f.node, range(10) t(k) WHERE d.deg >= 10 OR k < d.deg"
+    own = f" UNION ALL SELECT batch, {layer}, node, node FROM {frontier}" if self_edges else ""
+    return f"SELECT {'DISTINCT' if distinct else ''} p.batch, {layer} AS layer, g.dst, g.src FROM ({drawn}) p JOIN g ON g.dst = p.node AND g.i = p.i{own}"
+
+
+def replaced_hops(hops: int, self_edges: bool, distinct: bool = False) -> str:
+    """r0, r1, ...: the blocks of so many hops from f0."""
+    out = [f"r0 AS MATERIALIZED ({replaced_sql('f0', 0, self_edges, distinct)})"]
+    for i in range(1, hops):
+        out.append(f"h{i} AS (SELECT DISTINCT batch, src AS node FROM r{i - 1}), r{i} AS MATERIALIZED ({replaced_sql(f'h{i}', i, self_edges, distinct)})")
+    return ", ".join(out)
 
 
-@query(sql("f0 d e", REPLACED.format(self0="UNION ALL SELECT batch, node, node FROM f0", self1="UNION ALL SELECT batch, node, node FROM h1", distinct="")))
+#: One row a batch and layer of blocks of (batch, layer, dst, src): edges, and two sums that tell their ends apart.
+DIGEST = "batch, layer, count(*) AS edges, sum(src * (1 + dst % 7))::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum"
+
+
+def digest(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("batch", "layer").agg(F.count("*").alias("edges"), F.sum(F.col("src") * (1 + F.col("dst") % 7)).alias("src_sum"), F.sum("dst").alias("dst_sum"))
+
+
+@query(sql("f0 d g", f"WITH {replaced_hops(2, True)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2"))
 def sample_with_replacement(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.sample_blocks(kept(g.edges, "edges"), seeds(g), [10, 10], strategy="replaced", keep=kept)
+    return digest(S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="replaced", keep=kept))
+
+
+@query(sql("f0 d g", f"WITH {replaced_hops(2, False)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2"))
+def sample_without_self_edges(spark, sf_dir):
+    """Two hops with replacement of whole 64-bit ids, no self edges and no removal of repeats."""
+    g = load(spark, sf_dir)
+    return digest(S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="replaced", keep=kept, self_edges=False))
 
 
-@query(sql("f0 d e", REPLACED.format(self0="", self1="", distinct="DISTINCT")))
+@query(sql("f0 d g", f"WITH {replaced_hops(2, False, True)} SELECT * FROM r0 UNION ALL SELECT * FROM r1"))
 def sample_distinct(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.sample_blocks(kept(g.edges, "edges"), seeds(g), [10, 10], strategy="distinct", keep=kept)
+    return S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="distinct", keep=kept)
+
+
+@query(sql("f0 d g", f"WITH {replaced_hops(3, False, True)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2"))
+def distinct_three_hops(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return digest(S.sample_blocks(g.edges, seeds(g), [10, 10, 10], strategy="distinct", keep=kept))
+
+
+NATIVE = f"{replaced_hops(3, True)}, nb AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
+
+
+@query(sql("f0 d g o", f"WITH {NATIVE} SELECT nb.layer, p.part, q.part AS dst_part, count(*) AS edges, sum(nb.src * (1 + nb.dst % 7))::BIGINT AS src_sum FROM nb JOIN o p ON p.node = nb.src JOIN o q ON q.node = nb.dst GROUP BY 1, 2, 3"))
+def native_three_hops(spark, sf_dir):
+    """Three hops of 10 draws with replacement and a self edge, each edge with its source's owner."""
+    g = load(spark, sf_dir)
+    rows = B.split_blocks(S.sample_blocks(g.edges, seeds(g), [10, 10, 10], strategy="replaced", keep=kept), g.owners)
+    return rows.groupBy("layer", "part", "dst_part").agg(F.count("*").alias("edges"), F.sum(F.col("src") * (1 + F.col("dst") % 7)).alias("src_sum"))
+
+
+@query(sql("f0 d g", f"WITH {NATIVE} SELECT 0 AS part, {DIGEST} FROM nb GROUP BY batch, layer"))
+def native_unsplit(spark, sf_dir):
+    """The same three hops with all edges at owner 0."""
+    g = load(spark, sf_dir)
+    return digest(S.sample_blocks(g.edges, seeds(g), [10, 10, 10], strategy="replaced", keep=kept)).select(F.lit(0).alias("part"), "*")
 
 
 @query(sql("f0 e", """WITH q0 AS (SELECT f0.batch, e.dst, e.src FROM f0 JOIN e ON e.dst = f0.node), q1 AS (SELECT f.batch, e.dst, e.src FROM (SELECT DISTINCT batch, src AS node FROM q0) f JOIN e ON e.dst = f.node)
@@ -287,10 +349,21 @@ def sample_all_neighbours(spark, sf_dir):
     return S.sample_blocks(kept(g.edges, "edges"), seeds(g), [-1, -1], strategy="full", keep=kept).groupBy("batch", "layer", "dst").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"))
 
 
-@query(sql("l0 o", "SELECT l0.batch, l0.layer, q.part AS dst_part, p.part AS src_part, l0.dst, l0.src FROM l0 JOIN o p ON p.node = l0.src JOIN o q ON q.node = l0.dst"))
+def cooperative_sql(frontier: str, layer: int, k: int) -> str:
+    """As hop_sql over a frontier of (batch, node, part), every draw keyed by the part too."""
+    drawn = f"SELECT f.batch, f.node, f.part, unnest({floyd_sql(k, f"f.part::VARCHAR, f.batch::VARCHAR, '{layer}', f.node::VARCHAR")}) AS i FROM {frontier} f JOIN d ON d.node = f.node"
+    block = f"SELECT p.batch, g.dst, g.src, p.part AS dst_part FROM ({drawn}) p JOIN g ON g.dst = p.node AND g.i = p.i UNION ALL SELECT batch, node, node, part FROM {frontier}"
+    return f"SELECT b.batch, {layer} AS layer, b.dst_part, o.part AS src_part, b.dst, b.src FROM ({block}) b JOIN o ON o.node = b.src"
+
+
+COOPERATIVE = f"""q0 AS (SELECT f0.batch, f0.node, o.part FROM f0 JOIN o ON o.node = f0.node), c0 AS MATERIALIZED ({cooperative_sql("q0", 0, 10)}),
+q1 AS (SELECT DISTINCT batch, src AS node, src_part AS part FROM c0)"""
+
+
+@query(sql("f0 d g o", f"WITH {COOPERATIVE} SELECT * FROM c0"))
 def sample_cooperative(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.cooperative_block(g.edges, seeds(g).select("batch", "node"), g.owners, 0, 10)
+    return S.cooperative_block(S.adjacency(kept(g.edges, "edges"), kept), seeds(g).select("batch", "node"), g.owners, 0, 10)
 
 
 @query(sql("e o", "SELECT p.part, count(*) AS edges, sum(e.src)::BIGINT AS src_sum FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = q.part GROUP BY 1"))
@@ -573,7 +646,7 @@ def sparse_matmul(spark, sf_dir):
     return L.matmul(x, spark.createDataFrame(cells, "k int, j bigint, v double")).select("i", "j", F.round("v", 6).alias("v"))
 
 
-LOGITS = w_table("wt", DIMS, CLASSES) + ", z AS (SELECT x.node, wt.k, sum(x.value * wt.w) AS z FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2), zs AS (SELECT z.node, z.k, z.z, y.label, max(z.z) OVER (PARTITION BY z.node) AS top FROM z JOIN y ON y.node = z.node), pr AS (SELECT *, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY node) AS p FROM zs), ce AS (SELECT node, label, -ln(p) AS loss FROM pr WHERE k = label)"
+LOGITS = w_table("wt", DIMS, CLASSES) + ", z AS (SELECT x.node, wt.k, sum(x.value * wt.w) AS z FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2), zs AS (SELECT z.node, z.k, z.z, y.label, max(z.z) OVER (PARTITION BY z.node) AS top FROM z JOIN y ON y.node = z.node), pr AS MATERIALIZED (SELECT *, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY node) AS p FROM zs), ce AS (SELECT node, label, -ln(p) AS loss FROM pr WHERE k = label)"
 GRAD = ", gr AS (SELECT node, k, (p - (k = label)::INT) / (SELECT count(*) FROM n) AS g FROM pr)"
 
 
@@ -731,18 +804,20 @@ def value_changes(spark, sf_dir):
 @query(sql("l0 l1 l2 o", "SELECT b.layer, p.part AS src_part, q.part AS dst_part, count(*) AS edges, sum(b.src)::BIGINT AS src_sum FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) b JOIN o p ON p.node = b.src JOIN o q ON q.node = b.dst GROUP BY 1, 2, 3"))
 def sample_three_hops(spark, sf_dir):
     g = load(spark, sf_dir)
-    blocks = S.sample_blocks(kept(g.edges, "edges"), seeds(g), [10, 5, 3], keep=kept)
+    blocks = S.sample_blocks(g.edges, seeds(g), [10, 5, 3], keep=kept)
     return B.split_blocks(blocks, g.owners).groupBy("layer", "src_part", "dst_part").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"))
 
 
-@query(sql("s", "SELECT batch, layer, dst_part, src_part, dst, src FROM s"))
+@query(sql("f0 d g o", f"WITH {COOPERATIVE} SELECT * FROM c0 UNION ALL {cooperative_sql('q1', 1, 5)}"))
 def cooperative_hops(spark, sf_dir):
     g = load(spark, sf_dir)
-    return S.cooperative_blocks(kept(g.edges, "edges"), seeds(g), g.owners, [10, 5], keep=kept)
+    return S.cooperative_blocks(g.edges, seeds(g), g.owners, [10, 5], keep=kept)
 
 
-@query(sql("e o n", """WITH w AS (SELECT p.part, e.src, e.dst FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = q.part)
-SELECT part::BIGINT AS part, dst, src FROM (SELECT *, row_number() OVER (PARTITION BY part, dst ORDER BY md5(concat_ws(':', '1', part::VARCHAR, '0', dst::VARCHAR, src::VARCHAR)), src) AS r FROM w) WHERE r <= 3 UNION ALL SELECT part, node, node FROM o"""))
+@query(sql("e o n", f"""WITH w AS (SELECT p.part, e.src, e.dst FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = q.part),
+wg AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i FROM w), wd AS (SELECT dst AS node, count(*) AS deg FROM w GROUP BY 1),
+wp AS (SELECT o.part, o.node, unnest({floyd_sql(3, "o.part::VARCHAR, '0', o.node::VARCHAR")}) AS i FROM o JOIN wd d ON d.node = o.node)
+SELECT wp.part::BIGINT AS part, wg.dst, wg.src FROM wp JOIN wg ON wg.dst = wp.node AND wg.i = wp.i UNION ALL SELECT part, node, node FROM o"""))
 def owner_samples(spark, sf_dir):
     g = load(spark, sf_dir)
     return S.owner_samples(g.edges, g.owners, 3)
@@ -758,14 +833,14 @@ def split_markers(spark, sf_dir):
     return B.markers(split(load(spark, sf_dir))).groupBy("layer", "part", "kind").agg(F.count("*").alias("edges"))
 
 
-@query(sql("e o", "SELECT 0 AS layer, a::INT AS src_part, b::INT AS dst_part, (SELECT count(*) FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = a AND q.part = b AND p.part <= 1) AS edges FROM range(4) t(a), range(4) u(b)"))
+@query(sql("e o", "SELECT 0 AS layer, a::INT AS src_part, b::INT AS dst_part, (SELECT count(*) FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part = a AND q.part = b) AS edges FROM range(6) t(a), range(6) u(b)"))
 def full_grid(spark, sf_dir):
+    """All edges, and two owners more than occur, whose cells are empty."""
     g = load(spark, sf_dir)
-    rows = O.with_owners(g.edges.withColumn("layer", F.lit(0)), g.owners).where("src_part <= 1")  # two owners without an edge
-    return B.full_grid(rows)
+    return B.full_grid(O.with_owners(g.edges.withColumn("layer", F.lit(0)), g.owners), 6)
 
 
-@query(sql("s", """WITH m AS (SELECT batch, layer, part, node, (row_number() OVER (PARTITION BY batch, layer, part ORDER BY node) - 1)::BIGINT AS id FROM (SELECT batch, layer, part, src AS node FROM s UNION SELECT batch, layer, part, dst FROM s))
+@query(sql("s", """WITH m AS MATERIALIZED (SELECT batch, layer, part, node, (row_number() OVER (PARTITION BY batch, layer, part ORDER BY node) - 1)::BIGINT AS id FROM (SELECT batch, layer, part, src AS node FROM s UNION SELECT batch, layer, part, dst FROM s))
 SELECT s.batch, s.layer, s.part, a.id AS src_id, b.id AS dst_id FROM s JOIN m a ON a.batch = s.batch AND a.layer = s.layer AND a.part = s.part AND a.node = s.src JOIN m b ON b.batch = s.batch AND b.layer = s.layer AND b.part = s.part AND b.node = s.dst"""))
 def relabelled_edges(spark, sf_dir):
     return B.relabel(kept(split(load(spark, sf_dir)), "split"), keep=kept)

@@ -236,8 +236,6 @@ def test_plans_combine_before_the_shuffle(spark, sf):
 
     plan = queries.QUERIES["neighbour_sum"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "l_comment" not in plan
-    plan = queries.QUERIES["sample_two_hops"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
 
 
 def test_vectors(spark):
