@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopweave.functions import vectors as V
@@ -57,27 +57,58 @@ def gcn(block: DataFrame, h: DataFrame, dims: int) -> DataFrame:
     return out.join(own, "dst").select(F.col("dst").alias("node"), V.scale(V.plus(F.col("s"), F.col("own")), 1 / (F.col("deg") + 1)).alias("vec"))
 
 
-def edge_softmax(block: DataFrame, h: DataFrame, left: list[float], right: list[float]) -> DataFrame:
-    """src, dst, alpha: softmax over each destination's in-edges of leaky_relu(left . h[src] + right . h[dst])."""
-    l, r = h.select(F.col("node").alias("src"), V.dot(F.col("vec"), left).alias("_l")), h.select(F.col("node").alias("dst"), V.dot(F.col("vec"), right).alias("_r"))
-    rows = block.join(l, "src").join(r, "dst").withColumn("_s", V.leaky_relu(F.col("_l") + F.col("_r")))
-    by = Window.partitionBy("dst")  # both windows take one sort
-    rows = rows.withColumn("_x", F.exp(F.col("_s") - F.max("_s").over(by)))
-    return rows.select("src", "dst", (F.col("_x") / F.sum("_x").over(by)).alias("alpha"))
-
-
-def multi_head_attention(block: DataFrame, h: DataFrame, dims: int, heads: list[tuple[list[float], list[float]]]) -> DataFrame:
-    """node, vec: the attention sums of all heads, one after the other. Scores of all heads are taken in one pass over the edges,
-    and weighted sums in one aggregate."""
-    n = range(len(heads))
-    l = h.select(F.col("node").alias("src"), "vec", *[V.dot(F.col("vec"), a).alias(f"_l{k}") for k, (a, _) in enumerate(heads)])
+#: Salts that a destination's edges are dealt over, and the width of a band of scores: exp stays finite within one.
+SALTS, BAND = 8, 64.0
+Head = tuple[list[float], list[float]]
+
+
+def scored(block: DataFrame, h: DataFrame, heads: list[Head], salts: int = SALTS, vectors: bool = True) -> DataFrame:
+    """src, dst, salt, s0, s1, ... (and vec of the source): leaky_relu(left . h[src] + right . h[dst]) of each head, on edges that
+    meet their destination by (dst, salt), so a hub's in-edges are dealt over that many tasks at least."""
+    l = h.select(F.col("node").alias("src"), *(["vec"] if vectors else []), *[V.dot(F.col("vec"), a).alias(f"_l{k}") for k, (a, _) in enumerate(heads)])
     r = h.select(F.col("node").alias("dst"), *[V.dot(F.col("vec"), b).alias(f"_r{k}") for k, (_, b) in enumerate(heads)])
-    rows = block.join(l, "src").join(r, "dst")
-    by = Window.partitionBy("dst")
-    rows = rows.select("dst", "vec", *[V.leaky_relu(F.col(f"_l{k}") + F.col(f"_r{k}")).alias(f"_s{k}") for k in n])
-    rows = rows.select("dst", "vec", *[F.exp(F.col(f"_s{k}") - F.max(f"_s{k}").over(by)).alias(f"_x{k}") for k in n])
-    sums = rows.groupBy(F.col("dst").alias("node")).agg(*[V.aggregate(F.sum, V.scale(F.col("vec"), F.col(f"_x{k}")), dims).alias(f"_v{k}") for k in n], *[F.sum(f"_x{k}").alias(f"_t{k}") for k in n])
-    return sums.select("node", F.concat(*[V.scale(F.col(f"_v{k}"), 1 / F.col(f"_t{k}")) for k in n]).alias("vec"))
+    r = r.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    rows = block.select("src", "dst").join(l, "src").withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(salts)).cast("int"))
+    rows = rows.join(r, ["dst", "salt"])
+    return rows.select("src", "dst", "salt", *(["vec"] if vectors else []), *[V.leaky_relu(F.col(f"_l{k}") + F.col(f"_r{k}")).alias(f"s{k}") for k in range(len(heads))])
+
+
+def softmax_states(rows: DataFrame, heads: int, dims: int = 0) -> DataFrame:
+    """dst, and for each head k: top_k, t_k (and v_k): the sum over the in-edges of exp(s - BAND * top), and of exp(...) * vec.
+
+    A state is (band, sum of exp(s - BAND * band), weighted vector), band = floor(s / BAND). States of one band are added up as
+    scalars, before the shuffle; those of a destination, as many as its salts and bands, are brought to its largest band.
+    """
+    n = range(heads)
+    rows = rows.select("*", *[F.floor(F.col(f"s{k}") / BAND).alias(f"b{k}") for k in n])
+    rows = rows.select("*", *[F.exp(F.col(f"s{k}") - F.lit(BAND) * F.col(f"b{k}")).alias(f"x{k}") for k in n])
+    vectors = [V.aggregate(F.sum, V.scale(F.col("vec"), F.col(f"x{k}")), dims).alias(f"v{k}") for k in n] if dims else []
+    states = rows.groupBy("dst", "salt", *[f"b{k}" for k in n]).agg(*[F.sum(f"x{k}").alias(f"t{k}") for k in n], *vectors)
+    parts = [c for k in n for c in (f"b{k}", f"t{k}", *([f"v{k}"] if dims else []))]
+    merged = states.groupBy("dst").agg(*[F.max(f"b{k}").alias(f"top{k}") for k in n], F.collect_list(F.struct(*parts)).alias("_p"))
+
+    def at_top(k: int) -> list[Column]:
+        scale = lambda p: F.exp(F.lit(BAND) * (p[f"b{k}"] - F.col(f"top{k}")))
+        total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p[f"t{k}"] * scale(p)).alias(f"t{k}")
+        vector = F.aggregate("_p", V.zeros(dims), lambda a, p: F.zip_with(a, p[f"v{k}"], lambda x, y: x + y * scale(p))).alias(f"v{k}") if dims else None
+        return [F.col(f"top{k}"), total, *([vector] if dims else [])]
+
+    out = ["dst", *[c for k in n for c in at_top(k)]]
+    return merged.select(*out)
+
+
+def edge_softmax(block: DataFrame, h: DataFrame, left: list[float], right: list[float], salts: int = SALTS) -> DataFrame:
+    """src, dst, alpha: softmax over each destination's in-edges of leaky_relu(left . h[src] + right . h[dst])."""
+    rows = scored(block, h, [(left, right)], salts, vectors=False)
+    total = softmax_states(rows, 1).select("dst", (F.lit(BAND) * F.col("top0") + F.log("t0")).alias("_lse"))
+    total = total.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return rows.join(total, ["dst", "salt"]).select("src", "dst", F.exp(F.col("s0") - F.col("_lse")).alias("alpha"))
+
+
+def multi_head_attention(block: DataFrame, h: DataFrame, dims: int, heads: list[Head], salts: int = SALTS) -> DataFrame:
+    """node, vec: the attention sums of all heads, one after the other, from one pass over the edges and mergeable states."""
+    sums = softmax_states(scored(block, h, heads, salts), len(heads), dims)
+    return sums.select(F.col("dst").alias("node"), F.concat(*[V.scale(F.col(f"v{k}"), 1 / F.col(f"t{k}")) for k in range(len(heads))]).alias("vec"))
 
 
 def max_pool(block: DataFrame, h: DataFrame, w: list[list[float]], b: list[float] | None = None) -> DataFrame:
@@ -86,24 +117,62 @@ def max_pool(block: DataFrame, h: DataFrame, w: list[list[float]], b: list[float
     return aggregate_neighbors(block, pooled, len(w[0]), reduce="max")
 
 
+#: Numbers of a padded array that a fold gets at once (64 MB).
+FOLD_NUMBERS = 8_000_000
+
+
+def padded(values, lengths):
+    """(places, array [node, step, dim]) of runs of rows, shortest first, each of up to FOLD_NUMBERS numbers; steps beyond a
+    node's own are 0."""
+    import numpy as np
+
+    order, starts = np.argsort(lengths, kind="stable"), np.concatenate([[0], np.cumsum(lengths)])
+    dim, a = values.shape[1], 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * lengths[order[b]] * dim <= FOLD_NUMBERS:
+            b += 1
+        some = order[a:b]
+        n = lengths[some]
+        out = np.zeros((len(some), n[-1], dim))
+        row = np.repeat(np.arange(len(some)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        out[row, step] = values[np.repeat(starts[some], n) + step]
+        yield some, out
+        a = b
+
+
 def reduce_with(block: DataFrame, h: DataFrame, fold: Callable, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., node, vec = fold(rows of sources in id order) for each destination, by a caller's function on a NumPy matrix.
+    """by..., node, vec: an ordered fold of the rows of each destination's sources, in id order.
 
-    A destination's sources meet in one task: for sampled blocks, whose fan-out bounds them. Without reducers of Spark's own.
+    fold(x, lengths) gets many destinations at once, as an array [node, step, dim] padded with zeros and the steps of each node,
+    and returns an array [node, out]. A destination's sources meet in one row: for sampled blocks, whose fan-out bounds them.
     """
     import numpy as np
-    import pandas as pd
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        out = fold(np.stack(frame.sort_values("src")["msg"].to_numpy()))
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in by}, "node": [int(frame["dst"].iloc[0])], "vec": [np.asarray(out, float).tolist()]})
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def task(batches):
+        for batch in batches:
+            rows = batch.column(batch.num_columns - 1)
+            lengths = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+            inner = pc.list_flatten(rows)
+            if not len(inner):
+                continue
+            values = pc.list_flatten(inner).to_numpy(zero_copy_only=False).reshape(len(inner), -1)
+            out: list = [None] * len(lengths)
+            for some, x in padded(values, lengths):
+                for i, v in zip(some.tolist(), np.asarray(fold(x, lengths[some]), float).tolist()):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "vec"])
 
     kinds = "".join(f"{k} {block.schema[k].dataType.simpleString()}, " for k in by)
-    return messages(block, h).select(*by, "src", "dst", "msg").groupBy(*by, "dst").applyInPandas(one, f"{kinds}node bigint, vec array<double>")
+    lists = messages(block, h).groupBy(*by, F.col("dst").alias("node")).agg(F.sort_array(F.collect_list(F.struct("src", "msg"))).alias("_rows"))
+    return lists.select(*by, "node", F.transform("_rows", lambda x: x["msg"]).alias("_msgs")).mapInArrow(task, f"{kinds}node bigint, vec array<double>")
 
 
 def attention(block: DataFrame, h: DataFrame, dims: int, left: list[float], right: list[float]) -> DataFrame:
-    return aggregate_neighbors(edge_softmax(block, h, left, right), h, dims, "u_mul_e", "sum", "alpha")
+    return multi_head_attention(block, h, dims, [(left, right)])
 
 
 def partials(split: DataFrame, h: DataFrame, dims: int) -> DataFrame:
@@ -134,29 +203,28 @@ def pairwise_mean(split: DataFrame, h: DataFrame, owners: DataFrame, dims: int)
     return per.where("own is not null").select(F.col("dst").alias("node"), merged.alias("vec"))
 
 
-def lstm_weights(dims: int, seed: int = 1):
-    """Input and state weights of the LSTM cell, four gates (in, forget, out, candidate) side by side."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    return rng.normal(0, 0.3, (dims, 4 * dims)), rng.normal(0, 0.3, (dims, 4 * dims))
-
+def lstm_reduce(block: DataFrame, h: DataFrame, w: list[list[float]], u: list[list[float]], by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., node, vec: the last state of an LSTM cell over each destination's sources in id order.
 
-def lstm_reduce(block: DataFrame, h: DataFrame, dims: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., node, vec: order-dependent fold of an LSTM cell over each destination's sources in id order; sampled blocks bound a destination's rows."""
+    w and u are the weights of inputs and states, for four gates (in, forget, out, candidate) side by side. The inputs' share of
+    the gates is taken once a node if that makes shorter rows, not once an edge.
+    """
     import numpy as np
 
-    w, u = lstm_weights(dims, seed)
-
-    def fold(rows: np.ndarray) -> np.ndarray:
-        state, cell = np.zeros(dims), np.zeros(dims)
-        for x in rows @ w:
-            i, f, o, g = np.split(x + state @ u, 4)
-            cell = cell / (1 + np.exp(-f)) + np.tanh(g) / (1 + np.exp(-i))
-            state = np.tanh(cell) / (1 + np.exp(-o))
+    hidden, first = len(u), len(w[0]) < len(w)
+    inputs, states = np.array(w), np.array(u)
+
+    def fold(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        gates = x if first else x @ inputs
+        state, cell = np.zeros((len(x), hidden)), np.zeros((len(x), hidden))
+        for t in range(gates.shape[1]):
+            on = slice(int(np.searchsorted(lengths, t, side="right")), None)  # shortest first: the rest has no such step
+            i, f, o, g = np.split(gates[on, t] + state[on] @ states, 4, axis=1)
+            cell[on] = cell[on] / (1 + np.exp(-f)) + np.tanh(g) / (1 + np.exp(-i))
+            state[on] = np.tanh(cell[on]) / (1 + np.exp(-o))
         return state
 
-    return reduce_with(block, h, fold, by)
+    return reduce_with(block, h.select("node", V.linear(F.col("vec"), w).alias("vec")) if first else h, fold, by)
 
 
 # --- moving rows

@@ -117,17 +117,23 @@ def mlp(x: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def gcn_sum(block: DataFrame, x: DataFrame, sizes: list[int], keep=None) -> DataFrame:
-    """A linear layer over neighbour sums, twice, with relu between."""
+    """A linear layer over neighbour sums, twice, with relu between. A layer that makes vectors shorter runs before the sum, which
+    it commutes with, so the shorter ones are shuffled."""
     for layer, (a, b) in enumerate(zip(sizes, sizes[1:])):
-        x = linear(aggregate_neighbors(block, x, a), weights(a, b))
+        x = aggregate_neighbors(block, linear(x, weights(a, b)), b) if b < a else linear(aggregate_neighbors(block, x, a), weights(a, b))
         x = activate(x) if layer < len(sizes) - 2 else x
         x = keep(x) if keep and layer < len(sizes) - 2 else x
     return x
 
 
 def sage_layer(block: DataFrame, h: DataFrame, dims: int, out: int, neighbours) -> DataFrame:
-    """concat(own, neighbours) W."""
-    return linear(concat(self_gather(block, h, dims), neighbours(block, h, dims)), weights(2 * dims, out))
+    """concat(own, neighbours) W. Where W makes vectors shorter its two halves run first, one on the nodes' own rows and one on
+    what neighbours send: every way to merge neighbours is linear."""
+    w = weights(2 * dims, out)
+    if out >= dims:
+        return linear(concat(self_gather(block, h, dims), neighbours(block, h, dims)), w)
+    own, far = self_gather(block, linear(h, w[:dims]), out), neighbours(block, linear(h, w[dims:]), out)
+    return own.join(far.select("node", F.col("vec").alias("_b")), "node").select("node", V.plus(F.col("vec"), F.col("_b")).alias("vec"))
 
 
 def sage(blocks: list[DataFrame], x: DataFrame, sizes: list[int], merge: str = "mean", owners: DataFrame | None = None, keep=None) -> DataFrame:
@@ -165,21 +171,25 @@ def bias_gradient(grad: DataFrame, columns: int) -> DataFrame:
 def two_layer_step(x: DataFrame, labels: DataFrame, sizes: tuple[int, int, int], rate: float, block: DataFrame | None = None, keep=None) -> DataFrame:
     """param (w1, b1, w2, b2), i, k, value after one step of gradient descent of relu(x W1 + b1) W2 + b2 under cross entropy.
 
-    With a block (src, dst) each layer takes sums over in-neighbours first (a graph convolution), and gradients go back along
-    reversed edges. keep writes what the forward pass leaves for the backward one.
+    With a block (src, dst) each layer takes sums over in-neighbours too (a graph convolution), and gradients go back along
+    reversed edges. Sums are taken of the shorter of a layer's input and output, as the layer commutes with them: (A x) W = A (x W)
+    forward and (A x)' g = x' (A' g) backward. keep writes what the forward pass leaves for the backward one.
     """
     keep = keep or (lambda df: df)
     a, b, c = sizes
     w1, b1, w2, b2 = weights(a, b), weights(1, b)[0], weights(b, c), weights(1, c)[0]
-    s1 = keep(aggregate_neighbors(block, x, a)) if block is not None else x
-    h = keep(activate(linear(s1, w1, b1)))
+    early = block is not None and b < a
+    s1 = x if block is None or early else keep(aggregate_neighbors(block, x, a))
+    z1 = V.plus(F.col("vec"), F.array(*map(F.lit, map(float, b1)))).alias("vec")
+    h = keep(activate(aggregate_neighbors(block, linear(x, w1), b).select("node", z1) if early else linear(s1, w1, b1)))
     s2 = keep(aggregate_neighbors(block, h, b)) if block is not None else h
     g2 = keep(cross_entropy_gradient(linear(s2, w2, b2), labels, c).select("node", "vec"))
     back = linear_backward(g2, w2)
     back = sum_gradient(block, back, b) if block is not None else back
     g1 = keep(relu_backward(h, back))
+    sent = keep(sum_gradient(block, g1, b)) if early else g1
     out = None
-    for name, rows, w in (("w1", weight_gradient(s1, g1, a, b), w1), ("w2", weight_gradient(s2, g2, b, c), w2), ("b1", bias_gradient(g1, b).withColumn("i", F.lit(0).cast("bigint")), [b1]), ("b2", bias_gradient(g2, c).withColumn("i", F.lit(0).cast("bigint")), [b2])):
+    for name, rows, w in (("w1", weight_gradient(s1, sent, a, b), w1), ("w2", weight_gradient(s2, g2, b, c), w2), ("b1", bias_gradient(g1, b).withColumn("i", F.lit(0).cast("bigint")), [b1]), ("b2", bias_gradient(g2, c).withColumn("i", F.lit(0).cast("bigint")), [b2])):
         step = sgd_step(rows.select("i", "k", "value"), w, rate).select(F.lit(name).alias("param"), "i", "k", "value")
         out = step if out is None else out.unionByName(step)
     return out

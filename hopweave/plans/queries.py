@@ -17,8 +17,9 @@ from hopweave.operators import metrics as M
 from hopweave.operators import owners as O
 from hopweave.operators import sampling as S
 from hopweave.operators import splitting as B
+from hopweave.sources import binary as R
 from hopweave.sources import graphs as G
-from hopweave.sources.kept import kept
+from hopweave.sources.kept import kept, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -209,6 +210,20 @@ def log_scrape(spark, sf_dir):
     return G.scrape_logs(lines, "([0-9]+) ms")
 
 
+@query(sql("n d e y o vs", """WITH m AS (SELECT dst AS node, sum(src - 1)::BIGINT AS src_sum FROM e GROUP BY dst)
+SELECT n.node - 1 AS node, coalesce(d.deg, 0)::BIGINT AS deg, coalesce(m.src_sum, 0)::BIGINT AS src_sum, y.label, o.part, vs.total, vs.weighted FROM n JOIN y ON y.node = n.node JOIN o ON o.node = n.node JOIN vs ON vs.node = n.node LEFT JOIN d ON d.node = n.node LEFT JOIN m ON m.node = n.node"""))
+def binary_folder(spark, sf_dir):
+    """The graph, its nodes counted from 0, written as a folder of raw arrays and read back by byte ranges, its sums verified."""
+    g = load(spark, sf_dir)
+    path = shared_path(spark, "graph")
+    less = lambda df, *ids: df.withColumns({c: F.col(c) - 1 for c in ids})
+    R.write_folder(G.Graph(kept(less(g.edges, "src", "dst"), "edges"), less(g.nodes, "node"), less(g.features, "node"), less(g.labels, "node"), less(g.owners, "node"), g.dims), path)
+    g = R.read_folder(spark, path)
+    near = g.edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deg"), F.sum("src").alias("src_sum"))
+    rows = V.sums(g.features, ["node"]).join(near, "node", "left").join(g.labels.select("node", "label"), "node").join(g.owners, "node")
+    return rows.select("node", F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("src_sum", F.lit(0)).alias("src_sum"), "label", "part", "total", "weighted")
+
+
 # --- owners
 
 
@@ -602,11 +617,31 @@ def pairwise_mean(spark, sf_dir):
     return V.long_form(A.pairwise_mean(whole_split(g), g.features, g.owners, g.dims), ["node"])
 
 
-@query()
+HIDDEN = 4
+_STATE = " + ".join(f"r.h[{j + 1}] * ((({j} * 7 + (k - 1) * 3) % 11 - 5) / 10.0)" for j in range(HIDDEN))
+LSTM = f"""WITH {w_table('wt', DIMS, 4 * HIDDEN)}, gx AS (SELECT node, list(v ORDER BY k) AS g FROM (SELECT x.node, wt.k, sum(x.value * wt.w) AS v FROM x JOIN wt ON wt.i = x.dim GROUP BY 1, 2) GROUP BY node),
+st AS MATERIALIZED (SELECT bl.batch, bl.layer, bl.dst, row_number() OVER (PARTITION BY bl.batch, bl.layer, bl.dst ORDER BY bl.src) AS t, count(*) OVER (PARTITION BY bl.batch, bl.layer, bl.dst) AS n, gx.g FROM bl JOIN gx ON gx.node = bl.src),
+r AS (SELECT DISTINCT batch, layer, dst, n, 0::BIGINT AS t, list_transform(range({HIDDEN}), lambda j: 0.0::DOUBLE) AS h, list_transform(range({HIDDEN}), lambda j: 0.0::DOUBLE) AS c FROM st
+UNION ALL SELECT batch, layer, dst, n, t, list_transform(range(1, {HIDDEN + 1}), lambda j: tanh(c[j]) / (1 + exp(-z[{2 * HIDDEN} + j]))), c FROM (
+  SELECT batch, layer, dst, n, t, z, list_transform(range(1, {HIDDEN + 1}), lambda j: c[j] / (1 + exp(-z[{HIDDEN} + j])) + tanh(z[{3 * HIDDEN} + j]) / (1 + exp(-z[j]))) AS c FROM (
+    SELECT r.batch, r.layer, r.dst, r.n, st.t, r.c, list_transform(range(1, {4 * HIDDEN + 1}), lambda k: st.g[k] + {_STATE}) AS z FROM r JOIN st ON st.batch = r.batch AND st.layer = r.layer AND st.dst = r.dst AND st.t = r.t + 1)))
+SELECT batch, layer, dst AS node, (j - 1)::BIGINT AS dim, round(h[j], 6) AS value FROM r, range(1, {HIDDEN + 1}) q(j) WHERE t = n"""
+
+
+@query(sql("bl x", LSTM, "RECURSIVE "))
 def lstm_reduce(spark, sf_dir):
-    """Of every node, in each batch and layer that samples it."""
+    """Of every node, in each batch and layer that samples it, over whole vectors."""
     g = load(spark, sf_dir)
-    return V.long_form(A.lstm_reduce(sampled(g), g.features, g.dims, by=("batch", "layer")), ["batch", "layer", "node"])
+    reduced = A.lstm_reduce(sampled(g), g.features, weights(g.dims, 4 * HIDDEN), weights(HIDDEN, 4 * HIDDEN), by=("batch", "layer"))
+    return V.long_form(reduced, ["batch", "layer", "node"])
+
+
+@query()
+def lstm_full_width(spark, sf_dir):
+    """As lstm_reduce with as many states as a vector has numbers; its weights are smaller, so that gates stay open."""
+    g = load(spark, sf_dir)
+    w, u = ([[x / 4 for x in row] for row in weights(g.dims, 4 * g.dims)] for _ in range(2))
+    return V.long_form(A.lstm_reduce(sampled(g), g.features, w, u, by=("batch", "layer")), ["batch", "layer", "node"])
 
 
 @query(sql("inp vs", "SELECT inp.batch, inp.node, vs.total, vs.weighted FROM inp JOIN vs ON vs.node = inp.node"))
@@ -730,7 +765,16 @@ def split_sage_layer(spark, sf_dir):
     return V.long_form(L.sage([kept(whole_split(g), "split")], g.features, [g.dims, 4], "pairwise", g.owners), ["node"])
 
 
-@query()
+def pairwise_layer(n: int, x: str, dims: int, out: int, activation: bool) -> str:
+    """h{n} (node, dim, value): concat(own, pairwise mean) W of the rows of x (node, dim, value)."""
+    value = "greatest(sum(c.v * w.w), 0)" if activation else "sum(c.v * w.w)"
+    return f"""{w_table(f'w{n}', 2 * dims, out)}, p{n} AS (SELECT sa.dst, sa.part, x.dim, avg(x.value) AS m FROM sa JOIN {x} x ON x.node = sa.src GROUP BY 1, 2, 3),
+r{n} AS (SELECT p.*, p.part = o.part AS own, row_number() OVER (PARTITION BY p.dst, p.dim, p.part = o.part ORDER BY p.part) AS j, count(*) OVER (PARTITION BY p.dst, p.dim) - 1 AS k FROM p{n} p JOIN o ON o.node = p.dst),
+c{n} AS (SELECT node, dim, value AS v FROM {x} UNION ALL SELECT dst, dim + {dims}, sum(CASE WHEN own THEN m / 2.0 ** k ELSE m / 2.0 ** (k - j + 1) END) FROM r{n} GROUP BY 1, 2),
+h{n} AS MATERIALIZED (SELECT c.node, w.k AS dim, {value} AS value FROM c{n} c JOIN w{n} w ON w.i = c.dim GROUP BY 1, 2)"""
+
+
+@query(sql("sa o x", f"WITH {pairwise_layer(1, 'x', DIMS, 6, True)}, {pairwise_layer(2, 'h1', 6, 6, True)}, {pairwise_layer(3, 'h2', 6, 4, False)} SELECT node, dim::BIGINT AS dim, round(value, 6) AS value FROM h3"))
 def split_sage_three_layers(spark, sf_dir):
     g = load(spark, sf_dir)
     block = kept(whole_split(g), "split")

@@ -241,3 +241,46 @@ def test_plans_combine_before_the_shuffle(spark, sf):
 def test_vectors(spark):
     row = spark.range(1).select(V.leaky_relu(F.lit(-1.0)).alias("a"), V.relu(F.array(F.lit(-1.0), F.lit(2.0))).alias("b"), V.dot(F.array(F.lit(1.0), F.lit(2.0)), [3, 4]).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == (-0.2, [0.0, 2.0], 11.0)
+
+
+def test_softmax_states_of_extreme_scores(spark):
+    """Scores over several bands, far beyond what exp holds, against NumPy; a hub's edges lie in several tasks."""
+    import numpy as np
+
+    scores = {0: [5000.0, -5000.0, 4999.0, 0.5], 1: [-800.0, -801.5], 2: [3.0], 3: np.linspace(-300, 300, 500).tolist()}
+    rows, vec, node = [], {}, 10
+    for dst, values in scores.items():
+        for s in values:
+            vec[node] = [s, float(node)]
+            rows.append((node, dst))
+            node += 1
+    h = spark.createDataFrame([*vec.items(), *[(d, [0.0, 0.0]) for d in scores]], "node long, vec array<double>")
+    block = edges_of(spark, rows)
+    left, right = [1.0, 0.0], [0.0, 0.0]
+    alpha, sums = {(r["src"], r["dst"]): r["alpha"] for r in A.edge_softmax(block, h, left, right).collect()}, table(A.attention(block, h, 2, left, right))
+    for dst in scores:
+        ids = [s for s, d in rows if d == dst]
+        x = np.array([vec[i][0] if vec[i][0] > 0 else 0.2 * vec[i][0] for i in ids])
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert np.allclose([alpha[i, dst] for i in ids], p, atol=1e-9)
+        assert np.allclose(sums[dst], p @ np.array([vec[i] for i in ids]), rtol=1e-9)
+    text = A.attention(block, h, 2, left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "partial_sum" in text
+    tasks = A.scored(block, h, [(left, right)]).where("dst = 3").select("salt").distinct().count()
+    assert tasks == A.SALTS
+
+
+def test_layers_run_before_sums_where_they_shorten(spark, small):
+    """What reaches an exchange is as long as the layer's output; the result is that of the layer after the sum."""
+    edges, h, _ = small
+    nodes = spark.range(6).withColumnRenamed("id", "node")
+    block = edges.unionByName(nodes.selectExpr("node AS src", "node AS dst"))
+    w = L.weights(16, 2)
+    plain = L.linear(L.concat(A.self_gather(block, h, 8), A.aggregate_neighbors(block, h, 8, reduce="mean")), w)
+    mean = lambda b, x, d: A.aggregate_neighbors(b, x, d, reduce="mean")
+    got, want = table(L.sage_layer(block, h, 8, 2, mean)), table(plain)
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+    text = L.gcn_sum(block, h, [8, 2])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("partial_sum") == 2  # two numbers an edge, not eight
+    wide = L.gcn_sum(block, h, [8, 9])._jdf.queryExecution().executedPlan().toString()
+    assert wide.count("partial_sum") == 8

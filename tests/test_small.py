@@ -25,25 +25,52 @@ def test_caps_and_loops_over_batches(spark):
     assert got == [(i, 8) for i in range(6)] + [(6, 2)]
 
 
-def test_a_callers_fold_sees_sources_in_id_order(spark):
-    block = spark.createDataFrame([(3, 9), (1, 9), (2, 9), (1, 8)], "src long, dst long")
+@pytest.mark.parametrize("numbers", [8_000_000, 4])
+def test_a_callers_fold_sees_sources_in_id_order(spark, monkeypatch, numbers):
+    """Many destinations at once, padded, or a few at a time."""
+    monkeypatch.setattr(A, "FOLD_NUMBERS", numbers)
+    block = spark.createDataFrame([(3, 9), (1, 9), (2, 9), (1, 8), (2, 7), (3, 7)], "src long, dst long")
     h = spark.createDataFrame([(i, [float(i), 10.0]) for i in range(1, 4)], "node long, vec array<double>")
-    got = {r["node"]: r["vec"] for r in A.reduce_with(block, h, lambda rows: rows[0] - rows[-1] + len(rows)).collect()}
-    assert got == {9: [1.0, 3.0], 8: [1.0, 1.0]}
 
-
-def test_lstm_equals_a_plain_cell(spark):
-    block = spark.createDataFrame([(3, 9), (1, 9), (2, 9)], "src long, dst long")
-    vec = {i: [0.1 * i, -0.2, 0.3 * i] for i in range(1, 4)}
+    def fold(x, lengths):
+        return x[:, 0] - x[np.arange(len(x)), lengths - 1] + lengths[:, None]
+
+    got = {r["node"]: r["vec"] for r in A.reduce_with(block, h, fold).collect()}
+    assert got == {9: [1.0, 3.0], 8: [1.0, 1.0], 7: [1.0, 2.0]}
+    assert A.reduce_with(block.where("false"), h, fold).count() == 0
+
+
+def test_padding_keeps_every_row():
+    r = np.random.default_rng(3)
+    lengths = r.integers(1, 9, 50)
+    values = r.normal(size=(lengths.sum(), 3))
+    ends, seen = np.cumsum(lengths), []
+    for places, x in A.padded(values, lengths):
+        for i, rows in zip(places.tolist(), x):
+            seen.append(i)
+            assert np.array_equal(rows[: lengths[i]], values[ends[i] - lengths[i] : ends[i]]) and not rows[lengths[i] :].any()
+    assert sorted(seen) == list(range(50))
+
+
+@pytest.mark.parametrize("hidden", [2, 64])
+def test_lstm_equals_a_plain_cell(spark, hidden):
+    """Destinations of different numbers of sources, states shorter and longer than inputs."""
+    dims, r = 12, np.random.default_rng(7)
+    vec = {i: r.normal(size=dims).tolist() for i in range(20)}
+    near = {d: sorted(r.choice(20, n, replace=False).tolist()) for d, n in ((100, 1), (101, 5), (102, 5), (103, 20))}
+    block = spark.createDataFrame([(i, d) for d, ids in near.items() for i in reversed(ids)], "src long, dst long")
     h = spark.createDataFrame(list(vec.items()), "node long, vec array<double>")
-    w, u = A.lstm_weights(3)
+    w, u = r.normal(0, 0.3, (dims, 4 * hidden)), r.normal(0, 0.3, (hidden, 4 * hidden))
     sig = lambda z: 1 / (1 + np.exp(-z))
-    state = cell = np.zeros(3)
-    for i in (1, 2, 3):
-        z = np.array(vec[i]) @ w + state @ u
-        cell = sig(z[3:6]) * cell + sig(z[:3]) * np.tanh(z[9:])
-        state = sig(z[6:9]) * np.tanh(cell)
-    assert np.allclose(A.lstm_reduce(block, h, 3).first()["vec"], state)
+    got = {row["node"]: row["vec"] for row in A.lstm_reduce(block, h, w.tolist(), u.tolist()).collect()}
+    assert set(got) == set(near)
+    for d, ids in near.items():
+        state = cell = np.zeros(hidden)
+        for i in ids:
+            f_i, f_f, f_o, f_g = np.split(np.array(vec[i]) @ w + state @ u, 4)
+            cell = sig(f_f) * cell + sig(f_i) * np.tanh(f_g)
+            state = sig(f_o) * np.tanh(cell)
+        assert np.allclose(got[d], state)
 
 
 def test_size_model():

@@ -25,7 +25,7 @@ def test_lstm_reduces_every_node_of_both_layers(spark, sf):
 
 
 def test_vectors_are_whole(spark, sf):
-    for name in ("neighbour_sum", "remote_pull", "lstm_reduce"):
+    for name in ("neighbour_sum", "remote_pull", "lstm_full_width"):
         dims = {r[0] for r in queries.QUERIES[name](spark, sf).select("dim").distinct().collect()}
         assert dims == set(range(64)), name
 
