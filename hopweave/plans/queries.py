@@ -210,14 +210,14 @@ def log_scrape(spark, sf_dir):
     return G.scrape_logs(lines, "([0-9]+) ms")
 
 
-@query(sql("n d e y o vs", """WITH m AS (SELECT dst AS node, sum(src - 1)::BIGINT AS src_sum FROM e GROUP BY dst)
-SELECT n.node - 1 AS node, coalesce(d.deg, 0)::BIGINT AS deg, coalesce(m.src_sum, 0)::BIGINT AS src_sum, y.label, o.part, vs.total, vs.weighted FROM n JOIN y ON y.node = n.node JOIN o ON o.node = n.node JOIN vs ON vs.node = n.node LEFT JOIN d ON d.node = n.node LEFT JOIN m ON m.node = n.node"""))
+@query(sql("n d e y o vs", """WITH m AS (SELECT dst AS node, sum(src)::BIGINT AS src_sum FROM e GROUP BY dst)
+SELECT n.node, coalesce(d.deg, 0)::BIGINT AS deg, coalesce(m.src_sum, 0)::BIGINT AS src_sum, y.label, o.part, vs.total, vs.weighted FROM n JOIN y ON y.node = n.node JOIN o ON o.node = n.node JOIN vs ON vs.node = n.node LEFT JOIN d ON d.node = n.node LEFT JOIN m ON m.node = n.node"""))
 def binary_folder(spark, sf_dir):
-    """The graph, its nodes counted from 0, written as a folder of raw arrays and read back by byte ranges, its sums verified."""
+    """The graph (its nodes are 0 .. N-1) written as a folder of raw arrays and read back by byte ranges, its sums verified."""
     g = load(spark, sf_dir)
+    g.edges = kept(g.edges, "edges")
     path = shared_path(spark, "graph")
-    less = lambda df, *ids: df.withColumns({c: F.col(c) - 1 for c in ids})
-    R.write_folder(G.Graph(kept(less(g.edges, "src", "dst"), "edges"), less(g.nodes, "node"), less(g.features, "node"), less(g.labels, "node"), less(g.owners, "node"), g.dims), path)
+    R.write_folder(g, path)
     g = R.read_folder(spark, path)
     near = g.edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deg"), F.sum("src").alias("src_sum"))
     rows = V.sums(g.features, ["node"]).join(near, "node", "left").join(g.labels.select("node", "label"), "node").join(g.owners, "node")
