@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import posixpath
 import tempfile
 import uuid
@@ -134,6 +136,26 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def hand_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and what they keep adds to the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(task):
+    """task (for mapInArrow or mapInPandas), handing memory back when it ends."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        hand_back()
+
+    return run
+
+
 # --- files on any store that pyarrow knows (file, hdfs, s3, gs), written by tasks
 
 
@@ -175,7 +197,7 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
 # --- texts as bytes: numpy over a bounded piece of an Arrow column
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 250_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `most` bytes of text; a longer text is a run of its own. Null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_large_string(col.type):

@@ -28,7 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, fold_of, load, signed, sized_broadcast, small_batches, spans, store, unused, word_hashes, written_at
+from .common import columns, fold_of, hand_back, load, signed, sized_broadcast, small_batches, spans, store, tidy, unused, word_hashes, written_at
 
 LONGEST = 5
 SAMPLE_DOCS = 2500
@@ -146,7 +146,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                         if len(keys):
                             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "n": pa.array(np.full(len(keys), n), pa.int32()), "gram": pa.array(signed(keys)), "count": pa.array(times, pa.int64())})
 
-    return rows.mapInArrow(count, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    return rows.mapInArrow(tidy(count), "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
 class Level:
@@ -215,6 +215,10 @@ class Model:
                 self._levels.append(Level(keys[mine], lang[mine], np.log((count[mine] + FLOOR) / every[lang[mine]]), np.log(FLOOR / every)))
         return self._levels
 
+    def forget(self) -> None:
+        """Drops the tables, which are read again where they are wanted: a worker that lives on would keep them."""
+        self._levels.clear()
+
     def known(self, n: int, gram: str) -> np.ndarray | None:
         """Scores by language of a word (n = 0) or an n-gram, None for an unknown one."""
         cps = code_points(gram)
@@ -303,6 +307,8 @@ def guess(docs: DataFrame, model: Model | None = None, sample_docs: int = SAMPLE
         for some in texts:
             langs, scores = own.guess(some.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        own.forget()
+        hand_back()
 
     return small_batches(docs).withColumn(name, predict.asNondeterministic()("text")), name  # so that it runs once a row, whatever follows
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Committed, load, new_path, read_range, small_batches, store, written
+from .common import Committed, load, new_path, read_range, small_batches, store, tidy, written
 
 MAGIC = 0x31464554574F5048
 HEADER = 64
@@ -263,7 +263,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, sh
     rows = small_batches(docs).select("doc_id", "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     dealt = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(shard, "shard int, piece int, path string, n_docs long, n_ids long"), "tokens-manifest")
+    return written(dealt.mapInArrow(tidy(shard), "shard int, piece int, path string, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def open_shard(path: str) -> tuple[np.ndarray, int, EliasFano, int, np.dtype]:
@@ -308,7 +308,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = manifest.select("shard", "piece", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return based.repartition(parts, "shard", "piece").mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, piece int, position long")
+    return based.repartition(parts, "shard", "piece").mapInPandas(tidy(scan), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, piece int, position long")
 
 
 def token_output(docs: DataFrame, out: str | None = None, tokenizer_path: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:
