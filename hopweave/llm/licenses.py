@@ -7,14 +7,20 @@ automaton reaches its end: mandatory wording must stand word for word. Templates
 where those stand are tried, so a text without license wording costs one vectorised pass.
 
 Base phrases are templates without regions and label a text by themselves. score: 1 for a whole license text, conditions and
-disclaimer included, 0.9 for a notice, 0.8 for a base phrase alone, 0.5 for the opening of a license text alone, which altered
-terms may follow, 0 for none. In whole texts only names can be replaced.
+disclaimer included, 0.95 for a license's whole standard notice, 0.9 for a short notice, 0.8 for a base phrase alone, 0.5 for the
+opening of a license text alone, which altered terms may follow, 0 for none. In whole texts only names can be replaced.
 
-Cases: null and empty texts have no words, no labels and score 0; other columns are ignored; rows that repeat are scanned each.
+What tells two licenses apart (Affero, Lesser, ShareAlike, NoDerivatives, a version) is never in an optional or replaceable region.
+A base phrase keeps its label also where a longer name stands: "CC BY-NC-ND 4.0" has the base phrase of cc-by-nc and gets both.
+
+Cases: null and empty texts have no words, no labels and score 0; other columns are ignored; rows that repeat are scanned each, and
+rows of one id and different texts are told apart; equal labels of several matches are named once; an empty table gives no rows;
+very long texts are scanned whole, one at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,22 +45,61 @@ BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY <<var;max=8>> AS IS AND ANY EXPRE
 #: Public license wording, as (label, score, template).
 TEMPLATES = (
     ("mit", 1.0, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the Software)<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("isc", 1.0, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;max=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
-    ("isc", 1.0, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;max=8>> DISCLAIM ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("isc", 1.0, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;max=8>> <<beginOptional>>DISCLAIMS<<endOptional>> <<beginOptional>>DISCLAIM<<endOptional>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", 1.0, "This software is provided as-is, without any express or implied warranty. In no event will <<var;max=8>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."),
+    ("bsl-1", 1.0, "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("unlicense", 1.0, "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("bsd-2-clause", 1.0, f"{BSD_CONDITIONS} {BSD_DISCLAIMER}"),
     ("bsd-3-clause", 1.0, f"{BSD_CONDITIONS} {BSD_NAMES} {BSD_DISCLAIMER}"),
     ("mit", 0.5, "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;max=8>> and associated documentation files <<beginOptional>>(the Software)<<endOptional>>, to deal in <<var;max=8>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<var;max=8>>, and to permit persons to whom <<var;max=8>> furnished to do so, subject to the following conditions"),
     ("isc", 0.5, "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software <<beginOptional>>and its documentation<<endOptional>> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", 0.5, "Redistribution and use <<beginOptional>>of this software<<endOptional>> in source and binary forms, with or without modification, are permitted <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met"),
-    ("apache-2", 0.9, "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the License)<<endOptional>>"),
-    ("gpl-3", 0.9, "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU <<beginOptional>>Affero<<endOptional>> <<beginOptional>>Lesser<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
-    ("gpl-3", 0.9, "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("cc-by-nc", 0.9, "licensed under CC BY-NC <<var;max=2>> <<beginOptional>>International<<endOptional>>"),
-    ("cc-by-nc", 0.9, "licensed under a Creative Commons Attribution NonCommercial <<beginOptional>>ShareAlike<<endOptional>> <<var;max=2>> <<beginOptional>>International<<endOptional>> License"),
+    ("bsl-1", 0.5, "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", 0.5, "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("unlicense", 0.5, "This is free and unencumbered software released into the public domain"),
+    ("apache-2", 0.9, "Licensed under the Apache License, Version 2.0"),
+    ("apache-2", 0.95, "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;max=10>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    ("mpl-2", 0.9, "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2", 0.9, "under the Mozilla Public License, Version 2.0"),
+    ("mpl-2", 0.95, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;max=8>> MPL 2.0"),
+    ("cc0-1", 0.9, "To the extent possible under law, <<var;max=16>> waived all copyright and related or neighboring rights to"),
+    ("cc0-1", 0.9, "CC0 1.0 Universal"),
     ("mit", 0.9, "released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
-    ("cc-by", 0.9, "under a Creative Commons Attribution <<beginOptional>>ShareAlike<<endOptional>> <<var;max=1>> <<beginOptional>>International<<endOptional>> License"),
 )
 
+#: The GNU licenses' names and versions, and their labels.
+GNU = (("General", "2", "gpl-2"), ("General", "3", "gpl-3"), ("Lesser General", "2.1", "lgpl-2.1"), ("Lesser General", "3", "lgpl-3"), ("Library General", "2", "lgpl-2"), ("Affero General", "3", "agpl-3"))
+GNU_NOTICES = tuple(
+    (label, 0.9, f"{opening} GNU {name} Public License {by} version {version}")
+    for name, version, label in GNU
+    for opening in ("licensed under the", "under the terms of the")
+    for by in ("<<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>>",)
+)
+
+#: The names of the Creative Commons licenses' terms, and their versions.
+CC_TERMS = {"nc": ("NonCommercial", "Non-Commercial"), "sa": ("ShareAlike", "Share-Alike"), "nd": ("NoDerivatives", "NoDerivs", "No-Derivatives")}
+CC_LICENSES = ((), ("sa",), ("nd",), ("nc",), ("nc", "sa"), ("nc", "nd"))
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def cc_notices() -> tuple[tuple[str, float, str], ...]:
+    """Notices of each Creative Commons license by its spelled name or its short one. What follows the name, a version or the word
+    License, is mandatory, so that no license's notice stands in another's."""
+    out = []
+    for terms in CC_LICENSES:
+        label, ends = "-".join(["cc-by", *terms]), (*CC_VERSIONS, "License", "International License")
+        for spelled in itertools.product(*(CC_TERMS[t] for t in terms)):
+            name = " ".join(["Attribution", *spelled])
+            out += [(label, 0.9, f"{opening} Creative Commons {name} {end}") for opening in ("under a", "under the") for end in ends]
+            out += [(label, 0.9, f"{name} {v}" if terms else f"{name} {v} International") for v in CC_VERSIONS]
+        short = " ".join(["CC BY", *(t.upper() for t in terms)])
+        out += [(label, 0.9, f"{short} {v}") for v in CC_VERSIONS]
+        out += [(label, 0.9, f"under {opening} {short} {end}") for opening in ("a", "the") for end in ("License", "licence")]
+    return tuple(out)
+
+
+TEMPLATES += GNU_NOTICES + cc_notices()
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LEAD = 3
 
