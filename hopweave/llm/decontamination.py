@@ -24,7 +24,8 @@ from .common import NOT_ALNUM, ascii_lower, columns, load, sized_broadcast, unus
 #: NOT_ALNUM for texts that are not lower-cased: it finds as many words.
 NOT_ALNUM_ANY = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
-BROADCAST_ROWS = 1_000_000
+#: Bytes of windows broadcast at most, and the salts of their places beyond that.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
 
 
 def item_words(text: Column) -> Column:
@@ -35,13 +36,15 @@ def word_hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """hash, window (its words), size, items: one row for each distinct window."""
+def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(hash, window (its words), size, win) of each distinct window, win being a digest of its words, and (win, item_id) of the
+    items it stands in."""
     items = benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
-    windows = items.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i") + 1, n).alias("window"))
-    windows = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-    return windows.select(F.xxhash64(word_hashes(F.col("window"))).alias("hash"), "window", F.size("window").alias("size"), "items")
+    rows = items.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i") + 1, n).alias("window"))
+    win = F.unhex(F.md5(F.array_join("window", " "))).alias("win")
+    windows = rows.select("window").distinct().select(F.xxhash64(word_hashes(F.col("window"))).alias("hash"), "window", F.size("window").alias("size"), win)
+    return windows, rows.select(win, "item_id").distinct()
 
 
 def text_windows(cut: DataFrame, sizes: list[int]) -> DataFrame:
@@ -56,40 +59,52 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, digest (of the text), start, end (word positions), items: every occurrence of a window."""
-    windows = written(benchmark_windows(benchmark, n), "leak-windows")
-    sizes = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}  # n rows at most
-    found = ["doc_id", "digest", "start", (F.col("start") + F.col("size")).alias("end"), "items"]
+def find_hits(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, digest (of the text), start, end (word positions), win: every occurrence of one of the windows (written).
+
+    Windows are broadcast while their counted bytes are within the bound. Beyond it places and windows meet by hash and salt, so
+    that the places of a very common window are dealt over SALTS tasks at least.
+    """
+    facts = {r["size"]: (r["n"], r["bytes"]) for r in windows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("window", "")) + 24 * F.size("window") + 100).alias("bytes")).collect()}  # n rows at most
+    found = ["doc_id", "digest", "start", (F.col("start") + F.col("size")).alias("end"), "win"]
     cut = docs.select("doc_id", text_key(F.col("text")).alias("digest"), item_words(F.col("text")).alias("w"))
-    if not sizes:
+    if not facts:
         return cut.join(windows, F.lit(False)).withColumn("start", F.lit(0)).select(*found)
     is_window = F.slice("w", F.col("start") + 1, F.col("size")) == F.col("window")
-    runs = text_windows(cut, sorted(sizes))
-    if sum(sizes.values()) <= broadcast_rows:
+    runs = text_windows(cut, sorted(facts))
+    if sum(b for _, b in facts.values()) <= broadcast_bytes:
         return runs.join(F.broadcast(windows), "hash").where(is_window).select(*found)
-    places = runs.drop("w").join(windows.select("hash").distinct(), "hash", "left_semi")
+    places = runs.drop("w").withColumn("salt", F.pmod(F.xxhash64("start", "doc_id"), F.lit(SALTS)).cast("int"))
+    dealt = windows.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     texts = cut.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "w")
-    possible = written(places.join(windows, "hash"), "leak-places")
+    possible = written(places.join(dealt, ["hash", "salt"]), "leak-places")
     return possible.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).where(is_window).select(*found)
 
 
-def hit_documents(hits: DataFrame) -> DataFrame:
-    """doc_id, digest, n_hit (distinct words hit), n_items, items (sorted as strings, comma-joined): only documents with a hit."""
+def hit_documents(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, digest, n_hit (distinct words hit), n_items, items (sorted as strings, comma-joined): only documents with a hit.
+    members (win, item_id) are joined to each document's distinct windows, so an item list is made once a document."""
     key = ["doc_id", "digest"]
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0)))
     covered = hits.select(*key, "start", "end").distinct().withColumn("_n", F.greatest(fresh, F.lit(0)))
     n_hit = covered.groupBy(*key).agg(F.sum("_n").cast("long").alias("n_hit"))
-    items = hits.select(*key, F.explode_outer("items").alias("item")).distinct().groupBy(*key).agg(F.collect_set(F.col("item").cast("string")).alias("i"))
+    items = hits.select(*key, "win").distinct().join(members, "win").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
+    items = items.groupBy(*key).agg(F.collect_set("item").alias("i"))
     named = items.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), F.size("i").cast("long").alias("n_items"), F.array_join(F.array_sort("i"), ",").alias("items"))
     return n_hit.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))).drop("_d", "_g")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def prepared(benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    windows, members = benchmark_windows(benchmark.select("item_id", "text"), n)
+    return written(windows, "leak-windows"), written(members, "leak-members")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """hit_documents of docs, written."""
-    hits = written(find_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n, broadcast_rows), "leak-hits")
-    return written(hit_documents(hits), "leak-documents")
+    windows, members = prepared(benchmark, n)
+    hits = written(find_hits(docs.select("doc_id", "text"), windows, broadcast_bytes), "leak-hits")
+    return written(hit_documents(hits, members), "leak-documents")
 
 
 def of_document(docs: DataFrame, found: DataFrame, most: int = 500_000) -> tuple[DataFrame, Column]:
@@ -100,9 +115,9 @@ def of_document(docs: DataFrame, found: DataFrame, most: int = 500_000) -> tuple
     return other, same
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items and contaminated; columns of docs with these names give way."""
-    found, rest = leaks(docs, benchmark, n, broadcast_rows), docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
+    found, rest = leaks(docs, benchmark, n, broadcast_bytes), docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
     other, same = of_document(rest, found)
     mark = other.columns[0].removesuffix("_doc_id")
     return rest.join(other, same, "left").select(
@@ -115,15 +130,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadc
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs without those that have a hit; all columns as they are."""
-    other, same = of_document(docs, leaks(docs, benchmark, n, broadcast_rows).select("doc_id", "digest"))
+    other, same = of_document(docs, leaks(docs, benchmark, n, broadcast_bytes).select("doc_id", "digest"))
     return docs.join(other, same, "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text: the words that no window hits, in order, joined by single spaces (lower-cased); a text without hits stays as it is."""
-    hits = find_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n, broadcast_rows).select("doc_id", "digest", F.struct("start", "end").alias("s")).distinct()
+    hits = find_hits(docs.select("doc_id", "text"), prepared(benchmark, n)[0], broadcast_bytes).select("doc_id", "digest", F.struct("start", "end").alias("s")).distinct()
     spans = hits.groupBy("doc_id", "digest").agg(F.collect_list("s").alias("_s")).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "_s")
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_g")), "left")
     kept = F.filter(item_words(F.col("text")), lambda w, i: ~F.exists("_s", lambda s: (s["start"] <= i) & (i < s["end"])))

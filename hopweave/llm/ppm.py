@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_of, load, lowered, pieces, signed, small_batches, spans, word_hashes, written
@@ -157,30 +157,51 @@ def code_lengths(codes: np.ndarray, counts: np.ndarray, order: int, shared: list
     return total - np.where(open_, np.log10(left), 0.0)
 
 
-def gram_lengths(grams: DataFrame, order: int) -> DataFrame:
-    """key, value (log10 probability) of grams (key, n: the count in all training texts)."""
-    depth = min(2, order)  # orders below it are shared
-    low: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(depth):
-        rows = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).where("n > 0").toPandas()  # 256 ** (k + 1) rows at most
-        rows = rows.sort_values("key")
-        low.append((rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
-    shared = grams.sparkSession.sparkContext.broadcast(low)
+#: Grams of a subtree of two context bytes beyond which it is dealt by three, and of a task.
+SUBTREE_ROWS, TASK_ROWS = 500_000, 1_000_000
+
+
+def collected(grams: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order-k grams with their counts in training texts, sorted."""
+    key = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")
+    rows = grams.groupBy(key).agg(F.sum("n").alias("n")).where("n > 0").toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def gram_lengths(grams: DataFrame, order: int, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+    """key, value (log10 probability) of grams (key, n: the count in all training texts).
+
+    The trie is dealt by the last two bytes of the context, and the orders below are shared (256 ** 2 grams at most). Subtrees of
+    over subtree_rows grams are counted first and dealt by three bytes, of which none has over 256 ** 2 grams at order 4; their
+    order-2 grams (256 each) are shared too.
+    """
+    spark, depth = grams.sparkSession, min(2, order)
+    two = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
+    low = [collected(grams, k) for k in range(depth)]
+    heavy = [r["two"] for r in grams.groupBy(two.alias("two")).count().where(F.col("count") > subtree_rows).collect()] if order > 2 else []  # 256 ** 2 at most
+    marked = grams.select("key", "n", two.alias("two")).join(F.broadcast(spark.createDataFrame([(h, True) for h in heavy], "two long, deep boolean")), "two", "left")
+    if heavy:
+        low.append(collected(marked.where("deep"), depth))
+    shared = spark.sparkContext.broadcast(low)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        codes, n = (np.concatenate(x) for x in zip(*parts))
+        codes, n, deep = (np.concatenate(x) for x in zip(*parts))
         order_ = np.argsort(codes)
-        codes, n = codes[order_], n[order_]
-        values = code_lengths(codes, n, order, shared.value)
-        for i in range(0, len(codes), 200_000):
-            yield pa.RecordBatch.from_pydict({"key": codes[i : i + 200_000], "value": values[i : i + 200_000]})
+        codes, n, deep = codes[order_], n[order_], deep[order_]
+        for some, levels in ((~deep, depth), (deep, depth + 1)):
+            if not some.any():
+                continue
+            keys, values = codes[some], code_lengths(codes[some], n[some], order, shared.value[:levels])
+            for i in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_pydict({"key": keys[i : i + 200_000], "value": values[i : i + 200_000]})
 
-    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    subtree = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
-    return grams.select("key", "n").repartition(parts, subtree).mapInArrow(scan, "key long, value double")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // TASK_ROWS))
+    three = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 24) - 1))
+    dealt = marked.select("key", "n", F.coalesce("deep", F.lit(False)).alias("deep"), "two").repartition(parts, F.when(F.col("deep"), three + (1 << 24)).otherwise(F.col("two")))
+    return dealt.select("key", "n", "deep").mapInArrow(scan, "key long, value double")
 
 
 def score_block(order: int):
@@ -213,15 +234,15 @@ def ppm_scores(docs: DataFrame, train: Column | None = None, order: int = ORDER,
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
-    found = block_keys(blocks, order)
-    of_key = Window.partitionBy("kind", "key")  # a row for each block at most
-    totals = found.withColumn("total", F.sum("n").over(of_key)).withColumn("first", F.row_number().over(of_key.orderBy("block")) == 1)
-    totals = written(totals.select("block", "kind", "key", "total", "first"), "ppm-counts")
-    facts = totals.where(f"kind = {WORD} and first").agg(F.sum("total").alias("n"), F.sum(F.when(F.col("total") > 0, 1).otherwise(0)).alias("v")).first()
+    found = written(block_keys(blocks, order), "ppm-counts")
+    # a word or gram has a row for each block, added up before they meet
+    totals = written(found.groupBy("kind", "key").agg(F.sum("n").alias("total")), "ppm-totals")
+    words, grams = totals.where(f"kind = {WORD}").select("key", "total"), totals.where(f"kind = {GRAM}").select("key", F.col("total").alias("n"))
+    facts = words.agg(F.sum("total").alias("n"), F.sum(F.when(F.col("total") > 0, 1).otherwise(0)).alias("v")).first()
     n, v = int(facts["n"] or 0), int(facts["v"] or 0)
-    lengths = gram_lengths(totals.where(f"kind = {GRAM} and first").select("key", F.col("total").alias("n")), order)
-    grams = totals.where(f"kind = {GRAM}").select("block", "kind", "key").join(lengths, "key").select("block", "kind", "key", "value")
-    values = grams.unionByName(totals.where(f"kind = {WORD}").select("block", "kind", "key", F.col("total").cast("double").alias("value")))
+    of_words = found.where(f"kind = {WORD}").select("block", "kind", "key").join(words.select("key", F.col("total").cast("double").alias("value")), "key")
+    of_grams = found.where(f"kind = {GRAM}").select("block", "kind", "key").join(gram_lengths(grams, order), "key")
+    values = of_grams.unionByName(of_words).select("block", "kind", "key", "value")
     scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(score_block(order), "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double, n_bytes long")
     each = F.log10(F.lit(n + 0.5 * (v + 1)))
     return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score", "n_bytes")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Committed, load, new_path, sized_broadcast, small_batches, store, written
+from .common import Committed, load, new_path, small_batches, store, written
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string"
 DATE = "2020-01-01T00:00:00Z"
@@ -75,23 +75,38 @@ def parse(data: bytes) -> dict:
     return {"headers": headers, "http": http, "payload": payload}
 
 
-def revisit_of(pages: DataFrame, digest: Column, size: Column, least: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """pages with payload_digest and _first, the response's page_id (null where the payload is too small or stands alone)."""
-    rows = pages.withColumn("payload_digest", digest)
-    shared = (
-        rows.where(size >= least).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
-    )
-    shared = written(shared, "warc-shared")
-    return rows.join(sized_broadcast(shared, shared.count(), broadcast_rows), (F.col("payload_digest") == F.col("_digest")) & (size >= least), "left").drop("_digest")
-
+def revisit_of(pages: DataFrame, digest: Column, size: Column, least: int, broadcast_rows: int = 500_000, hot_pages: int = 1_000) -> DataFrame:
+    """pages with payload_digest and _first, the response's page_id (null where the payload is too small or stands alone).
 
-def write_warc(pages: DataFrame, out: str, least: int = 1000, level: int = 3) -> DataFrame:
-    """Writes pages (page_id, url, html) under out and returns the index, itself a Parquet table beside the archives."""
+    Up to broadcast_rows repeated digests (about 100 bytes each) are broadcast, and pages stay where they are. Beyond that only
+    those of over hot_pages pages are (pages / hot_pages at most, and hot_pages grows so that they stay within the bound); the
+    others' pages are dealt by digest, and pages that need no digest of their own by a hash of their place.
+    """
+    rows = pages.withColumn("payload_digest", digest)
+    shared = rows.where(size >= least).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    shared = written(shared.select(F.col("payload_digest").alias("_digest"), "_first", "_n"), "warc-shared")
+    found, repeats = shared.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    known = (F.col("payload_digest") == F.col("_digest")) & (size >= least)
+    if found <= broadcast_rows:
+        return rows.join(F.broadcast(shared.drop("_n")), known, "left").drop("_digest")
+    hot = F.col("_n") > max(hot_pages, repeats // max(1, broadcast_rows))
+    rows = rows.join(F.broadcast(shared.where(hot).select("_digest", F.col("_first").alias("_hot_first"))), known, "left").drop("_digest")
+    place = F.concat(F.lit("-"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+    rows = rows.withColumn("_key", F.when((size >= least) & F.col("_hot_first").isNull(), F.col("payload_digest")).otherwise(place))
+    few = shared.where(~hot).select(F.col("_digest").alias("_key"), "_first")
+    rows = rows.join(few, "_key", "left")
+    return rows.select(*pages.columns, "payload_digest", F.coalesce("_hot_first", "_first").alias("_first"))
+
+
+def write_warc(pages: DataFrame, out: str, least: int = 1000, level: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
+    """Writes pages (page_id, url, html) under out and returns the index, itself a Parquet table beside the archives. Archives of
+    attempts that did not win stay behind without an index row."""
     html = F.coalesce("html", F.lit(""))
-    dealt = revisit_of(small_batches(pages).select("page_id", "url", html.alias("html")), F.sha1(F.encode(html, "UTF-8")), F.octet_length(html), least)
+    dealt = revisit_of(small_batches(pages).select("page_id", "url", html.alias("html")), F.sha1(F.encode(html, "UTF-8")), F.octet_length(html), least, broadcast_rows)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{out}/archive-{TaskContext.get().partitionId():06d}.warc.gz"
+        # each attempt has a file of its own: another attempt's rows may come in another order, and its index is not this one's
+        name = f"{out}/archive-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz"
         at, file = 0, None
         with ExitStack() as open_files:  # a failed task leaves no file behind
             for batch in batches:

@@ -42,18 +42,31 @@ def test_edge_rows(spark):
 
 
 def test_by_shuffle_beyond_the_broadcast_bound(spark):
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    near = D.find_hits(edge_docs(spark), items).orderBy("doc_id", "start", "end").collect()
-    far = D.find_hits(edge_docs(spark), items, broadcast_rows=0).orderBy("doc_id", "start", "end").collect()
+    windows, members = D.prepared(spark.createDataFrame(ITEMS, "item_id long, text string"), 10)
+    near = D.find_hits(edge_docs(spark), windows).orderBy("doc_id", "digest", "start", "end").collect()
+    far = D.find_hits(edge_docs(spark), windows, broadcast_bytes=0).orderBy("doc_id", "digest", "start", "end").collect()
     assert near == far and near
 
 
+def test_one_window_in_most_rows_and_items(spark):
+    """A passage that 90 % of the documents hold many times and 300 items share: hits carry no item lists, places are salted."""
+    passage = prose(5, 12)
+    docs = spark.createDataFrame([(i, f"{passage} " * 6 if i % 10 else prose(100 + i, 40)) for i in range(400)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, passage) for i in range(300)], "item_id long, text string")
+    windows, members = D.prepared(items, 10)
+    assert windows.count() == 3 and members.count() == 900
+    hits = D.find_hits(docs, windows, broadcast_bytes=0)
+    assert hits.columns == ["doc_id", "digest", "start", "end", "win"] and hits.count() == 360 * 6 * 3
+    a, b = (sorted(map(tuple, D.decontaminate(docs, items, **k).select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated").collect())) for k in ({}, {"broadcast_bytes": 0}))
+    assert a == b and {r[3] for r in a} == {0, 300} and {r[2] for r in a if r[5]} == {72}
+
+
 def test_whole_table_by_shuffle(spark, sf, duck):
     """Every document of the table, beyond the bound, against the SQL of the query."""
     from compare import assert_same
     from pyspark.sql import functions as F
 
-    got = D.decontaminate(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_rows=0)
+    got = D.decontaminate(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_bytes=0)
     got = got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
     assert_same(got.toPandas(), duck.execute(D.OP5_SQL).df())
 

@@ -133,3 +133,27 @@ def test_a_failed_archive_leaves_no_file(spark, tmp_path):
         f.write(b"x")
         raise RuntimeError
     assert list(tmp_path.iterdir()) == []
+
+
+def test_one_payload_in_most_pages_by_shuffle(spark):
+    """Beyond the broadcast bound a payload of 90 % of the pages, and equal small ones, still lie in many archives."""
+    big = "<p>" + "w" * 1500 + "</p>"
+    rows = [(i, f"u{i}", big if i % 10 else ("" if i % 20 else f"{i // 40:04d}" * 400)) for i in range(2000)]
+    table = spark.createDataFrame(rows, PAGES)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = warc.write_warc(table, new_path(spark, "warc"), broadcast_rows=1)
+        most = index.groupBy("file").count().agg({"count": "max"}).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert most < 700, most
+    plain = warc.write_warc(table, new_path(spark, "warc"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    a, b = (sorted(map(str, warc.read_warc(i).select(*columns).collect())) for i in (index, plain))
+    assert a == b and sum("revisit" in x for x in a) == 1799 + 50  # the large payload's, and every second of the pairs
+
+
+def test_each_attempt_has_its_own_archive(spark):
+    index = warc.write_warc(spark.createDataFrame(pages(), PAGES).repartition(3), new_path(spark, "warc"))
+    names = {r["file"].rpartition("/")[2] for r in index.collect()}
+    assert all(re.fullmatch(r"archive-\d{6}-\d+\.warc\.gz", n) for n in names)

@@ -1,6 +1,7 @@
 """PPM scores against a byte-by-byte model in dictionaries."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -88,3 +89,24 @@ def test_held_out_texts_are_predicted(spark, sf):
     """The model's bits a byte on held-out texts are well below eight."""
     scored = ppm.op2_lm_scoring(spark, sf).where("held_out").selectExpr("-sum(score) / log10(2) / sum(n_bytes + 1)").first()[0]
     assert 0 < scored < 4
+
+
+def test_deep_subtrees_give_the_same_lengths(spark):
+    """Subtrees dealt by three context bytes, all of them, some of them or none."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["the", "then", "there", "ab", "abb"]) + str(r.randrange(9)) for _ in range(12))) for i in range(60)], "doc_id long, text string")
+    found = ppm.block_keys(docs.selectExpr("0 AS block", "doc_id % 3 <> 0 AS train", "text"), 4).where(f"kind = {ppm.GRAM}").groupBy("key").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    values = [{row["key"]: row["value"] for row in ppm.gram_lengths(found, 4, subtree_rows=s).collect()} for s in (0, 20, 10**9)]
+    assert values[0].keys() == values[1].keys() == values[2].keys()
+    for k, v in values[2].items():
+        assert values[0][k] == pytest.approx(v) and values[1][k] == pytest.approx(v)
+
+
+def test_one_text_in_most_rows(spark):
+    """A text in 90 % of the rows, in many blocks: each key's counts are added up before they meet."""
+    rows = [(i, "the cat sat on the mat" if i % 10 else f"other words {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ppm.ppm_scores(docs, order=2, block_bytes=200).collect()}
+    for (i, _), (n_tokens, n_known, n, base, score) in zip(rows, brute(rows, 2), strict=True):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n_tokens, n_known, n)
+        assert got[i]["base_score"] == pytest.approx(base) and got[i]["score"] == pytest.approx(score)
