@@ -6,7 +6,8 @@ Fit, on a bounded sample of labelled rows (`sample_docs` documents at most in ex
    (the sample's own frequencies, worth `prior` words), and the z-score; and the same over documents that hold the piece at least
    once (prior worth `prior_docs` documents), so that one text's repetitions are no evidence. A piece counts if its z is over
    `least_z` by words and over `least_z_docs` by documents; with z the smaller of the two it scores its log-odds by words times
-   z^2 / (z^2 + 9). A word scores what its best-supported piece scores (the largest z; the longer of equals), -`drift` without any.
+   z^2 / (z^2 + 9). A piece that only one toxic document of the sample holds is no evidence, however often it stands there: a word
+   that marks just that one text is not learned. A word scores what its best-supported piece scores (the largest z; the longer of equals), -`drift` without any.
 2. lambda and K of the extreme-value law of the best segment of a random text: lambda solves E[exp(lambda * score)] = 1 over
    the words of the other documents; K is fitted to their best segments.
 3. A logistic curve, on documents that step 1 has not seen, over log(1 + evidence) of a text's passages.
@@ -14,7 +15,7 @@ Fit, on a bounded sample of labelled rows (`sample_docs` documents at most in ex
 Scan: the linear-time algorithm of Ruzzo and Tompa finds all maximal scoring segments; the words between positive ones are
 summed up, so its work is in the number of positive words. A segment whose P-value in a random text of this length is below
 `SIGNIFICANT` is a passage. A text's evidence is -log P of its r best segments together, by the extreme-value law of sums, with
-the r that gives most (each r pays r log 2 for the choice).
+the r that gives most (each r pays r log 2 for the choice); every r is tried, up to all of a text's segments.
 
 Cases: null and empty texts have no segments and get the score of texts without any; null labels or doc_ids teach nothing, of
 several labels of a document the worst holds; without labels, or of one kind only, every score is that kind's share (0 without
@@ -38,7 +39,8 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, PRIOR, PRIOR_DOCS, LEAST_Z, LEAST_Z_DOCS, DRIFT = 20_000, 10_000.0, 20.0, 4.0, 2.0, 0.1
 STEMS = (4, 5, 6, 7)
 SIGNIFICANT = 0.05
-MOST_SUMMED = 50  # segments whose sum is tried
+KNOWN_WORDS = 1_000_000  # looked up and kept by a worker (16 MB)
+SCAN_BYTES = 1_000_000  # of text at once
 CUT = 0.3
 
 
@@ -100,18 +102,40 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.scores, self.support = keys[order], scores[order], support[order]
         self.drift, self.lam, self.k, self.curve = drift, lam, k, curve
+        self._words: np.ndarray | None = None
+        self._best: np.ndarray | None = None
 
-    def chosen(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_words": None, "_best": None}  # a worker keeps what it has looked up
+
+    def best_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The index of each word's best-supported piece, -1 without one."""
-        if not len(self.keys) or not len(starts):
-            return np.full(len(starts), -1)
-        place, which = distinct_words(data, starts, ends)
-        h = word_pieces(data, starts[place], ends[place])[:, ::-1]  # longest first
+        h = word_pieces(data, starts, ends)[:, ::-1]  # longest first
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         z = np.where(self.keys[i] == h, self.support[i], -1.0)
-        best = z.argmax(axis=1)
-        rows = np.arange(len(place))
-        return np.where(z[rows, best] >= 0, i[rows, best], -1)[which]
+        best, rows = z.argmax(axis=1), np.arange(len(h))
+        return np.where(z[rows, best] >= 0, i[rows, best], -1)
+
+    def chosen(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """best_pieces of words that may recur: each distinct word is looked up once, and known to the texts that follow."""
+        if not len(self.keys) or not len(starts):
+            return np.full(len(starts), -1)
+        h = word_hashes(data, starts, ends)
+        if self._words is None or len(self._words) > KNOWN_WORDS:
+            self._words, self._best = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self._words):
+            i = np.minimum(np.searchsorted(self._words, h), len(self._words) - 1)
+            new = np.flatnonzero(self._words[i] != h)
+        else:
+            new = np.arange(len(h))
+        if len(new):
+            fresh, place = np.unique(h[new], return_index=True)
+            place = new[place]
+            words, best = np.concatenate([self._words, fresh]), np.concatenate([self._best, self.best_pieces(data, starts[place], ends[place])])
+            order = np.argsort(words, kind="stable")
+            self._words, self._best = words[order], best[order]
+            i = np.searchsorted(self._words, h)
+        return self._best[i]
 
     def p_value(self, score: float, n_words: int) -> float:
         """P[a random text of so many words has a segment as good]."""
@@ -122,15 +146,15 @@ class Model:
         if not found:
             return 0.0
         level = math.log(self.k * max(n_words, 1))
-        best = sorted((self.lam * s - level for _, _, s in found), reverse=True)[:MOST_SUMMED]
-        top, total = -math.log(max(-math.expm1(-math.exp(min(-best[0], 50.0))), 1e-300)) if best[0] < 30 else best[0], best[0]
-        top -= math.log(2)
-        for r, x in enumerate(best[1:], 2):
-            if x <= 0:
-                break
-            total += x
-            if total > r:  # P[sum of r > T] ~ exp(-T) T^(r-1) / (r! (r-1)!)
-                top = max(top, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+        best = np.sort(self.lam * np.array([s for _, _, s in found]) - level)[::-1]
+        first = float(best[0])
+        top = (-math.log(max(-math.expm1(-math.exp(min(-first, 50.0))), 1e-300)) if first < 30 else first) - math.log(2)
+        total, r = np.cumsum(best), np.arange(1, len(best) + 1)
+        some = (r > 1) & (best > 0) & (total > r)
+        if some.any():  # P[sum of r > T] ~ exp(-T) T^(r-1) / (r! (r-1)!)
+            factorial = np.concatenate([[0.0], np.cumsum(np.log(r))])  # log r! at r
+            sums = total[some] - (r[some] - 1) * np.log(total[some]) + factorial[r[some]] + factorial[r[some] - 1] - r[some] * math.log(2)
+            top = max(top, float(sums.max()))
         return max(top, 0.0)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -139,7 +163,7 @@ class Model:
 
     def scan(self, batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
         """Words and positive segments of each text of a batch."""
-        for a, b, data, offs in pieces(batch, "text"):
+        for a, b, data, offs in pieces(batch, "text", SCAN_BYTES):
             data = lowered(data)
             starts, ends, row = spans(data, offs, IN_ALNUM)
             i = self.chosen(data, starts, ends)

@@ -270,3 +270,38 @@ def test_toxicity_without_lessons(spark):
         assert len(rows) == len(edge_rows())
         assert all(r["score"] == pytest.approx(score, abs=1e-3) for r in rows)
     assert toxicity.score_toxicity(no_docs(spark), model).count() == 0
+
+
+def test_every_segment_of_a_long_text_counts():
+    """Evidence against the plain sum over every r, with hundreds of segments: more of them are more evidence."""
+    model, level, last = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.1, lam=1.0, k=0.01), math.log(0.01 * 100_000), 0.0
+    for m in (1, 40, 60, 200, 500):
+        found = [(i, i + 1, level + 2 + (i * 37 % 11) / 10) for i in range(m)]
+        best = sorted((s - level for *_, s in found), reverse=True)
+        sums = [sum(best[:r]) - (r - 1) * math.log(sum(best[:r])) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2) for r in range(2, m + 1) if sum(best[:r]) > r]
+        want = max([-math.log(-math.expm1(-math.exp(-best[0]))) - math.log(2), *sums])
+        got = model.evidence(found, 100_000)
+        assert got == pytest.approx(want) and got > last
+        last = got
+
+
+def test_known_words_are_those_looked_up_anew(monkeypatch):
+    """Words that recur over texts, and a store that is emptied, give what each word gives by itself."""
+    r = np.random.default_rng(2)
+    vocabulary = [f"stem{i}" + "x" * (i % 5) for i in range(60)]
+    data, starts, ends = _words(vocabulary)
+    keys = toxicity.word_pieces(data, starts, ends)[::3].ravel()
+    keys = np.unique(keys[keys != 0])
+    model = toxicity.Model(keys, r.random(len(keys)), r.random(len(keys)), 0.1)
+    alone = dict(zip(vocabulary, model.best_pieces(data, starts, ends).tolist()))
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(toxicity, "KNOWN_WORDS", most)
+        for _ in range(5):
+            some = [vocabulary[i] for i in r.integers(0, 60, 30)]
+            assert model.chosen(*_words(some)).tolist() == [alone[w] for w in some]
+
+
+def _words(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    return data, ends - [len(w) for w in words], ends
