@@ -19,6 +19,7 @@ from hopweave.operators import sampling as S
 from hopweave.operators import splitting as B
 from hopweave.sources import binary as R
 from hopweave.sources import graphs as G
+from hopweave.sources.colocated import colocate
 from hopweave.sources.kept import kept, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -650,6 +651,15 @@ def feature_gather(spark, sf_dir):
     return V.sums(A.gather(M.input_nodes(sampled(g), 1), g.features), ["batch", "node"])
 
 
+@query(sql("inp vs", "SELECT inp.batch, inp.node, vs.total, vs.weighted FROM inp JOIN vs ON vs.node = inp.node"))
+def colocated_gather(spark, sf_dir):
+    """The features of a two-hop sample from bucketed tables, of which neither hops nor the gather shuffle edges or vectors."""
+    g = load(spark, sf_dir)
+    c = colocate(g, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = S.sample_blocks(c.adjacency, seeds(g), [10, 5], keep=kept)
+    return V.sums(A.gather(M.input_nodes(blocks, 1), c.features), ["batch", "node"])
+
+
 @query(sql("e n x", "WITH q AS (SELECT src, dst FROM e UNION ALL SELECT node, node FROM n WHERE node % 2 = 0), t AS (SELECT DISTINCT dst FROM q), u AS (SELECT DISTINCT dst FROM q WHERE src = dst) SELECT t.dst AS node, x.dim::BIGINT AS dim, round(CASE WHEN u.dst IS NULL THEN 0 ELSE x.value END, 6) AS value FROM t LEFT JOIN u ON u.dst = t.dst JOIN x ON x.node = t.dst"))
 def self_gather(spark, sf_dir):
     g = load(spark, sf_dir)
