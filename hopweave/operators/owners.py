@@ -50,6 +50,53 @@ def label_propagation(edges: DataFrame, owners: DataFrame, parts: int = 4, slack
     return owners.join(moved, "node", "left").select("node", F.coalesce("_w", "part").cast("int").alias("part"))
 
 
+def neighbours_of(edges: DataFrame) -> DataFrame:
+    """node, near, n: both directions of all edges but loops, repeats counted."""
+    both = edges.select(F.col("dst").alias("node"), F.col("src").alias("near")).unionByName(edges.select(F.col("src").alias("node"), F.col("dst").alias("near")))
+    return both.where("node <> near").groupBy("node", "near").agg(F.count("*").alias("n"))
+
+
+def gains(near: DataFrame, owners: DataFrame, parts: int, cap: int) -> DataFrame:
+    """node, part, want, gain: of each node that would cut fewer edges with another owner that has room, its best such owner (the
+    smallest of equals) and how many fewer."""
+    held = owners.groupBy("part").agg(F.count("*").alias("held"))
+    all_parts = owners.sparkSession.range(parts).select(F.col("id").cast("int").alias("want"))
+    room = all_parts.join(held.withColumnRenamed("part", "want"), "want", "left").where(F.coalesce("held", F.lit(0)) < cap).select("want", F.lit(True).alias("room"))
+    counts = near.join(owners.select(F.col("node").alias("near"), F.col("part").alias("want")), "near").groupBy("node", "want").agg(F.sum("n").alias("k"))
+    counts = counts.join(owners, "node").join(F.broadcast(room), "want", "left")  # a row an owner
+    own = F.max(F.when(F.col("want") == F.col("part"), F.col("k")))
+    best = F.max(F.when((F.col("want") != F.col("part")) & F.col("room"), F.struct("k", (-F.col("want")).alias("w"))))
+    votes = counts.groupBy("node", "part").agg(F.coalesce(own, F.lit(0)).alias("own"), best.alias("best")).where("best is not null")
+    return votes.select("node", "part", (-F.col("best.w")).alias("want"), (F.col("best.k") - F.col("own")).alias("gain")).where("gain > 0")
+
+
+def balanced_partition(edges: DataFrame, owners: DataFrame, parts: int = 4, slack: float = 1.1, most_rounds: int = 100, keep=None) -> tuple[DataFrame, list[int]]:
+    """(owners, cuts): size-constrained label propagation to a fixed point, and how many edges each round still had cut.
+
+    In each round every node that would cut fewer edges elsewhere asks for its best owner with room. Of nodes that are neighbours
+    only the one with the larger gain moves, so every gain is exact and the cut falls by their sum; where more ask than an owner
+    has room for, at most slack * N / parts nodes, those of the largest gains get in, by prefix ranks. It ends when no move helps,
+    which it must, as the cut is a falling whole number. keep(df) writes what is read again.
+    """
+    keep = keep or (lambda df: df)
+    near, now = keep(neighbours_of(edges)), keep(owners.select("node", "part"))
+    cap, cuts = int(now.count() * slack / parts), []
+    for at in range(most_rounds):
+        cut = near.join(now.select("node", F.col("part").alias("a")), "node").join(now.select(F.col("node").alias("near"), F.col("part").alias("b")), "near").where("a <> b").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+        cuts.append(cut)
+        asking = keep(gains(near, now, parts, cap).withColumn("turn", F.struct("gain", F.xxhash64("node", F.lit(at)).alias("h"), "node")))
+        rivals = near.join(asking.select(F.col("node").alias("near"), F.col("turn").alias("other")), "near").groupBy("node").agg(F.max("other").alias("other"))
+        moving = asking.join(rivals, "node", "left").where("other is null or turn > other").select("node", "want", "gain")
+        held = now.groupBy("part").agg(F.count("*").alias("held")).withColumnRenamed("part", "want")
+        allowed = ranked_down(keep(moving), ["want"], "gain").join(F.broadcast(held), "want", "left").where(F.col("_r") + F.coalesce("held", F.lit(0)) <= cap)
+        after = keep(now.join(allowed.select("node", "want"), "node", "left").select("node", F.coalesce("want", "part").cast("int").alias("part"), F.col("want").isNotNull().alias("moved")))
+        moved = after.where("moved").count()
+        now = after.select("node", "part")
+        if not moved:
+            return now, cuts
+    return now, cuts
+
+
 def movement(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """One row: nodes whose majority owner is another than the given one, in-edges from other owners than the majority, and
     (node, minority owner) pairs: what moves if nodes are computed where most of their sources are."""

@@ -251,6 +251,14 @@ def propagated_owners(spark, sf_dir):
     return O.label_propagation(g.edges, g.owners)
 
 
+@query()
+def balanced_owners(spark, sf_dir):
+    """Owners after label propagation to its fixed point, from one pass's owners."""
+    g = load(spark, sf_dir)
+    edges = kept(g.edges, "edges")
+    return O.balanced_partition(edges, O.label_propagation(edges, g.owners), keep=kept)[0]
+
+
 @query(sql("o e", """WITH c AS (SELECT e.dst, o.part, count(*) AS k FROM e JOIN o ON o.node = e.src GROUP BY 1, 2),
 m AS (SELECT dst, sum(k) AS a, max(k) AS k, count(*) AS p, min_by(part, (-k, part)) AS part FROM c GROUP BY dst)
 SELECT sum((m.part <> o.part)::INT)::BIGINT AS moved_nodes, sum(a - k)::BIGINT AS minority_edges, sum(p - 1)::BIGINT AS minority_pairs FROM m JOIN o ON o.node = m.dst"""))
