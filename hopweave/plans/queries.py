@@ -17,10 +17,13 @@ from hopweave.operators import metrics as M
 from hopweave.operators import owners as O
 from hopweave.operators import sampling as S
 from hopweave.operators import splitting as B
+from hopweave.operators.training import train
 from hopweave.sources import binary as R
 from hopweave.sources import graphs as G
+from hopweave.sources import partitioner as W
 from hopweave.sources.colocated import colocate
 from hopweave.sources.kept import kept, shared_path
+from hopweave.sources.publishing import publish, published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -200,6 +203,16 @@ def metis_rows(spark, sf_dir):
     return G.metis_rows(g.edges, g.nodes)
 
 
+@query(sql("n d e", """WITH l AS (SELECT n.node, trim(concat_ws(' ', coalesce(floor(10 * d.deg / (SELECT max(deg) FROM d)), 0)::BIGINT::VARCHAR, coalesce(m.near, ''))) || chr(10) AS line FROM n LEFT JOIN d ON d.node = n.node LEFT JOIN (SELECT dst, string_agg((src + 1)::VARCHAR, ' ' ORDER BY src) AS near FROM e GROUP BY dst) m ON m.dst = n.node
+UNION ALL SELECT -1, (SELECT count(*) FROM n) || ' ' || (SELECT count(*) FROM e WHERE src < dst) || ' 100' || chr(10))
+SELECT node, (sum(length(line)) OVER (ORDER BY node ROWS UNBOUNDED PRECEDING) - length(line))::BIGINT AS "begin", length(line)::BIGINT AS bytes FROM l"""))
+def partitioner_lines(spark, sf_dir):
+    """Where each node's line lies in the partitioner's input, from pieces of 4 neighbours."""
+    g = load(spark, sf_dir)
+    pieces = W.line_chunks(kept(g.edges, "edges"), g.nodes, 4, keep=kept)
+    return pieces.groupBy("node").agg(F.min("offset").alias("begin"), F.sum("bytes").alias("bytes"))
+
+
 @query(sql("d", "SELECT node, deg, floor(10 * deg / (SELECT max(deg) FROM d))::BIGINT AS size FROM d"))
 def vertex_sizes(spark, sf_dir):
     return I.vertex_sizes(G.purchase_edges(spark, sf_dir))
@@ -273,6 +286,16 @@ def cut_matrix(spark, sf_dir):
     return O.cut_matrix(g.edges, g.owners)
 
 
+@query(sql("o e", "SELECT 'cut' AS run, p.part AS src_part, q.part AS dst_part, count(*) AS edges FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst GROUP BY 2, 3"))
+def published_cuts(spark, sf_dir):
+    """The cut matrix as a run's results, published twice, as a retry would, and read back."""
+    g = load(spark, sf_dir)
+    path, rows = shared_path(spark, "results"), kept(O.cut_matrix(g.edges, g.owners), "cuts")
+    for _ in range(2):
+        publish(rows, path, "cut")
+    return published(spark, path, "src_part int, dst_part int, edges long")
+
+
 @query(sql("o e", """WITH c AS (SELECT e.src, e.dst FROM e JOIN o p ON p.node = e.src JOIN o q ON q.node = e.dst WHERE p.part <> q.part),
 h AS (SELECT count(DISTINCT node) AS k FROM (SELECT src AS node FROM c UNION ALL SELECT dst FROM c))
 SELECT (SELECT count(*) FROM c) AS cut_edges, k AS halo_nodes, (SELECT count(*) FROM o) AS nodes, round(k / (SELECT count(*) FROM o), 6) AS halo_ratio FROM h"""))
@@ -733,6 +756,16 @@ def sgd_step(spark, sf_dir):
     return L.sgd_step(grad, w, 0.1).select("i", "k", F.round("value", 6).alias("value"))
 
 
+@query(sql("x y", f"WITH {LOGITS}{GRAD} SELECT i::INT AS i, wt.k::INT AS k, round(wt.w - 0.05 * v / (abs(v) + 1e-8), 6) AS value FROM (SELECT x.dim AS i, gr.k, sum(x.value * gr.g) AS v FROM x JOIN gr ON gr.node = x.node GROUP BY 1, 2) q JOIN wt USING (i, k)"))
+def adam_step(spark, sf_dir):
+    """One step of the resumable loop, which is started again after it and finds it done."""
+    g = load(spark, sf_dir)
+    path, x = shared_path(spark, "training"), kept(g.features, "features")
+    for _ in range(2):
+        state = train(x, g.labels, weights(g.dims, CLASSES), CLASSES, path, 1)
+    return state.select("i", "k", F.round("value", 6).alias("value"))
+
+
 @query(sql("x y", f"WITH {LOGITS}{GRAD} SELECT gr.node, wt.i::BIGINT AS dim, round(sum(gr.g * wt.w), 9) AS value FROM gr JOIN wt ON wt.k = gr.k GROUP BY 1, 2"))
 def linear_backward(spark, sf_dir):
     g = load(spark, sf_dir)
