@@ -296,6 +296,10 @@ class Model:
         return lang[0], float(score[0])
 
 
+#: Texts that are scored at once: what they need grows with their words.
+GUESS_ROWS = 250
+
+
 def guess(docs: DataFrame, model: Model | None = None, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, str]:
     """docs with a struct (lang_pred, score) under a name that no column of docs has, and that name."""
     model = model or Model.fit(docs, sample_docs)
@@ -305,7 +309,12 @@ def guess(docs: DataFrame, model: Model | None = None, sample_docs: int = SAMPLE
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for some in texts:
-            langs, scores = own.guess(some.to_pylist())
+            langs, scores = [], []
+            for a in range(0, len(some), GUESS_ROWS):
+                found, score = own.guess(some.slice(a, GUESS_ROWS).to_pylist())
+                langs += found
+                scores.append(score)
+            scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
         own.forget()
         hand_back()
