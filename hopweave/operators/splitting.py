@@ -94,6 +94,45 @@ def relabel(split: DataFrame, keep=None) -> DataFrame:
     return rows.select(*by, present.alias("src_id"), "dst_id")
 
 
+def encountered(split: DataFrame, keep=None) -> DataFrame:
+    """batch, layer, part, in_id, out_id: each part's edges by ids in the order in which its sources, and its destinations, are first
+    met, edges being taken by destination, its self edge first."""
+    keep = keep or (lambda df: df)
+    by = ["batch", "layer", "part"]
+    rows = keep(split.select(*by, "src", "dst", F.struct("dst", (F.col("src") != F.col("dst")).alias("other"), "src").alias("pos")))
+    ins = encounter_ids(rows.withColumnRenamed("src", "node"), by).withColumnsRenamed({"node": "src", "local_id": "in_id"})
+    outs = encounter_ids(rows.withColumnRenamed("dst", "node"), by).withColumnsRenamed({"node": "dst", "local_id": "out_id"})
+    return rows.join(ins, [*by, "src"]).join(outs, [*by, "dst"]).select(*by, "in_id", "out_id")
+
+
+def input_ids(split: DataFrame, cache: DataFrame, last_layer: int) -> DataFrame:
+    """batch, part, node, local_id, cached of the input layer's sources: a cached node's id is its slot in the part's cache; the
+    others are numbered after the part's slots, in the order of their ids."""
+    held = cache.select("part", "node", "slot")
+    room = held.groupBy("part").agg(F.count("*").alias("room"))  # a row an owner
+    rows = split.where(F.col("layer") == last_layer).select("batch", "part", F.col("src").alias("node")).distinct()
+    rows = rows.join(held, ["part", "node"], "left").join(F.broadcast(room), "part", "left").withColumn("cached", F.col("slot").isNotNull())
+    order = F.row_number().over(Window.partitionBy("batch", "part", "cached").orderBy("node")) - 1
+    return rows.select("batch", "part", "node", F.when(F.col("cached"), F.col("slot")).otherwise(F.coalesce("room", F.lit(0)) + order).cast("bigint").alias("local_id"), "cached")
+
+
+def sample_counts(split: DataFrame) -> DataFrame:
+    """batch, layer, part, edges, self_edges, in_nodes, out_nodes, owned, received: what one sample object of a part holds, counted.
+    owned: destinations that are the part's own; received: partials that other owners compute for them."""
+    by = ["batch", "layer", "part"]
+    own = F.col("part") == F.col("dst_part")
+    counts = split.groupBy(*by).agg(
+        F.count("*").alias("edges"),
+        F.sum((F.col("src") == F.col("dst")).cast("bigint")).alias("self_edges"),
+        F.countDistinct("src").alias("in_nodes"),
+        F.countDistinct("dst").alias("out_nodes"),
+        F.countDistinct(F.when(own, F.col("dst"))).alias("owned"),
+    )
+    received = split.where(~own).select("batch", "layer", F.col("dst_part").alias("part"), F.col("part").alias("of"), "dst").distinct().groupBy(*by).agg(F.count("*").alias("received"))
+    out = counts.join(received, by, "full")
+    return out.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("edges", "self_edges", "in_nodes", "out_nodes", "owned", "received")])
+
+
 def model_input(split: DataFrame) -> DataFrame:
     """batch, layer, part, kind, peer, src, dst: all that one owner's model takes of a layer, in one table. edge: what it computes;
     owned: the destinations it holds; to and from: destinations whose partials it sends to or gets from the owner `peer`."""

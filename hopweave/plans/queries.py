@@ -44,7 +44,7 @@ def floyd_sql(k: int, key: str, deg: str = "d.deg") -> str:
 def hop_sql(frontier: str, layer: int, k: int) -> str:
     """batch, layer, dst, src: k sampled in-neighbours of each of the frontier's nodes, and its self edge."""
     drawn = f"SELECT f.batch, f.node, unnest({floyd_sql(k, f"f.batch::VARCHAR, '{layer}', f.node::VARCHAR")}) AS i FROM {frontier} f JOIN d ON d.node = f.node"
-    return f"SELECT p.batch, {layer} AS layer, g.dst, g.src FROM ({drawn}) p JOIN g ON g.dst = p.node AND g.i = p.i UNION ALL SELECT batch, {layer}, node, node FROM {frontier}"
+    return f"SELECT p.batch, {layer} AS layer, g.dst, g.src FROM ({drawn}) p JOIN near g ON g.dst = p.node AND g.i = p.i UNION ALL SELECT batch, {layer}, node, node FROM {frontier}"
 
 
 CTE = {
@@ -58,7 +58,7 @@ CTE = {
     # every node a seed, in batches of 16, sampled over two hops with fan-out 10 and 5
     "b": "b AS (SELECT node, (row_number() OVER (ORDER BY md5(concat_ws(':', '1', '0', node::VARCHAR)), node) - 1)::BIGINT AS rank FROM n)",
     "f0": "f0 AS (SELECT rank // 16 AS batch, node FROM b)",
-    "g": "g AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i FROM e)",
+    "near": "near AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i FROM e)",
     "l0": f"l0 AS MATERIALIZED ({hop_sql('f0', 0, 10)})",
     "f1": "f1 AS (SELECT DISTINCT batch, src AS node FROM l0)",
     "l1": f"l1 AS MATERIALIZED ({hop_sql('f1', 1, 5)})",
@@ -71,7 +71,7 @@ CTE = {
     "a": "a AS (SELECT src, dst FROM e UNION ALL SELECT node, node FROM n)",
     "sa": "sa AS (SELECT a.src, a.dst, p.part FROM a JOIN o p ON p.node = a.src)",
 }
-NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "g": "e", "l0": "f0 d g", "f1": "l0", "l1": "f1 d g", "f2": "l1", "l2": "f2 d g", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
+NEEDS = {"vs": "x", "d": "e", "o": "n", "x": "n", "y": "n", "b": "n", "f0": "b", "near": "e", "l0": "f0 d near", "f1": "l0", "l1": "f1 d near", "f2": "l1", "l2": "f2 d near", "bl": "l0 l1", "s": "bl o", "inp": "l1", "a": "e n", "sa": "a o"}
 
 
 def sql(needs: str, text: str, recursive: str = "") -> str:
@@ -218,10 +218,9 @@ def vertex_sizes(spark, sf_dir):
     return I.vertex_sizes(G.purchase_edges(spark, sf_dir))
 
 
-@query("SELECT avg(x::DOUBLE) AS mean, count(*) AS n, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status FROM (SELECT unnest(regexp_extract_all('took ' || event_id || ' ms, then ' || user_id || ' ms', '([0-9]+) ms', 1)) AS x FROM events)")
+@query("SELECT avg(x::DOUBLE) AS mean, count(*) AS n, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status FROM (SELECT unnest(regexp_extract_all(props, '\"k\": ([0-9]+)', 1)) AS x FROM events)")
 def log_scrape(spark, sf_dir):
-    lines = G.table(spark, sf_dir, "events").select(F.concat_ws("", F.lit("took "), "event_id", F.lit(" ms, then "), "user_id", F.lit(" ms")).alias("value"))
-    return G.scrape_logs(lines, "([0-9]+) ms")
+    return G.scrape_logs(G.table(spark, sf_dir, "events").select(F.col("props").alias("value")), '"k": ([0-9]+)')
 
 
 @query(sql("n d e y o vs", """WITH m AS (SELECT dst AS node, sum(src)::BIGINT AS src_sum FROM e GROUP BY dst)
@@ -327,7 +326,7 @@ def replaced_sql(frontier: str, layer: int, self_edges: bool, distinct: bool = F
     draw = f"('0x' || substr(md5(concat_ws(':', '1', f.batch::VARCHAR, '{layer}', f.node::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % d.deg"
     drawn = f"SELECT f.batch, f.node, CASE WHEN d.deg < 10 THEN k ELSE {draw} END AS i FROM {frontier} f JOIN d ON d.node = f.node, range(10) t(k) WHERE d.deg >= 10 OR k < d.deg"
     own = f" UNION ALL SELECT batch, {layer}, node, node FROM {frontier}" if self_edges else ""
-    return f"SELECT {'DISTINCT' if distinct else ''} p.batch, {layer} AS layer, g.dst, g.src FROM ({drawn}) p JOIN g ON g.dst = p.node AND g.i = p.i{own}"
+    return f"SELECT {'DISTINCT' if distinct else ''} p.batch, {layer} AS layer, g.dst, g.src FROM ({drawn}) p JOIN near g ON g.dst = p.node AND g.i = p.i{own}"
 
 
 def replaced_hops(hops: int, self_edges: bool, distinct: bool = False) -> str:
@@ -346,26 +345,26 @@ def digest(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("batch", "layer").agg(F.count("*").alias("edges"), F.sum(F.col("src") * (1 + F.col("dst") % 7)).alias("src_sum"), F.sum("dst").alias("dst_sum"))
 
 
-@query(sql("f0 d g", f"WITH {replaced_hops(2, True)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2"))
+@query(sql("f0 d near", f"WITH {replaced_hops(2, True)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2"))
 def sample_with_replacement(spark, sf_dir):
     g = load(spark, sf_dir)
     return digest(S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="replaced", keep=kept))
 
 
-@query(sql("f0 d g", f"WITH {replaced_hops(2, False)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2"))
+@query(sql("f0 d near", f"WITH {replaced_hops(2, False)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2"))
 def sample_without_self_edges(spark, sf_dir):
     """Two hops with replacement of whole 64-bit ids, no self edges and no removal of repeats."""
     g = load(spark, sf_dir)
     return digest(S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="replaced", keep=kept, self_edges=False))
 
 
-@query(sql("f0 d g", f"WITH {replaced_hops(2, False, True)} SELECT * FROM r0 UNION ALL SELECT * FROM r1"))
+@query(sql("f0 d near", f"WITH {replaced_hops(2, False, True)} SELECT * FROM r0 UNION ALL SELECT * FROM r1"))
 def sample_distinct(spark, sf_dir):
     g = load(spark, sf_dir)
     return S.sample_blocks(g.edges, seeds(g), [10, 10], strategy="distinct", keep=kept)
 
 
-@query(sql("f0 d g", f"WITH {replaced_hops(3, False, True)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2"))
+@query(sql("f0 d near", f"WITH {replaced_hops(3, False, True)} SELECT {DIGEST} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2"))
 def distinct_three_hops(spark, sf_dir):
     g = load(spark, sf_dir)
     return digest(S.sample_blocks(g.edges, seeds(g), [10, 10, 10], strategy="distinct", keep=kept))
@@ -374,7 +373,7 @@ def distinct_three_hops(spark, sf_dir):
 NATIVE = f"{replaced_hops(3, True)}, nb AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
 
 
-@query(sql("f0 d g o", f"WITH {NATIVE} SELECT nb.layer, p.part, q.part AS dst_part, count(*) AS edges, sum(nb.src * (1 + nb.dst % 7))::BIGINT AS src_sum FROM nb JOIN o p ON p.node = nb.src JOIN o q ON q.node = nb.dst GROUP BY 1, 2, 3"))
+@query(sql("f0 d near o", f"WITH {NATIVE} SELECT nb.layer, p.part, q.part AS dst_part, count(*) AS edges, sum(nb.src * (1 + nb.dst % 7))::BIGINT AS src_sum FROM nb JOIN o p ON p.node = nb.src JOIN o q ON q.node = nb.dst GROUP BY 1, 2, 3"))
 def native_three_hops(spark, sf_dir):
     """Three hops of 10 draws with replacement and a self edge, each edge with its source's owner."""
     g = load(spark, sf_dir)
@@ -382,7 +381,7 @@ def native_three_hops(spark, sf_dir):
     return rows.groupBy("layer", "part", "dst_part").agg(F.count("*").alias("edges"), F.sum(F.col("src") * (1 + F.col("dst") % 7)).alias("src_sum"))
 
 
-@query(sql("f0 d g", f"WITH {NATIVE} SELECT 0 AS part, {DIGEST} FROM nb GROUP BY batch, layer"))
+@query(sql("f0 d near", f"WITH {NATIVE} SELECT 0 AS part, {DIGEST} FROM nb GROUP BY batch, layer"))
 def native_unsplit(spark, sf_dir):
     """The same three hops with all edges at owner 0."""
     g = load(spark, sf_dir)
@@ -399,7 +398,7 @@ def sample_all_neighbours(spark, sf_dir):
 def cooperative_sql(frontier: str, layer: int, k: int) -> str:
     """As hop_sql over a frontier of (batch, node, part), every draw keyed by the part too."""
     drawn = f"SELECT f.batch, f.node, f.part, unnest({floyd_sql(k, f"f.part::VARCHAR, f.batch::VARCHAR, '{layer}', f.node::VARCHAR")}) AS i FROM {frontier} f JOIN d ON d.node = f.node"
-    block = f"SELECT p.batch, g.dst, g.src, p.part AS dst_part FROM ({drawn}) p JOIN g ON g.dst = p.node AND g.i = p.i UNION ALL SELECT batch, node, node, part FROM {frontier}"
+    block = f"SELECT p.batch, g.dst, g.src, p.part AS dst_part FROM ({drawn}) p JOIN near g ON g.dst = p.node AND g.i = p.i UNION ALL SELECT batch, node, node, part FROM {frontier}"
     return f"SELECT b.batch, {layer} AS layer, b.dst_part, o.part AS src_part, b.dst, b.src FROM ({block}) b JOIN o ON o.node = b.src"
 
 
@@ -407,7 +406,7 @@ COOPERATIVE = f"""q0 AS (SELECT f0.batch, f0.node, o.part FROM f0 JOIN o ON o.no
 q1 AS (SELECT DISTINCT batch, src AS node, src_part AS part FROM c0)"""
 
 
-@query(sql("f0 d g o", f"WITH {COOPERATIVE} SELECT * FROM c0"))
+@query(sql("f0 d near o", f"WITH {COOPERATIVE} SELECT * FROM c0"))
 def sample_cooperative(spark, sf_dir):
     g = load(spark, sf_dir)
     return S.cooperative_block(S.adjacency(kept(g.edges, "edges"), kept), seeds(g).select("batch", "node"), g.owners, 0, 10)
@@ -903,7 +902,7 @@ def sample_three_hops(spark, sf_dir):
     return B.split_blocks(blocks, g.owners).groupBy("layer", "src_part", "dst_part").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"))
 
 
-@query(sql("f0 d g o", f"WITH {COOPERATIVE} SELECT * FROM c0 UNION ALL {cooperative_sql('q1', 1, 5)}"))
+@query(sql("f0 d near o", f"WITH {COOPERATIVE} SELECT * FROM c0 UNION ALL {cooperative_sql('q1', 1, 5)}"))
 def cooperative_hops(spark, sf_dir):
     g = load(spark, sf_dir)
     return S.cooperative_blocks(g.edges, seeds(g), g.owners, [10, 5], keep=kept)
@@ -941,6 +940,31 @@ def relabelled_edges(spark, sf_dir):
     return B.relabel(kept(split(load(spark, sf_dir)), "split"), keep=kept)
 
 
+@query(sql("s", """WITH q AS (SELECT batch, layer, part, src, dst, row(dst, (src <> dst)::INT, src) AS pos FROM s),
+i AS (SELECT batch, layer, part, src, row_number() OVER (PARTITION BY batch, layer, part ORDER BY min(pos)) - 1 AS in_id FROM q GROUP BY 1, 2, 3, 4),
+o_ AS (SELECT batch, layer, part, dst, row_number() OVER (PARTITION BY batch, layer, part ORDER BY min(pos)) - 1 AS out_id FROM q GROUP BY 1, 2, 3, 4)
+SELECT batch, layer, part, count(*) AS edges, sum(in_id * (1 + out_id % 7))::BIGINT AS id_sum, max(in_id)::BIGINT AS last_in, max(out_id)::BIGINT AS last_out FROM s JOIN i USING (batch, layer, part, src) JOIN o_ USING (batch, layer, part, dst) GROUP BY 1, 2, 3"""))
+def encountered_edges(spark, sf_dir):
+    rows = B.encountered(split(load(spark, sf_dir)), kept)
+    return rows.groupBy("batch", "layer", "part").agg(F.count("*").alias("edges"), F.sum(F.col("in_id") * (1 + F.col("out_id") % 7)).alias("id_sum"), F.max("in_id").alias("last_in"), F.max("out_id").alias("last_out"))
+
+
+@query(sql("n d o s", f"""WITH {PARTED.format(c=0.1)}, h AS (SELECT part, node, slot FROM (SELECT part, node, row_number() OVER (PARTITION BY part ORDER BY deg DESC, node) - 1 AS slot FROM g) WHERE slot < (SELECT size FROM z)),
+r AS (SELECT DISTINCT s.batch, s.part, s.src AS node FROM s WHERE layer = 1),
+k AS (SELECT r.*, h.slot, h.slot IS NOT NULL AS cached FROM r LEFT JOIN h ON h.part = r.part AND h.node = r.node)
+SELECT batch, part, node, (CASE WHEN cached THEN slot ELSE (SELECT count(*) FROM h WHERE h.part = k.part) + row_number() OVER (PARTITION BY batch, part, cached ORDER BY node) - 1 END)::BIGINT AS local_id, cached FROM k"""))
+def input_slots(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return B.input_ids(split(g), C.partition_cache(g.edges, g.nodes, g.owners, 0.1), 1)
+
+
+@query(sql("s", """WITH c AS (SELECT batch, layer, part, count(*) AS edges, sum((src = dst)::INT)::BIGINT AS self_edges, count(DISTINCT src) AS in_nodes, count(DISTINCT dst) AS out_nodes, count(DISTINCT CASE WHEN part = dst_part THEN dst END) AS owned FROM s GROUP BY 1, 2, 3),
+r AS (SELECT batch, layer, dst_part AS part, count(*) AS received FROM (SELECT DISTINCT batch, layer, dst_part, part, dst FROM s WHERE part <> dst_part) GROUP BY 1, 2, 3)
+SELECT batch, layer, part, coalesce(edges, 0) AS edges, coalesce(self_edges, 0) AS self_edges, coalesce(in_nodes, 0) AS in_nodes, coalesce(out_nodes, 0) AS out_nodes, coalesce(owned, 0) AS owned, coalesce(received, 0) AS received FROM c FULL JOIN r USING (batch, layer, part)"""))
+def sample_counts(spark, sf_dir):
+    return B.sample_counts(kept(split(load(spark, sf_dir)), "split"))
+
+
 @query(sql("s", """WITH mv AS (SELECT DISTINCT batch, layer, part, dst_part, dst FROM s WHERE part <> dst_part),
 al AS (SELECT layer, part, 'edge' AS kind, -1 AS peer, src, dst FROM s UNION ALL SELECT layer, dst_part, 'owned', -1, NULL, dst FROM (SELECT DISTINCT batch, layer, dst_part, dst FROM s)
 UNION ALL SELECT layer, part, 'to', dst_part, NULL, dst FROM mv UNION ALL SELECT layer, dst_part, 'from', part, NULL, dst FROM mv)

@@ -8,6 +8,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,19 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear() -> None:
-    """Deletes every kept table; plans that read one fail afterwards."""
-    while _made:
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end what was kept within it, so that a long session holds only what it still reads."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        clear(before)
+
+
+def clear(first: int = 0) -> None:
+    """Deletes every kept table, or those from `first` on; plans that read one fail afterwards."""
+    while len(_made) > first:
         spark, path = _made.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)

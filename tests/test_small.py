@@ -99,3 +99,15 @@ def test_kept_tables_are_read_back_and_cleared(spark):
     import os
 
     assert not K._made and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_scope_deletes_what_was_kept_in_it(spark):
+    from pathlib import Path
+
+    before = K.kept(spark.range(3))
+    with K.scope():
+        inner = K.kept(spark.range(5))
+        rows = inner.count()
+        folder = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists()
+    assert rows == 5 and not folder.exists() and before.count() == 3
