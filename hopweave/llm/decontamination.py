@@ -10,7 +10,7 @@ Hits are written once; counts and items are taken from there.
 Cases: null and empty texts have no words and no hits; an item without words has no window; null item_ids count as hits but are
 not listed; rows that repeat (same id and text) are reported each, with the same counts; rows of one id and different texts are
 told apart; items of equal windows are all listed; an empty benchmark leaves all documents clean; an empty table gives no rows;
-very long texts give as many hashes as words, a row each; `decontaminate` replaces columns of docs that have the names of its
+very long texts give as many hashes as words, a row each; overlapping hits count a word once, and there are no other ties; `decontaminate` replaces columns of docs that have the names of its
 own, the others leave every column of docs as it is.
 """
 

@@ -4,7 +4,8 @@ Each source takes whole epochs of all its documents while its target holds them;
 documents in the order of key = -ln(u) / weight, u from a hash of (seed, doc_id, text size), up to the prefix sum that is nearest to the rest.
 
 Cases: a null source is a source of its own, last in order; null text has size 0; documents of size 0 are taken 0 words; rows
-that repeat are documents of their own; an empty table gives an empty result; a source of size 0 has target 0.
+that repeat are documents of their own; an empty table gives an empty result; a source of size 0 has target 0; documents of equal
+keys follow each other by doc_id (null first) and size; very long texts are measured whole; other columns are ignored.
 """
 
 from __future__ import annotations

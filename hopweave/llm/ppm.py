@@ -18,7 +18,9 @@ no longer context has seen; a context without such symbols is passed through; be
 The unigram base has the words by 64-bit hashes.
 
 Cases: null text is empty and has one token, its end; a null doc_id is in the fold of the empty text; rows that repeat are
-scored each; an empty training fold leaves uniform bytes; other columns are ignored.
+scored each, also where they share an id with other texts; equal counts need no order, so ties play no part; very long texts are
+scored whole, one at a time, within their block; an empty training fold leaves uniform bytes; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

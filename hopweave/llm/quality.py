@@ -14,6 +14,9 @@ tells each one's risk. A stratum with too few labels for all of them has no cuto
 
 Cases: null text counts as empty; a null stratum is a stratum of its own; rows that repeat are counted each; labels with null
 quality or doc_id are ignored, and of several labels of a document the worst holds; without labels only the base rule rejects.
+Copies with labels of their own count as labels of their own: the guarantee is about documents as they come, copies included. Of
+cutoffs that reject as many bad documents the loosest is taken; very long texts are counted whole; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
