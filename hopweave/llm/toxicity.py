@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, PRIOR, PRIOR_DOCS, LEAST_Z, LEAST_Z_DOCS, DRIFT = 20_000, 10_000.0, 20.0, 4.0, 2.0, 0.1
 STEMS = (4, 5, 6, 7)
 SIGNIFICANT = 0.05
-KNOWN_WORDS = 1_000_000  # looked up and kept by a worker (16 MB)
+KNOWN_WORDS = 1 << 20  # places for words that a worker has looked up, a word in one place, the last one stays (16 MB)
 SCAN_BYTES = 1_000_000  # of text at once
 CUT = 0.3
 
@@ -117,25 +117,21 @@ class Model:
         return np.where(z[rows, best] >= 0, i[rows, best], -1)
 
     def chosen(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """best_pieces of words that may recur: each distinct word is looked up once, and known to the texts that follow."""
+        """best_pieces of words that may recur: a distinct word is looked up once, and known to the texts that follow."""
         if not len(self.keys) or not len(starts):
             return np.full(len(starts), -1)
         h = word_hashes(data, starts, ends)
-        if self._words is None or len(self._words) > KNOWN_WORDS:
-            self._words, self._best = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(self._words):
-            i = np.minimum(np.searchsorted(self._words, h), len(self._words) - 1)
-            new = np.flatnonzero(self._words[i] != h)
-        else:
-            new = np.arange(len(h))
+        if self._words is None:
+            self._words, self._best = np.zeros(KNOWN_WORDS, np.uint64), np.full(KNOWN_WORDS, -1)
+        at = (h % np.uint64(KNOWN_WORDS)).astype(np.int64)
+        out, new = self._best[at], np.flatnonzero(self._words[at] != h)
         if len(new):
-            fresh, place = np.unique(h[new], return_index=True)
+            fresh, place, which = np.unique(h[new], return_index=True, return_inverse=True)
             place = new[place]
-            words, best = np.concatenate([self._words, fresh]), np.concatenate([self._best, self.best_pieces(data, starts[place], ends[place])])
-            order = np.argsort(words, kind="stable")
-            self._words, self._best = words[order], best[order]
-            i = np.searchsorted(self._words, h)
-        return self._best[i]
+            best = self.best_pieces(data, starts[place], ends[place])
+            out[new] = best[which]
+            self._words[at[place]], self._best[at[place]] = fresh, best
+        return out
 
     def p_value(self, score: float, n_words: int) -> float:
         """P[a random text of so many words has a segment as good]."""
