@@ -265,10 +265,10 @@ def propagated_owners(spark, sf_dir):
 
 @query()
 def balanced_owners(spark, sf_dir):
-    """Owners after label propagation to its fixed point, from one pass's owners."""
+    """Owners after ten rounds of balanced label propagation, from one pass's owners; the operator's own end is its fixed point."""
     g = load(spark, sf_dir)
     edges = kept(g.edges, "edges")
-    return O.balanced_partition(edges, O.label_propagation(edges, g.owners), keep=kept)[0]
+    return O.balanced_partition(edges, O.label_propagation(edges, g.owners), most_rounds=10, keep=kept, measure=False)[0]
 
 
 @query(sql("o e", """WITH c AS (SELECT e.dst, o.part, count(*) AS k FROM e JOIN o ON o.node = e.src GROUP BY 1, 2),
