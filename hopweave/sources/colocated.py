@@ -35,14 +35,21 @@ class Colocated:
     labels: DataFrame
     owners: DataFrame
     buckets: int
+    listed: Adjacency | None = None
 
     @property
     def adjacency(self) -> Adjacency:
-        return Adjacency(self.near, self.deg)
-
-
-def colocate(g: Graph, buckets: int = 64, hub_rows: int = 100_000) -> Colocated:
-    """buckets: about the tables' bytes over 256 MB; a hub's positions are dealt over all of them."""
-    graph = adjacency(kept(g.edges, "edges"), hub_rows=hub_rows)
+        return self.listed or Adjacency(self.near, self.deg)
+
+
+def colocate(g: Graph, buckets: int = 64, hub_rows: int = 100_000, lists: bool = False) -> Colocated:
+    """buckets: about the tables' bytes over 256 MB; a hub's positions are dealt over all of them. With lists nodes' sources lie in
+    their lists, bucketed by node, and near holds those of long nodes only: a hop then sends its frontier, not its draws."""
+    graph = adjacency(kept(g.edges, "edges"), kept if lists else None, hub_rows)
+    if lists:
+        by_node = {n: bucketed(df, ["node"], buckets, n) for n, df in (("lists", graph.lists), ("features", g.features), ("labels", g.labels), ("owners", g.owners))}
+        held = by_node.pop("lists")
+        long = bucketed(graph.long, ["dst", "pos"], buckets, "near") if graph.hubs is not None else None
+        return Colocated(graph.near, graph.deg, **by_node, buckets=buckets, listed=Adjacency(graph.near, graph.deg, held, long, graph.hubs))
     by_node = {n: bucketed(df, ["node"], buckets, n) for n, df in (("deg", graph.deg), ("features", g.features), ("labels", g.labels), ("owners", g.owners))}
     return Colocated(bucketed(graph.near, ["dst", "pos"], buckets, "near"), **by_node, buckets=buckets)
