@@ -3,12 +3,16 @@
 import random
 import re
 from collections import defaultdict
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from hopweave.operators import ingest as I
+from hopweave.operators import owners as O
 from hopweave.sources import graphs as G
+from hopweave.sources.colocated import bucketed
+from hopweave.sources.kept import kept
 
 
 def plan_of(df):
@@ -70,3 +74,32 @@ def test_purchase_edges_deals_lines_over_counted_tasks(spark, tmp_path, monkeypa
     assert asked == [len(lines)]
     plan = plan_of(found)
     assert re.search(r"hashpartitioning\(x#\d+L?, y#\d+L?, 37\)", plan) and "BroadcastHashJoin" not in plan
+
+
+def broadcast_keys(df):
+    """The keys of each join by broadcast."""
+    return [re.findall(r"(\w+)#", keys) for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan_of(df))]
+
+
+def test_rows_of_nodes_are_not_broadcast(spark):
+    pairs = some_pairs()
+    edges, owners = edges_of(spark, pairs), spark.createDataFrame([(i, i % 4) for i in range(60)], "node bigint, part int")
+    assert all(keys == ["want"] for keys in broadcast_keys(O.label_propagation(edges, owners)))  # what an owner holds: a row each
+    assert all(keys == ["want"] for keys in broadcast_keys(O.gains(O.neighbours_of(edges), owners, 4, 16, 8)))
+    seen = []
+
+    def keep(df):
+        seen.extend(broadcast_keys(df))
+        return kept(df)
+
+    found, _ = O.balanced_partition(edges, owners, most_rounds=3, keep=keep, measure=False)
+    assert seen and all(keys == ["want"] for keys in seen + broadcast_keys(found))
+    near = [tuple(x) for x in O.neighbours_of(edges).collect()]
+    assert sorted(near) == sorted((a, b, sum({x, y} == {a, b} for x, y in pairs)) for a, b, _ in near) and len(near) == len({(a, b) for x, y in pairs if x != y for a, b in ((x, y), (y, x))})
+
+
+def test_laid_out_edges_give_the_same_owners(spark):
+    edges, owners = edges_of(spark, some_pairs()), spark.createDataFrame([(i, i % 4) for i in range(60)], "node bigint, part int")
+    a, cuts = O.balanced_partition(edges, owners, most_rounds=3, keep=kept)
+    b, more = O.balanced_partition(edges, owners, most_rounds=3, keep=kept, lay=partial(bucketed, name="near"))
+    assert cuts == more and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
